@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from palaver.llm import bpe
+from palaver.llm import bpe, minhash
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     }
 
 
