@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from palaver.llm import bpe, minhash
+from palaver.llm import bpe, decontaminate, minhash, secrets
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
         "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
+        "op8_secret_scans": secrets.op8_secret_scans,
     }
 
 
