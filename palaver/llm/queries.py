@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from palaver.llm import bpe, decontaminate, minhash, secrets
+from palaver.llm import bpe, decontaminate, minhash, secrets, toxicity
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable]:
         "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
         "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
         "op8_secret_scans": secrets.op8_secret_scans,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
