@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from palaver.llm import bpe, decontaminate, minhash, secrets, toxicity
+from palaver.llm import bpe, decontaminate, minhash, secrets, toxicity, urls
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+        "op3_url_filters": urls.op3_url_filters,
         "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
         "op8_secret_scans": secrets.op8_secret_scans,
         "op10_toxicity": toxicity.op10_toxicity,
@@ -19,4 +20,6 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {}
+    return {
+        "op3_url_filters": urls.SQL,
+    }
