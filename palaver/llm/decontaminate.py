@@ -25,44 +25,63 @@ BROADCAST_WINDOWS = 500_000
 NUM, UNIT, NAME = "\u0001", "\u0002", "\u0003"
 #: Units of measure that may follow a number.
 UNITS = "km|cm|mm|m|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|l|ml|litres?|liters?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|percent|euros?|dollars?|cents?|apples?|degrees?"
-_NUMBER = r"(?<![\p{L}\p{N}])[-+]?\p{Nd}+(?:[.,:/]\p{Nd}+)*"
+# Each pattern begins with what is rare, so that most positions of a text fail at once.
+_NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
+_UNIT = rf"({NUM}[^ ]+) +({UNITS})(?![\p{{L}}\p{{N}}])"
+_NAME = r"\p{Lu}(?<=[\p{L}\p{N},;:]\s\p{Lu})\p{Ll}+"
+_GAP = r"[^\p{L}\p{N}\u0001-\u0003\u0007]+"
+_MARKS = "[\u0001-\u0007]"
 
 
 def _marked(text: Column) -> Column:
     """The text with its values marked: each a word that begins with its placeholder."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\u0001-\\u0003]", " ")
-    text = F.regexp_replace(text, rf"({_NUMBER})[ ]?({UNITS})(?![\p{{L}}\p{{N}}])", f" {NUM}$1 {UNIT}$2 ")
-    text = F.regexp_replace(text, r"(?<![\u0001.,:/\p{L}\p{N}+-])" + _NUMBER, f" {NUM}$0 ")
-    return F.regexp_replace(text, r"(?<=[\p{L}\p{N},;:]\s)\p{Lu}\p{Ll}+", f" {NAME}$0 ")
+    text = F.coalesce(text, F.lit(""))
+    text = F.when(text.rlike(_MARKS), F.regexp_replace(text, _MARKS, " ")).otherwise(text)
+    text = F.regexp_replace(text, _NUMBER, f" {NUM}$0 ")
+    return F.regexp_replace(text, _NAME, f" {NAME}$0 ")
 
 
-def _words(text: Column) -> Column:
-    """Lower-case words of letters, digits and marked values."""
-    kept = F.trim(F.regexp_replace(F.lower(text), r"(?:[^\p{L}\p{N}\u0001-\u0003]|(?<!\p{N})[.,:/+-]|[.,:/+-](?!\p{N}))+", " "))
-    return F.when(kept == "", F.array().cast("array<string>")).otherwise(F.split(kept, " "))
+def _plain(marked: Column) -> Column:
+    """Lower-case words of letters, digits and marks, a space between them."""
+    return F.trim(F.regexp_replace(F.lower(marked), _GAP, " "))
 
 
-def _values(text: Column) -> Column:
-    """Words with the values as they stand, in line with _template."""
-    return _words(F.regexp_replace(_marked(text), r"(?<=\p{Nd})[.,:/](?=\p{Nd})", "\u0007"))
+def _units(marked: Column) -> Column:
+    return F.when(F.contains(marked, F.lit(NUM)), F.regexp_replace(marked, _UNIT, f"$1 {UNIT}$2 ")).otherwise(marked)
 
 
-def _template(text: Column) -> Column:
-    return _words(F.regexp_replace(_marked(text), r"([\u0001-\u0003])[^\s]+", "$1"))
+def _values(df: DataFrame, name: str) -> DataFrame:
+    """df with the words of text as the column ``name``, values as they stand, in line with _template."""
+    df = df.withColumn(name, _marked(F.col("text"))).withColumn(name, _units(F.col(name)))
+    return df.withColumn(name, F.split(_plain(F.regexp_replace(name, r"(?<=\p{Nd})[.,:/](?=\p{Nd})", "\u0007")), " "))
 
 
-def _windows(words: Column, size: int) -> Column:
-    """(at, hash) of each window; a shorter sequence is one window."""
-    n = F.greatest(F.size(words) - size, F.lit(0))
-    window = lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, size)).alias("hash"))
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), n), window)).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
+def _template(df: DataFrame, name: str) -> DataFrame:
+    """df with the template of text as the column ``name``."""
+    df = df.withColumn(name, _marked(F.col("text"))).withColumn(name, _units(F.col(name)))
+    some = F.contains(name, F.lit(NUM)) | F.contains(name, F.lit(NAME))
+    return df.withColumn(name, F.when(some, F.regexp_replace(name, "([\u0001-\u0003])[^ ]+", "$1")).otherwise(F.col(name))).withColumn(name, _plain(F.col(name)))
+
+
+def _windows(df: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """keys, at, hash of the window at each word of template; fewer words are one window, none none.
+
+    The words are zipped with themselves shifted, which makes a row of each window without a
+    function call for it. Nothing is filtered before: the optimiser would move that filter below
+    the steps that make the template, and run them twice.
+    """
+    words = df.select(*keys, F.split("template", " ").alias("words"))
+    shifted = [F.slice("words", k, F.size("words")).alias(f"word{k}") for k in range(1, size + 1)]
+    rows = words.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("at", "window"))
+    return rows.where(F.col(f"window.word{size}").isNotNull() | ((F.col("at") == 0) & (F.col("window.word1") != ""))).select(*keys, "at", F.xxhash64("window").alias("hash"))
 
 
 def _slots(pairs: DataFrame, docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     """Of matched windows of items that have slots, those whose values agree within document and item."""
     key = ["doc_id", "text_key", "item_id"]
     ids = pairs.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).distinct()
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("t")), "left_semi").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), _values(F.col("text")).alias("doc_words")).dropDuplicates(["d", "t"])
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("t")), "left_semi").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "text").dropDuplicates(["d", "t"])
+    texts = _values(texts, "doc_words").drop("text")
     rows = pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("t"))).join(items.select("item_id", F.col("values").alias("item_words")), "item_id")
     both = F.arrays_zip(F.slice("item_words", F.col("item_at") + 1, size).alias("i"), F.slice("doc_words", F.col("at") + 1, size).alias("d"))
     rows = rows.select(*key, "hash", "at", "item_at", F.filter(both, lambda x: x["i"].rlike("^[\\u0001-\\u0003]")).alias("slots"))
@@ -86,16 +105,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
     item_id count together. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text_key"), F.col("text"))
-    items = benchmark.where("item_id is not null").select("item_id", F.col("text").alias("item_text"))
-    items = stored(items.select("item_id", _template(F.col("item_text")).alias("words"), _values(F.col("item_text")).alias("values")), "benchmark")
-    windows = items.select("item_id", F.explode(_windows(F.col("words"), size)).alias("w"), F.exists("words", lambda x: x.rlike("^[\\u0001-\\u0003]")).alias("slotted"))
-    windows = windows.groupBy("item_id", F.col("w.hash").alias("hash")).agg(F.min("w.at").alias("item_at"), F.max("slotted").alias("slotted"))
+    items = benchmark.where("item_id is not null").select("item_id", "text")
+    items = stored(_values(_template(items, "template"), "values").drop("text"), "benchmark")
+    items = items.withColumn("slotted", F.col("template").rlike("[\u0001-\u0003]"))
+    windows = _windows(items, ["item_id", "slotted"], size)
+    windows = windows.groupBy("item_id", "hash").agg(F.min("at").alias("item_at"), F.max("slotted").alias("slotted"))
     windows = stored(windows, "benchmark-windows")
     totals = windows.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     few = windows.count() <= broadcast_windows
     side = F.broadcast if few else lambda df: df
 
-    exploded = docs.select("doc_id", "text_key", F.explode(_windows(_template(F.col("text")), size)).alias("w")).select("doc_id", "text_key", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"))
+    exploded = _windows(_template(docs, "template"), ["doc_id", "text_key"], size)
     matched = exploded.join(side(windows), "hash")
     plain = matched.where("not slotted").select("doc_id", "text_key", "item_id", "hash")
     if not windows.where("slotted").isEmpty():
