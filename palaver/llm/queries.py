@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from palaver.llm import bpe, decontaminate, minhash, secrets, toxicity, urls, warc
+from palaver.llm import bpe, decontaminate, langid, minhash, secrets, toxicity, urls, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable]:
         "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
         "op3_url_filters": urls.op3_url_filters,
         "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
+        "op6_language_id": langid.op6_language_id,
         "op7_warc": warc.op7_warc,
         "op8_secret_scans": secrets.op8_secret_scans,
         "op10_toxicity": toxicity.op10_toxicity,
@@ -23,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
     return {
         "op3_url_filters": urls.SQL,
+        "op6_language_id": langid.op6_language_id,
         "op7_warc": warc.SQL,
     }
