@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from palaver.llm import bpe, decontaminate, langid, minhash, secrets, toxicity, urls, warc
+from palaver.llm import bpe, decontaminate, langid, maxent, minhash, secrets, toxicity, urls, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable]:
         "op6_language_id": langid.op6_language_id,
         "op7_warc": warc.op7_warc,
         "op8_secret_scans": secrets.op8_secret_scans,
+        "op9_lm_scoring": maxent.op9_lm_scoring,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
