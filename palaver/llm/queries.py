@@ -25,6 +25,5 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
     return {
         "op3_url_filters": urls.SQL,
-        "op6_language_id": langid.op6_language_id,
         "op7_warc": warc.SQL,
     }
