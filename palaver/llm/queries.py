@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from palaver.llm import bpe, decontaminate, langid, maxent, minhash, secrets, toxicity, urls, warc
+from palaver.llm import ann, bpe, decontaminate, langid, maxent, minhash, secrets, toxicity, urls, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
         "op3_url_filters": urls.op3_url_filters,
+        "op4_nearest_neighbours": ann.op4_nearest_neighbours,
         "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
         "op6_language_id": langid.op6_language_id,
         "op7_warc": warc.op7_warc,
