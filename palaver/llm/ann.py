@@ -25,13 +25,13 @@ from palaver.llm.common import dropped, scratch_root, small_batches, stored, tab
 
 #: Neighbours of a node, and how many of those that it is a neighbour of join them.
 DEGREE, REVERSE = 32, 32
-ROUNDS = 4
+ROUNDS = 3
 #: Rows of a block of the first graph, and dealings into blocks: one random, the others by direction.
 BLOCK, DEALINGS = 512, 3
 #: New neighbours that one gathering offers to a member.
 OFFERED = 3
 #: Best nodes that a query remembers, and nodes that it expands in a round, at most.
-BEAM, EXPANDED = 250, 32
+BEAM, EXPANDED = 250, 64
 NEAREST = 20
 
 
@@ -205,7 +205,7 @@ def walk(queries: DataFrame, adjacent: DataFrame, beam: int = BEAM, expanded: in
     now = stored(queries.select("q", F.array(_found(F.lit(-2.0).cast("float"), F.col("q"), F.lit(False))).alias("found")), "beam")
     while True:
         open_ = F.filter("found", lambda x: ~x["done"])
-        todo = F.slice(open_, F.lit(1), F.greatest(F.lit(1), F.least(F.lit(expanded), (F.size("found") / 8).cast("int"))))
+        todo = F.slice(open_, F.lit(1), F.greatest(F.lit(1), F.least(F.lit(expanded), (F.size("found") / 4).cast("int"))))
         state = now.select("q", "found", todo.alias("todo"))
         if state.where(F.size("todo") > 0).isEmpty():
             return now
