@@ -2,10 +2,11 @@
 
 Numbers, units after numbers and names (capitalised words inside a sentence) become typed
 placeholders. Windows of five template words of the documents are hash-joined with those of the
-benchmark. Where an item has placeholders, each value of a slot must stand for one value in the
-document: windows whose slots contradict the values that most of the pair's windows agree on are
-not counted. So a question asked again with other numbers is caught, and chance matches of bare
-templates are not.
+benchmark. Where an item has placeholders, each value of a slot must stand for one value in a copy:
+every occurrence is judged among those of its alignment, of its place and of the whole document, and
+windows whose slots contradict the values that most of a group agree on are not counted. So a
+question asked again with other numbers is caught, wherever else the document has its template, and
+chance matches of bare templates are not.
 """
 
 from __future__ import annotations
@@ -77,21 +78,37 @@ def _windows(df: DataFrame, keys: list[str], size: int) -> DataFrame:
 
 
 def _slots(pairs: DataFrame, docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """Of matched windows of items that have slots, those whose values agree within document and item."""
+    """key, n_found: of matched windows of items that have slots, those whose values agree.
+
+    Every occurrence of a window takes part. Occurrences are judged in groups: those of one
+    alignment (place in the text minus place in the item), those that begin within one item's
+    length, by two dealings, as words put in or left out shift an alignment, and all of the
+    document. In each group every slot has the value that most of it agrees on. The best group
+    counts, so a consistent copy is found whatever else the document has of the template.
+    """
     key = ["doc_id", "text_key", "item_id"]
-    ids = pairs.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).distinct()
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("t")), "left_semi").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "text").dropDuplicates(["d", "t"])
-    texts = _values(texts, "doc_words").drop("text")
-    rows = pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("t"))).join(items.select("item_id", F.col("values").alias("item_words")), "item_id")
-    both = F.arrays_zip(F.slice("item_words", F.col("item_at") + 1, size).alias("i"), F.slice("doc_words", F.col("at") + 1, size).alias("d"))
-    rows = rows.select(*key, "hash", "at", "item_at", F.filter(both, lambda x: x["i"].rlike("^[\\u0001-\\u0003]")).alias("slots"))
-    each = rows.select(*key, "hash", "at", F.explode("slots").alias("slot")).select(*key, "hash", "at", "slot.i", "slot.d")
-    agreed = each.groupBy(*key, "i", "d").agg(F.count("*").alias("c")).groupBy(*key, "i").agg(F.max_by("d", F.struct("c", "d")).alias("agreed"))
-    agreed = agreed.select(*[F.col(c).alias(f"a_{c}") for c in (*key, "i")], "agreed")
     same = lambda p, names: [F.col(c).eqNullSafe(F.col(f"{p}_{c}")) for c in names]
-    wrong = each.join(agreed, same("a", (*key, "i"))).where("d <> agreed").select(*[F.col(c).alias(f"w_{c}") for c in (*key, "hash", "at")]).distinct()
-    out = rows.join(wrong, same("w", (*key, "hash", "at")), "left_anti")
-    return out.select(*key, "hash")
+    renamed = lambda df, p, names, *more: df.select(*[F.col(c).alias(f"{p}_{c}") for c in names], *more)
+    of = ["doc_id", "text_key", "text_hash"]
+    texts = docs.join(renamed(pairs, "t", of).distinct(), same("t", of), "left_semi").dropDuplicates(of)
+    rows = pairs.join(renamed(_values(texts, "doc_words"), "t", of, "doc_words"), same("t", of))
+    rows = rows.select(*key, "text_hash", "hash", "at", "item_at", F.slice("doc_words", F.col("at") + 1, size).alias("doc_part"))
+    rows = rows.join(items.select("item_id", F.col("values").alias("item_words")), "item_id")
+    both = F.arrays_zip(F.slice("item_words", F.col("item_at") + 1, size).alias("i"), F.col("doc_part").alias("d"))
+    begin, length = F.col("at") - F.col("item_at"), F.size("item_words")
+    near = lambda shift: F.floor((begin + shift) / length).cast("int")
+    group = lambda kind, text, n: F.struct(F.lit(kind).alias("kind"), text.alias("text"), n.alias("n"))
+    text, none = F.col("text_hash"), F.lit(None)
+    groups = F.array(group(0, text, begin), group(1, text, near(F.lit(0))), group(2, text, near(length / 2)), group(3, none.cast("long"), none.cast("int")))
+    rows = rows.select(*key, F.explode(groups).alias("group"), "text_hash", "hash", "at", "item_at", F.filter(both, lambda x: x["i"].rlike("^[\\u0001-\\u0003]")).alias("slots"))
+    key = [*key, "group"]
+    each = rows.select(*key, "text_hash", "hash", "at", "item_at", F.explode("slots").alias("slot")).select(*key, "text_hash", "hash", "at", "item_at", "slot.i", "slot.d")
+    agreed = each.groupBy(*key, "i", "d").agg(F.count("*").alias("c")).groupBy(*key, "i").agg(F.max_by("d", F.struct("c", "d")).alias("agreed"))
+    agreed = renamed(agreed, "a", (*key, "i"), "agreed")
+    place = [*key, "text_hash", "hash", "at", "item_at"]
+    wrong = renamed(each.join(agreed, same("a", (*key, "i"))).where("d <> agreed"), "w", place).distinct()
+    out = rows.join(wrong, same("w", place), "left_anti").select(*key, "hash").distinct()
+    return out.groupBy(*key).agg(F.count("*").alias("n")).groupBy(*key[:-1]).agg(F.max("n").alias("n_found"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -104,28 +121,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
     reported with a null doc_id. Items with a null item_id are left out; rows that repeat an
     item_id count together. Other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text_key"), F.col("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text_key"), F.xxhash64("text").alias("text_hash"), F.col("text"))
     items = benchmark.where("item_id is not null").select("item_id", "text")
     items = stored(_values(_template(items, "template"), "values").drop("text"), "benchmark")
     items = items.withColumn("slotted", F.col("template").rlike("[\u0001-\u0003]"))
     windows = _windows(items, ["item_id", "slotted"], size)
-    windows = windows.groupBy("item_id", "hash").agg(F.min("at").alias("item_at"), F.max("slotted").alias("slotted"))
+    windows = windows.groupBy("item_id", "hash").agg(F.collect_set("at").alias("item_ats"), F.max("slotted").alias("slotted"))
     windows = stored(windows, "benchmark-windows")
     totals = windows.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     few = windows.count() <= broadcast_windows
     side = F.broadcast if few else lambda df: df
 
-    exploded = _windows(_template(docs, "template"), ["doc_id", "text_key"], size)
+    key = ["doc_id", "text_key", "item_id"]
+    exploded = _windows(_template(docs, "template"), ["doc_id", "text_key", "text_hash"], size)
     matched = exploded.join(side(windows), "hash")
-    plain = matched.where("not slotted").select("doc_id", "text_key", "item_id", "hash")
-    if not windows.where("slotted").isEmpty():
-        matched = stored(matched.select("doc_id", "text_key", "item_id", "hash", "at", "item_at", "slotted"), "matched")
-        plain = matched.where("not slotted").select("doc_id", "text_key", "item_id", "hash")
-        slotted = matched.where("slotted").dropDuplicates(["doc_id", "text_key", "item_id", "hash"])
-        plain = plain.unionByName(_slots(slotted, docs, items.dropDuplicates(["item_id"]), size))
-    found = plain.distinct().groupBy("doc_id", "text_key", "item_id").agg(F.count("*").alias("n_found"))
+    counted = lambda df: df.select(*key, "hash").distinct().groupBy(*key).agg(F.count("*").alias("n_found"))
     ratio = F.col("n_found") / F.col("n_windows")
-    return found.join(side(totals), "item_id").where(ratio >= share).select("doc_id", "text_key", "item_id", "n_windows", "n_found", ratio.alias("share"))
+    if windows.where("slotted").isEmpty():
+        found = counted(matched)
+    else:
+        matched = stored(matched.select(*key, "text_hash", "hash", "at", "item_ats", "slotted"), "matched")
+        slotted = matched.where("slotted")
+        # Slots only take windows away: pairs with too few are done with.
+        enough = counted(matched).join(side(totals), "item_id").where(ratio >= share).select(*[F.col(c).alias(f"e_{c}") for c in key])
+        slotted = slotted.join(enough, [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in key], "left_semi")
+        slotted = slotted.select(*key, "text_hash", "hash", "at", F.explode("item_ats").alias("item_at")).distinct()
+        slotted = stored(slotted, "slotted")
+        found = counted(matched.where("not slotted")).unionByName(_slots(slotted, docs, items.dropDuplicates(["item_id"]), size))
+        found = found.groupBy(*key).agg(F.sum("n_found").alias("n_found"))
+    return found.join(side(totals), "item_id").where(ratio >= share).select(*key, "n_windows", "n_found", ratio.alias("share"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

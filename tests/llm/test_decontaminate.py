@@ -58,6 +58,21 @@ def test_changed_values_are_caught_and_contradictions_are_not(spark):
     assert 3 not in got
 
 
+def test_a_copy_is_found_among_other_values_of_its_template(spark):
+    """Whichever occurrence of a window comes first, the consistent copy is judged by itself."""
+    say = lambda who, a, b: f"a train with {who} aboard goes {a} km in {b} hours and then {who} walks {a} km more, how far does {who} go in {b} hours"
+    item = say("Alice", 120, 2)
+    part = lambda k, a: " ".join(say(f"N{chr(97 + k)}o", a, k + 3).split()[k * 3 : k * 3 + 9])
+    table = ". ".join(part(k, 30 + 7 * k) for k in range(7))
+    copies = [item, say("Bob", 75, 3), say("Bob", 75, 3).replace("and then", "and only then")]
+    docs = [(10 * k, f"see: {c}") for k, c in enumerate(copies)]
+    docs += [(10 * k + 1, f"{table}. see: {c}") for k, c in enumerate(copies)] + [(10 * k + 2, f"see: {c}. {table}") for k, c in enumerate(copies)]
+    got = {d: (n, f) for d, _, n, f in run(spark, [*docs, (99, table)], [(7, item)])}
+    assert 99 not in got and {d for d, _ in docs} == got.keys()
+    for d, (n, f) in got.items():
+        assert f >= got[d // 10 * 10][1] and (d >= 20 or n == f)
+
+
 def test_nulls_repeats_and_empty(spark):
     docs = [(1, None), (2, ""), (None, "one two three four five six"), (None, "something else"), (3, "x one two three four five six"), (3, "x one two three four five six")]
     items = [(1, "one two three four five six"), (2, None), (3, ""), (None, "something else")]
