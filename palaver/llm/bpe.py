@@ -28,6 +28,8 @@ CHUNK_CHARS, OVERLAP_CHARS = 65_536, 4_096
 CACHE = 400_000
 #: Pieces of more bytes than this are merged with a heap.
 LONG_PIECE = 48
+#: Code points beyond a pre-token's begin that decide whether it is a contraction ('re, 've, 'll).
+AHEAD = 3
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -126,11 +128,12 @@ def _coder(ranks, pattern: str) -> _Coder:
 def sure_bounds(pattern: regex.Pattern, text: str, start: int, last: bool) -> list[int]:
     """Boundaries, counted from the text's begin, that a chunk's own reading gives.
 
-    A pre-token that touches the end of what the chunk reads could go on there, so its end is left
-    out unless the chunk is the last.
+    A pre-token that touches the end of what the chunk reads could go on there, and an apostrophe
+    just before it could begin a contraction; so the last ends are left out unless the chunk is the
+    last.
     """
     ends = [start + m.end() for m in pattern.finditer(text)]
-    if not last and ends and ends[-1] == start + len(text):
+    while not last and ends and ends[-1] > start + len(text) - AHEAD:
         ends.pop()
     return [start, *ends]
 

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import public_tokenizers as P
+import regex
 import tiktoken
 
 from palaver.llm import bpe
@@ -50,6 +51,16 @@ def test_equals_library_in_many_chunks(spark):
         assert order(got(spark, texts(), chunk_chars=chunk, overlap_chars=overlap)) == order(expected(texts()))
 
 
+def test_contractions_around_the_ends_of_chunks():
+    """Every offset of a contraction to what a chunk reads, stitched as a task does it."""
+    pattern, (chunk, overlap) = regex.compile(P.PATTERN), (24, 8)
+    for said in ("they're", "we've", "she'll", "it's", "!'re", "''ll", " 've"):
+        for offset in range(70):
+            text = ("ab " * 40)[:offset] + said + " and more of the text" * 4
+            bounds = [bpe.sure_bounds(pattern, text[a : a + chunk + overlap], a, a + chunk + overlap >= len(text)) for a in range(0, len(text), chunk)]
+            assert bpe.stitch(pattern, text, bounds) == [0, *(m.end() for m in pattern.finditer(text))], (said, offset)
+
+
 def test_every_long_piece_merges_as_the_library(spark):
     enc, ranks, rng = encoding(), bpe.load_ranks(PATH), random.Random(5)
     for _ in range(300):
