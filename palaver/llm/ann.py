@@ -6,8 +6,10 @@ gathers its neighbours and some of those that have it as a neighbour; all of a g
 compared, and each keeps the best that it meets: neighbours of neighbours become neighbours.
 
 Queries walk the graph together. A round expands the best nodes of each query that are not expanded
-yet, and a query ends when its best nodes all are. Graph and walk compare vectors rounded to bytes;
-the order of the answer comes from the vectors themselves, in double precision.
+yet, and a query ends when its best nodes all are. Graph and walk compare the vectors themselves, in
+double precision and with the further component apart, so neither near copies nor a few long vectors
+blur the others. All nodes of a query that summing in another order could bring into its answer are
+ranked again.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from palaver.llm.common import dropped, scratch_root, small_batches, stored, tab
 
 #: Neighbours of a node, and how many of those that it is a neighbour of join them.
 DEGREE, REVERSE = 32, 32
-ROUNDS = 3
+#: Rounds go on until this share of a graph's edges is new, at most.
+CHANGED = 0.01
 #: Rows of a block of the first graph, and dealings into blocks: one random, the others by direction.
 BLOCK, DEALINGS = 512, 3
 #: New neighbours that one gathering offers to a member.
@@ -35,34 +38,30 @@ BEAM, EXPANDED = 250, 64
 NEAREST = 20
 
 
-def _rounded(x: np.ndarray, further: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Vectors with a further component, as bytes and the length of a step."""
-    x = np.column_stack([x, further])
-    step = np.maximum(np.abs(x).max(axis=1), 1e-300) / 127
-    codes = np.rint(x / step[:, None]).astype(np.int8)
-    return pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(step, pa.float64())
+def _coded(dim: int, longest: float, bits: int, kind: str, as_query: bool) -> Callable:
+    """Vectors as bytes of numpy's type ``kind``; of nodes the further component and their sides too."""
 
-
-def _coded(dim: int, longest: float, bits: int, as_query: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.Generator(np.random.PCG64(41)).normal(size=(DEALINGS - 1, bits, dim))
         for batch in batches:
-            x = np.asarray(batch.column("vector").flatten()).reshape(-1, dim) / longest
-            squares = (x * x).sum(axis=1)
-            code, scale = _rounded(x, np.zeros(len(x)) if as_query else np.sqrt(np.maximum(0, 1 - squares)))
-            sides = [((x @ p.T > 0) * (1 << np.arange(bits))).sum(axis=1).astype(np.int64) for p in planes]
-            out = [batch.column("node"), code, scale]
-            names = ["node", "code", "scale"]
+            x = np.asarray(batch.column("vector").flatten()).reshape(-1, dim)
+            out = [batch.column("node"), pa.array([c.tobytes() for c in x.astype(kind)], pa.binary())]
+            names = ["node", "code"]
             if not as_query:
-                out.append(pa.array(np.stack(sides, axis=1).tolist(), pa.list_(pa.int64())))
-                names.append("sides")
+                scaled = x / longest
+                sides = [((x @ p.T > 0) * (1 << np.arange(bits))).sum(axis=1).astype(np.int64) for p in planes]
+                out += [pa.array(np.sqrt(np.maximum(0, 1 - (scaled * scaled).sum(axis=1)))), pa.array(np.stack(sides, axis=1).tolist(), pa.list_(pa.int64()))]
+                names += ["further", "sides"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     return run
 
 
-def _compared(offered: int) -> Callable:
-    """Of each gathering (array of w, code, scale, least), the pairs that raise a member's least score."""
+def _compared(offered: int, longest: float, kind: str) -> Callable:
+    """Of each gathering (array of w, code, further, least, known), the pairs that raise a member's least score.
+
+    Pairs of a member and one of its known neighbours are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,8 +70,11 @@ def _compared(offered: int) -> Callable:
             # Alike sizes together, so that little is padded; a wide gathering goes with few others.
             order, begin, starts = np.argsort(sizes), 0, np.cumsum([0, *sizes])
             flat = lists.flatten()
-            w, scale, least = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("w", "scale", "least"))
+            w, further, least = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("w", "further", "least"))
             codes = flat.field("code").to_pylist()
+            had = flat.field("known")
+            n_had, had = had.value_lengths().to_numpy(zero_copy_only=False), had.flatten().to_numpy(zero_copy_only=False)
+            had_from = np.cumsum([0, *n_had])
             found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
             while begin < len(order):
                 width = int(sizes[order[begin]])
@@ -86,39 +88,49 @@ def _compared(offered: int) -> Callable:
                 group = np.repeat(np.arange(len(own)), sizes[own])
                 place = np.concatenate([np.arange(n) for n in sizes[own]])
                 at = starts[own][group] + place
-                vectors = np.frombuffer(b"".join([codes[i] for i in at]), np.int8).reshape(len(at), -1)
-                x = np.zeros((len(own), width, vectors.shape[1]), np.float32)
-                x[group, place] = vectors
-                ids, steps, floor = np.full(x.shape[:2], -1, np.int64), np.zeros(x.shape[:2]), np.full(x.shape[:2], np.inf)
+                vectors = np.frombuffer(b"".join([codes[i] for i in at]), kind).reshape(len(at), -1)
+                x = np.zeros((len(own), width, vectors.shape[1] + 1))
+                x[group, place, :-1] = vectors / longest
+                x[group, place, -1] = further[at]
+                ids, floor = np.full(x.shape[:2], -1, np.int64), np.full(x.shape[:2], np.inf)
                 real = np.zeros(x.shape[:2], bool)
-                ids[group, place], steps[group, place], floor[group, place], real[group, place] = w[at], scale[at], least[at], True
-                scores = (x @ x.transpose(0, 2, 1)) * (steps[:, :, None] * steps[:, None, :])
-                scores[(ids[:, :, None] == ids[:, None, :]) | ~real[:, None, :]] = -np.inf
+                ids[group, place], floor[group, place], real[group, place] = w[at], least[at], True
+                scores = x @ x.transpose(0, 2, 1)
+                out = (ids[:, :, None] == ids[:, None, :]) | ~real[:, None, :]
+                for r in range(int(n_had[at].max(initial=0))):
+                    has = np.flatnonzero(n_had[at] > r)
+                    known = np.full(x.shape[:2], -1, np.int64)
+                    known[group[has], place[has]] = had[had_from[at[has]] + r]
+                    out |= (known[:, :, None] == ids[:, None, :])
+                scores[out] = -np.inf
                 k = min(offered, width - 1)
                 best = np.argpartition(-scores, k - 1, axis=2)[:, :, :k]
                 s = np.take_along_axis(scores, best, axis=2)
                 g, i, j = np.nonzero((s > floor[:, :, None]) & (s > -np.inf))
                 found.append((ids[g, i], ids[g, best[g, i, j]], s[g, i, j]))
             node, other, s = (np.concatenate(c) for c in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(other), pa.array(s.astype(np.float32))], names=["node", "w", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(other), pa.array(s)], names=["node", "w", "s"])
 
     return run
 
 
-def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _expanded(kind: str) -> Callable:
     """Scores of the neighbours of expanded nodes that may be among a query's best."""
-    for batch in batches:
-        lists = batch.column("members")
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-        flat = lists.flatten()
-        if not len(flat):
-            continue
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        of = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.int8).reshape(len(c), -1).astype(np.float32)
-        dots = np.einsum("ij,ij->i", of(flat.field("code")), of(batch.column("q_code"))[row])
-        s = dots * flat.field("scale").to_numpy(zero_copy_only=False) * batch.column("q_scale").to_numpy(zero_copy_only=False)[row]
-        keep = s > batch.column("least").to_numpy(zero_copy_only=False)[row]
-        yield pa.RecordBatch.from_arrays([batch.column("q").take(pa.array(row[keep])), flat.field("w").filter(pa.array(keep)), pa.array(s[keep].astype(np.float32))], names=["q", "w", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("members")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            if not len(flat):
+                continue
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            of = lambda c: np.frombuffer(b"".join(c.to_pylist()), kind).reshape(len(c), -1).astype(np.float64)
+            s = np.einsum("ij,ij->i", of(flat.field("code")), of(batch.column("q_code"))[row])
+            keep = s >= batch.column("least").to_numpy(zero_copy_only=False)[row]
+            yield pa.RecordBatch.from_arrays([batch.column("q").take(pa.array(row[keep])), flat.field("w").filter(pa.array(keep)), pa.array(s[keep])], names=["q", "w", "s"])
+
+    return run
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -136,14 +148,14 @@ def usable(embeddings: DataFrame) -> DataFrame:
 
 
 def _best(edges: DataFrame, degree: int) -> DataFrame:
-    """The ``degree`` best of node, w, s for each node.
+    """The ``degree`` best of node, w, s, fresh for each node.
 
-    Ranks are cut before rows are dealt out, so a node that many gatherings offer to is no hot key.
-    Offers of one pair can repeat, hence the wider first cut.
+    Rows of one pair are merged first, wherever they lie. Spark then cuts ranks before rows are
+    dealt out, so a node that many gatherings offer to is no hot key.
     """
     by = W.partitionBy("node").orderBy(F.desc("s"), "w")
-    wide = edges.withColumn("r", F.row_number().over(by)).where(F.col("r") <= 8 * degree)
-    return wide.groupBy("node", "w").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(by)).where(F.col("r") <= degree).drop("r")
+    merged = edges.groupBy("node", "w").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+    return merged.withColumn("r", F.row_number().over(by)).where(F.col("r") <= degree).drop("r")
 
 
 def _gatherings(edges: DataFrame, reverse: int, seed: int) -> DataFrame:
@@ -154,17 +166,19 @@ def _gatherings(edges: DataFrame, reverse: int, seed: int) -> DataFrame:
     """
     back = edges.select(F.col("w").alias("at"), F.col("node").alias("w"))
     some = back.withColumn("r", F.row_number().over(W.partitionBy("at").orderBy(F.xxhash64("at", "w", F.lit(seed)), "w"))).where(F.col("r") <= reverse).drop("r")
-    return edges.select(F.col("node").alias("at"), "w").unionByName(some)
+    return edges.select(F.col("node").alias("at"), "w").unionByName(some).distinct()
 
 
-def graph(nodes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
-    """node, w, s: the nearest other nodes found for each of nodes (node, code, scale, sides).
+def graph(nodes: DataFrame, longest: float, kind: str, degree: int = DEGREE, reverse: int = REVERSE, changed: float = CHANGED, block: int = BLOCK) -> DataFrame:
+    """node, w, s, fresh: the nearest other nodes found for each of nodes (node, code, further, sides).
 
-    No nodes give no rows, a lone one none either.
+    Rounds go on until no more than the share ``changed`` of the edges is new (fresh). No nodes
+    give no rows, a lone one none either.
     """
     spark = nodes.sparkSession
-    kind = "node long, w long, s float"
-    member = F.struct(F.col("node").alias("w"), "code", "scale", F.lit(-2.0).alias("least"))
+    pair = "node long, w long, s double"
+    met_in = lambda gathered, offered: gathered.mapInArrow(_compared(offered, longest, kind), pair).withColumn("fresh", F.lit(True))
+    member = F.struct(F.col("node").alias("w"), "code", "further", F.lit(-2.0).alias("least"), F.array().cast("array<bigint>").alias("known"))
     n = nodes.count()
     blocks = max(1, -(-n // block))
     random = nodes.select(F.lit(-1).alias("deal"), F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block"), F.lit(0).alias("part"), member.alias("member"))
@@ -172,15 +186,20 @@ def graph(nodes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds
     parts = sided.groupBy("deal", "block").agg(F.ceil(F.count("*") / (2 * block)).alias("parts"))
     sided = sided.join(parts, ["deal", "block"]).select("deal", "block", F.pmod(F.xxhash64("node", "deal"), "parts").cast("int").alias("part"), "member")
     dealt = random.unionByName(sided).groupBy("deal", "block", "part").agg(F.collect_list("member").alias("members")).select("members")
-    edges = stored(_best(dealt.mapInArrow(_compared(degree), kind), degree), "graph")
-    for k in range(rounds if n > block else 0):
-        least = edges.groupBy("node").agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(-2.0).cast("double").alias("least"))
-        known = nodes.join(least, "node", "left").select(F.col("node").alias("w"), "code", "scale", F.coalesce("least", F.lit(-2.0)).alias("least"))
-        met = _gatherings(edges, reverse, k).join(known, "w").groupBy("at").agg(F.collect_set(F.struct("w", "code", "scale", "least")).alias("members")).select("members")
-        after = stored(_best(edges.unionByName(met.mapInArrow(_compared(OFFERED), kind)), degree), "graph")
+    edges = stored(_best(met_in(dealt, degree), degree), "graph")
+    k = 0
+    # An edge is only given up for a better one, so the rounds come to an end.
+    while n > block:
+        own = edges.groupBy("node").agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(-2.0).alias("least"), F.collect_list("w").alias("known"))
+        known = nodes.join(own, "node", "left").select(F.col("node").alias("w"), "code", "further", F.coalesce("least", F.lit(-2.0)).alias("least"), F.coalesce("known", F.array().cast("array<bigint>")).alias("known"))
+        met = _gatherings(edges, reverse, k).join(known, "w").groupBy("at").agg(F.collect_list(F.struct("w", "code", "further", "least", "known")).alias("members")).select("members")
+        after = stored(_best(edges.withColumn("fresh", F.lit(False)).unionByName(met_in(met, OFFERED)), degree), "graph")
         dropped(edges)
-        edges = after
+        edges, k = after, k + 1
         spark._jvm.System.gc()  # lets Spark delete the shuffle files of rounds gone by
+        fresh, all_ = edges.agg(F.count_if("fresh"), F.count("*")).first()
+        if fresh <= changed * all_:
+            break
     return edges
 
 
@@ -188,30 +207,32 @@ def _adjacent(edges: DataFrame, nodes: DataFrame, reverse: int) -> tuple[DataFra
     """node, members, written in buckets by node: rounds of a search read it without a shuffle."""
     spark = edges.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = _gatherings(edges, reverse, 0).join(nodes.select(F.col("node").alias("w"), "code", "scale"), "w")
+    both = _gatherings(edges, reverse, 0).join(nodes.select(F.col("node").alias("w"), "code"), "w")
     name = f"palaver_graph_{uuid.uuid4().hex}"
     path = f"{scratch_root(spark)}/palaver/{spark.sparkContext.applicationId}/{name}"
-    rows = both.groupBy(F.col("at").alias("node")).agg(F.collect_set(F.struct("w", "code", "scale")).alias("members"))
+    rows = both.groupBy(F.col("at").alias("node")).agg(F.collect_list(F.struct("w", "code")).alias("members"))
     rows.repartition(n, "node").write.bucketBy(n, "node").sortBy("node").option("path", path).saveAsTable(name)
     return spark.table(name), name
 
 
 def _found(s: Column, w: Column, done: Column) -> Column:
-    return F.struct(s.alias("s"), w.alias("w"), done.alias("done"))
+    """In the answer's order, from the last on: by score, and of equal ones the smaller id is better."""
+    return F.struct(s.alias("s"), F.negative(w).alias("order"), w.alias("w"), done.alias("done"))
 
 
-def walk(queries: DataFrame, adjacent: DataFrame, beam: int = BEAM, expanded: int = EXPANDED) -> DataFrame:
-    """q, found (best first: s, w, done) of queries (q, q_code, q_scale), each from its own node on."""
-    now = stored(queries.select("q", F.array(_found(F.lit(-2.0).cast("float"), F.col("q"), F.lit(False))).alias("found")), "beam")
+def walk(queries: DataFrame, adjacent: DataFrame, kind: str, beam: int = BEAM, expanded: int = EXPANDED) -> DataFrame:
+    """q, found (best first: s, order, w, done) of queries (q, q_code), each from its own node on."""
+    none = F.lit(float("-inf"))
+    now = stored(queries.select("q", F.array(_found(none, F.col("q"), F.lit(False))).alias("found")), "beam")
     while True:
         open_ = F.filter("found", lambda x: ~x["done"])
         todo = F.slice(open_, F.lit(1), F.greatest(F.lit(1), F.least(F.lit(expanded), (F.size("found") / 4).cast("int"))))
         state = now.select("q", "found", todo.alias("todo"))
         if state.where(F.size("todo") > 0).isEmpty():
             return now
-        least = F.when(F.size("found") >= beam, F.element_at("found", -1)["s"]).otherwise(-3.0).cast("double")
+        least = F.when(F.size("found") >= beam, F.element_at("found", -1)["s"]).otherwise(none)
         front = state.where(F.size("todo") > 0).select("q", least.alias("least"), F.explode("todo.w").alias("node")).join(queries, "q")
-        hits = front.join(adjacent, "node").select("q", "q_code", "q_scale", "least", "members").mapInArrow(_expanded, "q long, w long, s float")
+        hits = front.join(adjacent, "node").select("q", "q_code", "least", "members").mapInArrow(_expanded(kind), "q long, w long, s double")
         old = state.select("q", F.explode(F.transform("found", lambda x: _found(x["s"], x["w"], x["done"] | F.array_contains("todo.w", x["w"])))).alias("x")).select("q", "x.w", "x.s", "x.done")
         merged = old.unionByName(hits.withColumn("done", F.lit(False))).repartition("q").groupBy("q", "w").agg(F.max("s").alias("s"), F.max("done").alias("done"))
         best = merged.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(_found(F.col("s"), F.col("w"), F.col("done"))), False), 1, beam).alias("found"))
@@ -220,7 +241,7 @@ def walk(queries: DataFrame, adjacent: DataFrame, beam: int = BEAM, expanded: in
         now = after
 
 
-def neighbours(embeddings: DataFrame, queries: Column, k: int = NEAREST, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS, beam: int = BEAM) -> DataFrame:
+def neighbours(embeddings: DataFrame, queries: Column, k: int = NEAREST, degree: int = DEGREE, reverse: int = REVERSE, changed: float = CHANGED, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row that ``queries`` chooses.
 
     ``queries`` is a condition on vec_id. A query's own row is no candidate, copies of its vector
@@ -238,19 +259,25 @@ def neighbours(embeddings: DataFrame, queries: Column, k: int = NEAREST, degree:
     size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     longest, n = classes.agg(F.max(size), F.count("*")).first()
     bits = max(0, int(np.log2(max(1, n / BLOCK))))
-    coded = lambda df, as_query: df.select("node", "vector").mapInArrow(_coded(first.dim, longest, bits, as_query), "node long, code binary, scale double" + ("" if as_query else ", sides array<bigint>"))
+    # Components are kept as they came, in single precision only where they were so.
+    kind = "<f4" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    coded = lambda df, as_query: df.select("node", "vector").mapInArrow(_coded(first.dim, longest, bits, kind, as_query), "node long, code binary" + ("" if as_query else ", further double, sides array<bigint>"))
     nodes = stored(coded(classes, False), "codes")
-    edges = graph(nodes, degree, reverse, rounds)
+    edges = graph(nodes, longest, kind, degree, reverse, changed)
     adjacent, name = _adjacent(edges, nodes, reverse)
 
     members = rows.join(classes, "vector").select("node", "vec_id")
     chosen = stored(members.where(queries).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")), "queries")
     asked = classes.join(chosen.select(F.col("q").alias("node")).distinct(), "node", "left_semi")
-    asked = stored(coded(asked, True).select(F.col("node").alias("q"), F.col("code").alias("q_code"), F.col("scale").alias("q_scale")), "asked")
-    found = walk(asked, adjacent, beam)
-
-    # The own node first, whatever its score, as its copies may be nearest.
-    pairs = found.select("q", F.explode(F.array_union(F.array("q"), F.slice("found.w", 1, 3 * k))).alias("w"))
+    asked = stored(coded(asked, True).select(F.col("node").alias("q"), F.col("code").alias("q_code")), "asked")
+    found = walk(asked, adjacent, kind, beam)
+
+    # The own node first, whatever its score, as its copies may be nearest. Of the others, all that
+    # the order of summing could bring among the best k + 1, ties among them.
+    doubt = 8 * first.dim * float(np.finfo(float).eps) * longest**2
+    edge = F.element_at("found", F.least(F.lit(k + 1), F.size("found")))["s"] - doubt
+    able = F.transform(F.filter("found", lambda x: x["s"] >= edge), lambda x: x["w"])
+    pairs = found.select("q", F.explode(F.array_union(F.array("q"), able)).alias("w"))
     vector = lambda c: classes.select(F.col("node").alias(c), F.col("vector").alias(f"{c}_vector"))
     dot = F.aggregate(F.zip_with("q_vector", "w_vector", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     scored = pairs.join(vector("q"), "q").join(vector("w"), "w").select("q", "w", dot.alias("score"))

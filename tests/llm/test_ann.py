@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palaver.llm.ann import neighbours, op4_nearest_neighbours
+from palaver.llm.ann import _best, _compared, neighbours, op4_nearest_neighbours
 
 SCHEMA = "vec_id long, embedding array<float>, label int, q long"
 
@@ -58,3 +58,39 @@ def test_query_reaches_all_of_a_small_table(spark):
     want = brute([r.vec_id for r in rows], [r.embedding for r in rows], lambda i: i % 20 == 0)
     got = answers(op4_nearest_neighbours(spark, "/root/testdata/sf0.001"))
     assert np.mean([len({*got[q]} & {*want[q]}) / 20 for q in want]) >= 0.95
+
+
+def recall(spark, vectors, k=20):
+    vectors = np.asarray(vectors, np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in x], 0, 0) for i, x in enumerate(vectors)], SCHEMA)
+    want = brute(range(len(vectors)), vectors, lambda i: i % 10 == 0, k)
+    got = answers(neighbours(df, F.col("vec_id") % 10 == 0, k))
+    assert got.keys() == want.keys()
+    return np.mean([len({*got[q]} & {*want[q]}) / k for q in want])
+
+
+def test_recall_among_near_copies(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(2, 16))
+    assert recall(spark, centre[np.arange(2000) % 2] + 1e-3 * rng.normal(size=(2000, 16))) >= 0.9
+
+
+def test_recall_beside_a_long_vector(spark):
+    x = np.random.default_rng(7).normal(size=(2000, 16))
+    x[77] *= 100
+    assert recall(spark, x) >= 0.9
+
+
+def test_repeated_offers_do_not_displace_edges(spark):
+    """A hub's best pairs, offered again and again, count once."""
+    rows = [(1, w, 1.0 - w / 1000, True) for w in range(2, 42) for _ in range(300 if w < 12 else 1)]
+    best = _best(spark.createDataFrame(rows, "node long, w long, s double, fresh boolean"), 32).collect()
+    assert sorted(r.w for r in best) == list(range(2, 34))
+
+
+def test_known_neighbours_are_not_offered(spark):
+    codes = [np.array([1.0, 0.1 * i + 0.1], "<f8").tobytes() for i in range(5)]
+    members = [(i, c, 0.0, -2.0, [4, 3] if i == 2 else []) for i, c in enumerate(codes)]
+    df = spark.createDataFrame([(members,)], "members array<struct<w:bigint,code:binary,further:double,least:double,known:array<bigint>>>")
+    got = df.mapInArrow(_compared(1, 2.0, "<f8"), "node long, w long, s double").collect()
+    assert {r.node: r.w for r in got} == {0: 4, 1: 4, 2: 1, 3: 4, 4: 3}
