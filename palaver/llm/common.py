@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,14 @@ BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder, by any path that Spark can read."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the input folder, by any path that Spark can read.
+
+    Spark cannot split a row group among tasks. A table of fewer files than there are cores may be
+    a single one, so its rows are dealt out; larger tables are read as they lie.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -28,32 +36,88 @@ def small_batches(spark: SparkSession) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is made and kept in
-    the session's settings.
+    Only where it is unset and Spark runs on this machine alone, as in tests, a temporary folder is
+    made and kept in the session's settings. A cluster without the setting is an error: its
+    executors share no local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("palaver.scratch", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is unset; with master {master} it has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="palaver-")
         spark.conf.set("palaver.scratch", root)
     return root.rstrip("/")
 
 
+#: Paths stored within the open scratch scopes, the innermost last.
+_SCOPES: list[list[str]] = []
+#: Spark deletes the shuffle files of a query at its end.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, deleted at the end of the scratch scope around."""
+    path = f"{scratch_root(spark)}/palaver/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back, which cuts its lineage."""
+    """Write an intermediate table to the shared folder and read it back, which cuts its lineage.
+
+    The shuffle files behind it are deleted once it is written.
+    """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/palaver/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch_path(spark, name)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete intermediate tables that no later step reads."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._scratch_path)
+        for scope in _SCOPES:
+            if df._scratch_path in scope:
+                scope.remove(df._scratch_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A scope at whose end, also after a failure, all that was stored within it is deleted.
+
+    What an operator returns may read such tables: write or collect it within the scope, or hand
+    its tables to the scope around by kept().
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Hand a stored table to the scope around the innermost, or to nobody where there is none."""
+    if _SCOPES and df._scratch_path in _SCOPES[-1]:
+        _SCOPES[-1].remove(df._scratch_path)
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(df._scratch_path)
+    return df
 
 
 def fold(doc_id: str | Column, n: int) -> Column:
