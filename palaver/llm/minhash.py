@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.llm import sketch as S
-from palaver.llm.common import dropped, small_batches, stored, table
+from palaver.llm.common import dropped, kept, scratch, small_batches, stored, table
 from palaver.llm.graph import components
 
 #: Link where SHARE[0] * intersection >= SHARE[1] * union.
@@ -54,17 +54,14 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        ns = batch.column("n").to_numpy(zero_copy_only=False)
-        sketches = [np.frombuffer(x, np.uint16) for x in batch.column("sketch").to_pylist()]
-        keys = np.array([S.band_keys(x) for x in sketches], np.int64).reshape(-1)
-        band = np.tile(np.arange(S.BANDS, dtype=np.int32), len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(band), pa.array(np.repeat(ids, S.BANDS)), pa.array(np.repeat(ns, S.BANDS))], names=["bucket", "band", "doc_id", "n"])
+        keys = [S.band_keys(np.frombuffer(x, np.uint16)) for x in batch.column("sketch").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int64).reshape(-1)), pa.array(np.repeat(ids, S.BANDS))], names=["bucket", "doc_id"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [S.shingles(t).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(sets, pa.binary())], names=["doc_id", "n", "shingles"])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -81,7 +78,7 @@ def linked(a: np.ndarray, b: np.ndarray, share: tuple[int, int] = SHARE) -> bool
     return share[0] * both >= share[1] * (len(a) + len(b) - both)
 
 
-def _near(na, nb, share: tuple[int, int]):
+def _near(na: np.ndarray, nb: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     """What sizes alone allow: the intersection is at most the smaller, the union at least the larger."""
     return share[0] * np.minimum(na, nb) >= share[1] * np.maximum(na, nb)
 
@@ -133,7 +130,7 @@ def _likely_pairs(block: pd.DataFrame, share: tuple[int, int], margin: float) ->
     right = np.flatnonzero(block["right"].to_numpy())
     ids, n, comp = (block[c].to_numpy() for c in ("doc_id", "n", "comp"))
     sketch = np.frombuffer(b"".join(block["sketch"]), np.uint16).reshape(-1, S.REGISTERS)
-    band, found = int(block["band"].iloc[0]), [(np.empty(0, int), np.empty(0, int))]
+    band, found = int(block["bucket"].iloc[0]) & 127, [(np.empty(0, int), np.empty(0, int))]
     rows = max(1, 30_000 // max(1, len(right)))
     for at in range(0, len(left), rows):
         own = left[at : at + rows]
@@ -191,7 +188,7 @@ def _forest(share: tuple[int, int], margin: float) -> Callable:
 
 
 def _in_blocks(members: DataFrame, size: int) -> DataFrame:
-    """Rows (bucket, band, doc_id, comp) dealt to blocks (bucket, i, j).
+    """Rows (bucket, doc_id, comp) dealt to blocks (bucket, i, j).
 
     Members outside the bucket's largest component are in left block i, all members in right block
     j. Only buckets of several components come in.
@@ -207,8 +204,8 @@ def _in_blocks(members: DataFrame, size: int) -> DataFrame:
     as_left = F.when(F.col("outside"), F.transform(spread("rights"), lambda j: struct(F.col("own_i"), j))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
     as_right = F.transform(spread("lefts"), lambda i: struct(i, F.col("own_j")))
     at = F.explode(F.array_union(as_left, as_right)).alias("at")
-    rows = rows.select("bucket", "band", "doc_id", "comp", "outside", "own_i", "own_j", at)
-    return rows.select("bucket", "band", "doc_id", "comp", F.col("at.i").alias("i"), F.col("at.j").alias("j"), (F.col("outside") & (F.col("own_i") == F.col("at.i"))).alias("left"), (F.col("own_j") == F.col("at.j")).alias("right"), (F.col("outside") & (F.col("own_j") == F.col("at.j"))).alias("left_too"))
+    rows = rows.select("bucket", "doc_id", "comp", "outside", "own_i", "own_j", at)
+    return rows.select("bucket", "doc_id", "comp", F.col("at.i").alias("i"), F.col("at.j").alias("j"), (F.col("outside") & (F.col("own_i") == F.col("at.i"))).alias("left"), (F.col("own_j") == F.col("at.j")).alias("right"), (F.col("outside") & (F.col("own_j") == F.col("at.j"))).alias("left_too"))
 
 
 def _together(df: DataFrame) -> DataFrame:
@@ -226,43 +223,55 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = SHARE, margin: flo
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    base = stored(docs.mapInArrow(_sketched, "doc_id long, n long, key binary, sketch binary"), "sketches")
-    real = base.where("n > 0 and doc_id is not null")
+    with scratch(spark):
+        sizes, final = (kept(x) for x in _linked(docs, share, margin, block))
+    real = sizes.where("n > 0 and doc_id is not null")
     classes = real.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = real.join(classes, (real.key == classes.key) & (real.doc_id == classes.rep)).select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
-    reps = stored(reps, "classes")
+    names = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    out = sizes.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key")).join(names, "key", "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
 
-    bands = reps.mapInArrow(_banded, "bucket long, band int, doc_id long, n long")
-    tops = bands.groupBy("bucket").agg(F.min("doc_id").alias("top"), F.min_by("n", "doc_id").alias("n_top"), F.count("*").alias("c")).where("c > 1")
-    shared = stored(bands.join(tops, "bucket").select("bucket", "band", "doc_id", "n", "top", "n_top"), "buckets")
+def _linked(docs: DataFrame, share: tuple[int, int], margin: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, key) of every row, and (node, component) of the classes' first documents.
 
-    near = F.least("n", "n_top") * share[0] >= F.greatest("n", "n_top") * share[1]
-    proposed = shared.where(near & (F.col("doc_id") != F.col("top"))).groupBy("doc_id", "top").agg(F.count("*").alias("bands"))
+    Sketches are the widest thing here. Those of copies, and of classes that share no bucket, are
+    left behind before anything is joined with them.
+    """
+    base = stored(docs.mapInArrow(_sketched, "doc_id long, n long, key binary, sketch binary"), "sketches")
+    sizes = stored(base.drop("sketch"), "sizes")
+    classes = sizes.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    classes = classes.groupBy("doc_id").agg(F.min("key").alias("key"))
+    reps = stored(base.join(classes, ["key", "doc_id"]).select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]), "classes")
+    dropped(base)
+
+    bands = reps.mapInArrow(_banded, "bucket long, doc_id long")
+    tops = bands.groupBy("bucket").agg(F.min("doc_id").alias("top"), F.count("*").alias("c")).where("c > 1").select("bucket", "top")
+    shared = stored(bands.join(tops, "bucket"), "buckets")
+    near = stored(reps.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "near")
+    dropped(reps)
+
+    proposed = shared.where("doc_id <> top").groupBy("doc_id", "top").agg(F.count("*").alias("bands"))
     stars = proposed.groupBy("doc_id").agg(F.max(F.struct("bands", (-F.col("top")).alias("top"))).alias("best")).select(F.col("doc_id").alias("a"), (-F.col("best.top")).alias("b"))
-    of = lambda side: reps.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+    of = lambda side: near.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
     stars = stored(stars.join(of("a"), "a").join(of("b"), "b").mapInPandas(_estimated(share, margin), "a long, b long"), "stars")
 
-    candidates = shared.select("doc_id").distinct()
-    texts = docs.join(candidates, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary")
-    sets = stored(texts.join(reps.select("doc_id", "n"), "doc_id").where(F.length("shingles") == 8 * F.col("n")).select("doc_id", "shingles").dropDuplicates(["doc_id"]), "sets")
+    texts = docs.join(near.select("doc_id", "n"), "doc_id").mapInArrow(_sets, "doc_id long, n long, shingles binary")
+    sets = stored(texts.where(F.length("shingles") == 8 * F.col("n")).select("doc_id", "shingles").dropDuplicates(["doc_id"]), "sets")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
     links = stored(stars.join(side("a"), "a").join(side("b"), "b").mapInPandas(_confirmed(share), "a long, b long"), "links")
     first = stored(components(links), "components")
 
-    members = shared.select("bucket", "band", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    members = shared.select("bucket", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     members = stored(_in_blocks(members, block), "blocks")
-    with_sketch = members.join(reps, "doc_id")
+    dropped(shared, stars, links)
+    with_sketch = members.join(near, "doc_id")
     likely = stored(_together(with_sketch).mapInPandas(_likely(share, margin), "bucket long, i int, j int, doc_id long"), "likely")
     again = with_sketch.join(likely, ["bucket", "i", "j", "doc_id"]).join(sets, "doc_id")
-    rest = _together(again).mapInPandas(_forest(share, margin), "a long, b long")
+    rest = stored(_together(again).mapInPandas(_forest(share, margin), "a long, b long"), "rest")
     known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    final = components(known.unionByName(rest))
-    dropped(shared, stars, links, sets, members, likely)
-
-    names = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    out = base.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key")).join(names, "key", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return sizes, stored(components(known.unionByName(rest)), "linked")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -270,13 +279,14 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id are one document, of which one row stays; rows without a doc_id stay.
     """
-    found = stored(near_duplicates(docs), "near-duplicates")
+    with scratch(docs.sparkSession):
+        found = kept(stored(near_duplicates(docs), "near-duplicates"))
     gone = found.where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rest = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        return rest
+    return rest.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(rest.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

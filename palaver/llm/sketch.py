@@ -83,14 +83,13 @@ def registers(shingle_hashes: np.ndarray) -> np.ndarray:
 
 
 
-
 def band_keys(sketch: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of registers."""
+    """A 64-bit key for each band of registers; its last seven bits are the band's number."""
     rows = sketch.reshape(BANDS, BAND_ROWS).astype(np.uint64)
     h = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(BAND_ROWS):
         h = _mixed(h * _FOLD + rows[:, i])
-    return h.view(np.int64)
+    return ((h & ~np.uint64(127)) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
