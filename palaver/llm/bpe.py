@@ -1,7 +1,8 @@
 """Byte-level BPE: overlapping chunks are cut into pre-tokens, stitched, and encoded.
 
-A text of up to ``chunk_chars`` code points is one chunk. A longer one is cut into chunks that
-overlap; tasks pre-tokenise the chunks side by side, each from its own start. The start may lie
+A text of up to ``chunk_chars`` code points is a single chunk: its boundaries are sure and there is
+nothing to stitch, so it is encoded where it lies. A longer one is cut into chunks that overlap;
+tasks pre-tokenise the chunks side by side, each from its own start. The start may lie
 inside a pre-token, so a chunk's first boundaries can be wrong; the pattern looks only ahead, so
 from the first boundary that a chunk shares with its predecessor both agree. There the chunks are
 stitched, and tasks encode the stitched pieces side by side.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from palaver.llm.common import small_batches
 
 #: Code points of a chunk, and what it reads beyond its end.
-CHUNK_CHARS, OVERLAP_CHARS = 65_536, 4_096
+CHUNK_CHARS, OVERLAP_CHARS = 16_384, 1_024
 #: Pre-tokens a worker remembers.
 CACHE = 400_000
 #: Pieces of more bytes than this are merged with a heap.
@@ -263,7 +264,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: i
         "text_key",
         F.regexp_count(ids, F.lit(",")).cast("long").alias("commas"),
         F.sha2(ids, 256).alias("ids_sha256"),
-        F.sha2(F.aggregate("parts.decoded", F.lit(b""), lambda acc, x: F.concat(acc, x)), 256).alias("decoded_sha256"),
+        F.sha2(F.unhex(F.array_join(F.transform("parts.decoded", F.hex), "")), 256).alias("decoded_sha256"),
     )
     copies = texts.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "copies")
     whole = whole.join(copies, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).select("doc_id", (F.col("commas") + 1).alias("n_tokens"), "ids_sha256", "decoded_sha256", F.explode(F.expr("sequence(1, int(copies))")).alias("copy")).drop("copy")

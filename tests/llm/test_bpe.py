@@ -61,6 +61,21 @@ def test_contractions_around_the_ends_of_chunks():
             assert bpe.stitch(pattern, text, bounds) == [0, *(m.end() for m in pattern.finditer(text))], (said, offset)
 
 
+def test_random_chunks_stitch_to_the_whole(spark):
+    pattern, rng = regex.compile(P.PATTERN), random.Random(11)
+    parts = ["'", "'l", "l", "'r", "e", "'v", "'re", "'ve", "'ll", " ", "\n", "  ", "a", "1", "!", "é", "\r\n"]
+    for _ in range(3_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 160)))
+        chunk, overlap = rng.randrange(3, 40), rng.randrange(1, 20)
+        bounds = [bpe.sure_bounds(pattern, text[a : a + chunk + overlap], a, a + chunk + overlap >= len(text)) for a in range(0, len(text), chunk)]
+        assert bpe.stitch(pattern, text, bounds) == [0, *(m.end() for m in pattern.finditer(text))], (text, chunk, overlap)
+
+
+def test_shipped_sizes_on_long_texts(spark):
+    rows = [(k, ("word " * 20_000)[:n] + "xyz'll go " + "word " * 6_000) for k, n in enumerate((16_381, 17_406, 69_627))]
+    assert order(got(spark, rows)) == order(expected(rows))
+
+
 def test_every_long_piece_merges_as_the_library(spark):
     enc, ranks, rng = encoding(), bpe.load_ranks(PATH), random.Random(5)
     for _ in range(300):
