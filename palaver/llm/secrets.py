@@ -1,9 +1,11 @@
 """Secrets in texts: fixed patterns, and credentials whose parts lie in different places.
 
 A string that could be an account's name, a random-looking string or an address is too weak a sign
-alone. Here such candidates are joined, as intervals within a scope (a stretch without a blank
-line), with what complements them: an identifier with a secret, and an endpoint with both. Weak
-candidates are reported only where their complement lies near enough.
+alone. Here such candidates are joined within a scope, a stretch of text without a blank line, with
+what complements them: an identifier with a secret, and an endpoint with both. The join is one of
+intervals: a part meets the complement that ends last before it and the one that begins first after
+it, which is all that can tell whether there is one, however many parts a scope has. Weak
+candidates without a complement are not reported.
 """
 
 from __future__ import annotations
@@ -16,21 +18,20 @@ from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palaver.llm.common import small_batches, stored, table
 
-#: Code points between two parts of one credential, at most.
-REACH = 200
 REPLACEMENT = "[SECRET]"
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Weak candidates; a group's span counts where there is one.
-IDENTIFIER = re.compile(r"""(?:client|access|account|user|tenant|app)[_-]?(?:id|name|key[_-]?id)?["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{4,128})""", re.I | re.A)
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""(?:[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~:@-]{4,200}|(?<![A-Za-z0-9.-])[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,6}:[0-9]{2,5})""")
+IDENTIFIER = re.compile(r"""(?:client|access|account|user|tenant|app)[_-]?(?:id|name|key[_-]?id)?["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{4,})""", re.I | re.A)
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])")
+ENDPOINT = re.compile(r"(?:(?<![a-z0-9+.-])[a-z][a-z0-9+.-]++://[A-Za-z0-9._~:@-]{4,}|(?<![A-Za-z0-9.-])[a-z0-9-]++(?:\.[a-z0-9-]++)+:[0-9]{2,5})")
 BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 #: In the order that breaks ties of start.
 KINDS = ("assign", "access", "hex", "pair_id", "pair_secret", "pair_endpoint")
@@ -85,40 +86,52 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.string()), pa.array(bases, pa.list_(_SPAN)), pa.array(all_parts, pa.list_(_PART))], names=["doc_id", "text_key", "base", "parts"])
 
 
-def _near(left: DataFrame, right: DataFrame, reach: int) -> DataFrame:
-    """Interval join: rows of left with a row of right in their scope, at most reach code points away.
+#: What a part of each role has to meet in its scope to be reported.
+COMPLEMENTS = {"id": ("secret",), "secret": ("id",), "endpoint": ("id", "secret")}
+_AT = "struct<start:int,end:int>"
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
 
-    Left is dealt to the bins of width reach that its reach touches, right to the bins that it
-    covers, so that the join is one of equal keys. Spans have a least length, which bounds how many
-    can meet.
-    """
-    key = ["doc_id", "text_key", "scope"]
-    bins = lambda a, b: F.explode(F.sequence(F.floor(a / reach), F.floor(b / reach)))
-    own = left.select(*key, "role", "weak", "start", "end", bins(F.col("start") - reach, F.col("end") + reach).alias("bin"))
-    other = right.select(*[F.col(c).alias(f"o_{c}") for c in key], F.col("start").alias("o_start"), F.col("end").alias("o_end"), bins(F.col("start"), F.col("end")).alias("o_bin"))
-    same = [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in key]
-    gap = F.greatest(F.col("o_start") - F.col("end"), F.col("start") - F.col("o_end"))
-    return own.join(other, [*same, F.col("bin") == F.col("o_bin"), gap <= reach], "left_semi").drop("bin").distinct()
+
+def _linked(parts_: DataFrame) -> DataFrame:
+    """The weak rows of parts_ (doc_id, text_key, scope, role, weak, start, end) that meet their
+    complements, with met: for each complement the nearest interval, the one before on ties."""
+    scope = W.partitionBy("doc_id", "text_key", "scope").orderBy("start", "end", "role")
+    before, after = scope.rowsBetween(W.unboundedPreceding, -1), scope.rowsBetween(1, W.unboundedFollowing)
+    own = parts_
+    for role in ("id", "secret"):
+        at = F.when(F.col("role") == role, F.struct("start", "end"))
+        own = own.withColumn(f"last_{role}", F.last(at, ignorenulls=True).over(before)).withColumn(f"next_{role}", F.first(at, ignorenulls=True).over(after))
+    gap = lambda x: F.greatest(F.lit(0), x["start"] - F.col("end"), F.col("start") - x["end"])
+
+    def nearest(role: str) -> Column:
+        a, b = F.col(f"last_{role}"), F.col(f"next_{role}")
+        return F.when(a.isNotNull() & (b.isNull() | (gap(a) <= gap(b))), a).otherwise(b).cast(_AT)
+
+    met = F.lit(None).cast(f"array<{_AT}>")
+    for role, others in COMPLEMENTS.items():
+        met = F.when(F.col("role") == role, F.array(*[nearest(x) for x in others])).otherwise(met)
+    own = own.where("weak").withColumn("met", met)
+    return own.where(~F.exists("met", lambda x: x.isNull()))
 
 
-def spans(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """One row per document: doc_id, text_key, spans (sorted array of start, kind, end).
+def spans(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, text_key, spans (sorted array of start, kind, end), links.
 
-    kind is a place in KINDS. text_key tells texts apart where a doc_id is null or repeated; it is
-    null where nothing was found. A null text counts as empty. Other columns are not read.
+    kind is a place in KINDS. links gives for each weak span the parts that it was reported for:
+    an array of start, end and met, itself an array of start and end. text_key tells texts apart
+    where a doc_id is null or repeated; it is null where nothing was found. A null text counts as
+    empty. Spans are whole, however long. Other columns are not read.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     found = stored(docs.mapInArrow(_scanned, _SCANNED), "scanned")
     each = found.where(F.size("parts") > 0).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.explode("parts").alias("p")).select("doc_id", "text_key", "p.*")
-    ids, secrets, endpoints = (each.where(F.col("role") == r) for r in ("id", "secret", "endpoint"))
-    paired = [_near(ids.where("weak"), secrets, reach), _near(secrets.where("weak"), ids, reach), _near(_near(endpoints, ids, reach), secrets, reach)]
-    kind = {"id": 3, "secret": 4, "endpoint": 5}
-    linked = paired[0].unionByName(paired[1]).unionByName(paired[2]).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", F.expr(f"case role when 'id' then {kind['id']} when 'secret' then {kind['secret']} else {kind['endpoint']} end").alias("kind"), "end")).alias("linked"))
-    linked = linked.select(F.col("doc_id").alias("l_doc_id"), F.col("text_key").alias("l_text_key"), "linked")
+    kind = F.element_at(F.create_map(*[F.lit(x) for r in ("id", "secret", "endpoint") for x in (r, KINDS.index(f"pair_{r}"))]), F.col("role"))
+    linked = _linked(each).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", kind.alias("kind"), "end")).alias("linked"), F.sort_array(F.collect_set(F.struct("start", "end", "met"))).alias("links"))
+    linked = linked.select(F.col("doc_id").alias("l_doc_id"), F.col("text_key").alias("l_text_key"), "linked", "links")
     out = found.join(linked, F.col("doc_id").eqNullSafe(F.col("l_doc_id")) & (F.col("text_key") == F.col("l_text_key")), "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return out.select("doc_id", "text_key", F.sort_array(F.concat("base", F.coalesce("linked", none))).alias("spans"))
+    none = F.array().cast(_SPANS)
+    return out.select("doc_id", "text_key", F.sort_array(F.concat("base", F.coalesce("linked", none))).alias("spans"), F.coalesce("links", F.array().cast(out.schema["links"].dataType)).alias("links"))
 
 
 def _joined(spans_: Column) -> Column:
@@ -126,13 +139,13 @@ def _joined(spans_: Column) -> Column:
     return F.array_join(F.transform(spans_, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
-def redacted(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def redacted(docs: DataFrame) -> DataFrame:
     """The documents, with every span found replaced; text and n_chars change, nothing else.
 
     Spans that overlap are replaced as one. Texts without spans, null ones among them, stay as
     they are.
     """
-    found = spans(docs, reach).where(F.size("spans") > 0)
+    found = spans(docs).where(F.size("spans") > 0)
     # Merge overlapping spans: what is kept lies from the furthest end so far to the next start.
     folded = F.aggregate("spans", F.expr("named_struct('upto', 0, 'keep', cast(array() as array<struct<a:int,b:int>>))"), lambda acc, x: F.when(x["start"] >= acc["upto"], F.struct(x["end"].alias("upto"), F.concat(acc["keep"], F.array(F.struct(acc["upto"].alias("a"), x["start"].alias("b")))).alias("keep"))).otherwise(F.struct(F.greatest(acc["upto"], x["end"]).alias("upto"), acc["keep"].alias("keep"))))
     cuts = stored(found.select(F.col("doc_id").alias("__cut_id"), F.col("text_key").alias("__cut_key"), folded.alias("__cut")).dropDuplicates(["__cut_id", "__cut_key"]), "cuts")
@@ -150,6 +163,8 @@ def redacted(docs: DataFrame, reach: int = REACH) -> DataFrame:
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text of documents."""
     found = spans(table(spark, sf_dir, "documents"))
+    place = lambda x: F.concat_ws(":", x["start"], x["end"])
+    links = F.array_join(F.transform("links", lambda x: F.concat(place(x), F.lit(">"), F.array_join(F.transform(x["met"], place), "+"))), ",")
     of = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     base = F.filter("spans", lambda x: x["kind"] <= 2)
-    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), links.alias("links"))

@@ -19,10 +19,10 @@ def base_brute(text):
     return sorted(out)
 
 
-def linked_brute(text, reach=X.REACH):
+def linked_brute(text):
     base = X.base_spans(text)
     parts = X.parts(text, base)
-    near = lambda p, role: any(q[0] == role and q[2] == p[2] and max(q[3] - p[4], p[3] - q[4]) <= reach for q in parts)
+    near = lambda p, role: any(q[0] == role and q[2] == p[2] and q is not p for q in parts)
     out = set()
     for p in parts:
         if p[0] == "id" and p[1] and near(p, "secret"):
@@ -86,3 +86,25 @@ def test_redaction(spark):
     want = sorted(repr((i, cut(t), len(cut(t) or ""))) for i, t in rows)
     assert sorted(repr((r.doc_id, r.text, r.n_chars)) for r in got.collect()) == want
     assert X.spans(df.limit(0)).count() == 0 and X.redacted(df.where(F.lit(False))).count() == 0
+
+
+def test_long_and_distant_parts_are_whole(spark):
+    name, run = "n" * 200, "Ab1" * 60
+    block = f"client_id={name}\n" + "port = 1\n" * 60 + f"{run}\n"
+    other = f"client_id={name}\n\n" + "port = 1\n" * 60 + f"{run}\n"
+    rows = [(1, block), (2, other), (3, f"a {KEY} user: first {'-' * 40} user: later {KEY}")]
+    got = {r.doc_id: r for r in X.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [(block[x.start : x.end], x.kind) for x in got[1].spans]
+    assert found == [(name, 3), (run, 4)]
+    assert [(x.start, [tuple(y) for y in x.met]) for x in got[1].links] == [(10, [(block.index(run), block.index(run) + 180)]), (block.index(run), [(10, 210)])]
+    assert got[2].spans == [] and got[2].links == []
+    text = rows[2][1]
+    assert [[text[y.start : y.end] for y in x.met] for x in got[3].links] == [["first"], [KEY], [KEY], ["later"]]
+    assert name not in X.redacted(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 1").first().text
+
+
+def test_clashing_columns_and_ties(spark):
+    rows = [(1, f"user: someone {KEY}", 3, "x", 7)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, role int, scope string, start int")
+    assert [len(r.spans) for r in X.spans(df).collect()] == [2, 2]
+    assert X.redacted(df).columns == df.columns and {r.role for r in X.redacted(df).collect()} == {3}
