@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.common import fold, small_batches, table
+from palaver.llm.common import fold, small_batches, stored, table
 
 #: Rows of each language that the filters learn from, at most; taken by a hash of the id.
 SAMPLE_ROWS = 3_000
@@ -40,7 +40,7 @@ class _Letters:
     def of(cls, text: str) -> np.ndarray:
         if cls.table is None:
             to = np.full(0x110000, 32, np.int64)
-            for c in range(0x30000):
+            for c in range(len(to)):
                 s = chr(c)
                 if s.isalpha():
                     low = s.lower()
@@ -93,22 +93,19 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, slots: int = SLOTS) -
     """The languages, the slots' bits (slots by 64-bit words), and each language's share of them.
 
     Learns from rows with a text and a language. The n-grams are counted and the slots filled by
-    Spark; the driver gets no more than the filled slots.
+    Spark; the driver gets no more than the languages, which are taken to be few enough for a bit of
+    every slot, and the filled slots.
     """
     small_batches(docs.sparkSession)
     known = docs.where("text is not null and lang is not null")
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    langs = sorted(counts)
+    counts = stored(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    langs = sorted(r.lang for r in counts.select("lang").collect())
     if not langs:
         return {"langs": [], "bits": np.zeros((1, 1), np.uint64), "fill": np.zeros(0)}
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(1_000_000 * min(sample_rows, n) // n)).otherwise(share)
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("lang", "text")
-    least = F.lit(MIN_ROWS)
-    for lang, n in counts.items():
-        least = F.when(F.col("lang") == lang, F.lit(min(n, max(MIN_ROWS, int(MIN_SHARE * min(sample_rows, n)))))).otherwise(least)
-    grams = sample.mapInPandas(_grams, "lang string, gram long").groupBy("lang", "gram").count().where(F.col("count") >= least)
+    rows = F.least("n", F.lit(sample_rows))
+    limits = F.broadcast(counts.select("lang", F.floor(1_000_000 * rows / F.col("n")).alias("share"), F.least("n", F.greatest(F.lit(MIN_ROWS), F.floor(MIN_SHARE * rows))).alias("least")))
+    sample = known.join(limits.select("lang", "share"), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share")).select("lang", "text")
+    grams = sample.mapInPandas(_grams, "lang string, gram long").groupBy("lang", "gram").count().join(limits.select("lang", "least"), "lang").where(F.col("count") >= F.col("least"))
     filled = grams.select("lang", "gram").mapInPandas(_placed(slots), "lang string, slot long")
     place = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1
     words = filled.withColumn("place", place.cast("int")).select("slot", F.floor(F.col("place") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, place % 64)").alias("bit"))
