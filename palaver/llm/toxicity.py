@@ -226,10 +226,10 @@ def rejected_removed(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _flagging(model, threshold: float):
     @F.pandas_udf("boolean")
-    def toxic(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-        out = next(_scored(model)(iter([batch])))
-        return pd.Series(out.column("score").to_numpy(zero_copy_only=False) >= threshold)
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        texts = (pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["text"]) for x in batches)
+        for out in _scored(model)(texts):
+            yield pd.Series(out.column("score").to_numpy(zero_copy_only=False) >= threshold)
 
     return toxic
 
