@@ -1,12 +1,16 @@
 """URL verdicts: listed rules, and path templates rejected by what the rules say of their urls.
 
-For each host its paths form a tree of segments. A segment becomes a wildcard of its type (number,
-hexadecimal run, other) where it looks like one, or where its place in the tree has too many values.
-Branches of a host that differ in their first segment alone and whose labelled shares do not differ
-significantly are merged. A template's urls are rejected where the share of blocked ones among its
-labelled urls, smoothed by that of its merged branch and that in turn by the host's, is high. The
-host's share counts urls without a rule as not blocked, so that a few listed branches do not condemn
-the others.
+For each host its paths form a tree of segments, grown level by level as deep as the paths go. A
+segment becomes a wildcard of its type (number, hexadecimal run, other) where it looks like one, or
+where its place in the tree has too many values. The branches that are left at a place are pooled by
+the type that most of their next segments have. Those are merged whose next segments are of the
+same kinds as often as in their pool, by a chi-squared test, and whose labelled shares do not differ
+significantly from it; a branch without labelled urls is so merged by its structure alone.
+
+A template's urls are rejected where the share of blocked ones among its labelled urls is high. At
+each level it is smoothed by that of the level above, so a branch without labels has its parent's.
+The host's own share counts urls without a rule as not blocked, so that a few listed branches do not
+condemn others that are unlike them.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.common import stored, table
+from palaver.llm.common import kept, scratch, stored, table
 
 #: Host suffix and path prefix, longest first, and verdict.
 RULES = [
@@ -26,14 +30,14 @@ RULES = [
 ]
 #: Distinct values of a position under one parent above which it is a wildcard.
 MAX_VALUES = 20
-#: Levels of the tree; segments further down are one wildcard.
-DEPTH = 4
+#: Urls of a place below which it is no tree: what follows there is one wildcard.
+LEAST_URLS = 2
 #: Urls that a parent level counts for when it smooths its child's share.
 SMOOTHING = 10.0
 #: Smoothed share of blocked urls from which a template is rejected.
 PURITY = 0.6
-#: Standard errors by which the shares of merged branches may differ.
-ALIKE_Z = 2.0
+#: Standard errors by which merged branches may differ from their pool.
+ALIKE_Z = 3.0
 
 
 def host_of(url: Column) -> Column:
@@ -66,49 +70,65 @@ def _typed(segment: Column) -> Column:
     return F.when(number, F.concat(F.lit("{n}"), _ending(segment))).when(hexadecimal, F.concat(F.lit("{x}"), _ending(segment))).otherwise(segment)
 
 
-def _segments(path: Column, depth: int) -> Column:
-    """Typed segments; those below the depth are one wildcard together."""
-    all_ = F.split(F.regexp_replace(path, "^/", ""), "/")
-    own = F.transform(F.slice(all_, 1, depth), _typed)
-    return F.when(F.size(all_) > depth, F.concat(own, F.array(F.lit("{rest}")))).otherwise(own)
-
-
-def templates(urls: DataFrame, depth: int = DEPTH, max_values: int = MAX_VALUES) -> DataFrame:
-    """From host, segments, n, blocked, labelled: the same rows with their template.
-
-    Level by level down the tree: a place with more than max_values values becomes a wildcard, and
-    the branches below it are then one.
+def _kind(segment: Column) -> Column:
+    """What a segment is to the one before it: the end, a wildcard, an empty segment, or a word."""
+    return F.when(segment.isNull(), "$").when(segment.startswith("{") | (segment == ""), segment).otherwise(F.concat(F.lit("{w}"), _ending(segment)))
+
+
+def _level(rows: DataFrame, k: int, max_values: int, smoothing: float, alike_z: float) -> DataFrame:
+    """The rows one level further down: node goes on to the branch of segment k, share to its share."""
+    value, word = F.get("segments", F.lit(k)), ~F.col("value").startswith("{")
+    rows = rows.withColumn("value", value)
+    wide = rows.select("node", "value").distinct().groupBy("node").agg(F.count("*").alias("values")).where(F.col("values") > max_values).select("node", F.lit(True).alias("wide"))
+    rows = rows.join(wide, "node", "left").withColumn("value", F.when(F.col("wide") & word, F.concat(F.lit("{w}"), _ending(F.col("value")))).otherwise(F.col("value"))).drop("wide")
+
+    kinds = rows.groupBy("node", "value", _kind(F.get("segments", F.lit(k + 1))).alias("kind")).agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")], F.max("share").alias("share"))
+    kinds = kinds.withColumn("type", F.regexp_replace("kind", r"\..*$", ""))
+    types = kinds.where(word).groupBy("node", "value", "type").agg(F.sum("n").alias("c")).groupBy("node", "value").agg(F.max_by("type", F.struct("c", "type")).alias("most"))
+    kinds = kinds.join(types, ["node", "value"], "left")
+    pool = kinds.where(word).groupBy("node", "most", "kind").agg(*[F.sum(c).alias(f"pool_{c}") for c in ("n", "blocked", "labelled")])
+    places = pool.groupBy("node", "most").agg(F.count("*").alias("kinds"), *[F.sum(f"pool_{c}").alias(f"all_{c}") for c in ("n", "blocked", "labelled")])
+    branches = kinds.join(pool, ["node", "most", "kind"], "left").groupBy("node", "value", "most").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")], F.max("share").alias("share"), F.sum(F.col("n") * F.col("n") / F.col("pool_n").cast("double")).alias("squares"))
+    branches = branches.join(places, ["node", "most"], "left")
+    free = F.col("kinds") - 1
+    same_kinds = F.col("squares") * F.col("all_n") / F.col("n") - F.col("n") <= free + alike_z * F.sqrt(2.0 * free) + 1e-9
+    mean = F.try_divide(F.col("all_blocked").cast("double"), F.col("all_labelled"))
+    same_share = F.coalesce(F.abs(F.col("blocked") / F.col("labelled").cast("double") - mean) <= alike_z * F.sqrt(mean * (1 - mean) / F.col("labelled")) + 1e-9, F.lit(True))
+    branches = branches.withColumn("alike", word & same_kinds & F.when(F.col("labelled") > 0, same_share).otherwise(True))
+    several = branches.where("alike").groupBy("node", "most").agg(F.count("*").alias("merged")).where("merged > 1")
+    merged = F.concat(F.lit("{m:"), "most", F.lit("}"))
+    branches = branches.join(several, ["node", "most"], "left").withColumn("branch", F.when(F.col("alike") & F.col("merged").isNotNull(), merged).otherwise(F.col("value")))
+    own = branches.groupBy("node", "branch").agg(F.sum("n").alias("urls"), ((F.sum("blocked") + smoothing * F.max("share")) / (F.sum("labelled") + smoothing)).alias("own_share"))
+    judged = branches.select("node", "value", "branch").join(own, ["node", "branch"])
+    out = rows.join(judged, ["node", "value"])
+    return out.select("host", "segments", "n", "blocked", "labelled", F.concat("node", F.lit("/"), "branch").alias("node"), F.col("own_share").alias("share"), "urls")
+
+
+def templates(urls: DataFrame, max_values: int = MAX_VALUES, smoothing: float = SMOOTHING, alike_z: float = ALIKE_Z, least_urls: int = LEAST_URLS) -> DataFrame:
+    """host, segments, template, purity from host, segments, n, blocked, labelled (one row a shape).
+
+    Level by level down the tree; every level is written, and those paths that end there leave it.
     """
-    rows = urls.withColumn("template", F.col("host"))
-    for k in range(depth + 1):
-        value = F.get("segments", F.lit(k))
-        wide = rows.where(value.isNotNull()).select("template", value.alias("value")).distinct().groupBy("template").agg(F.count("*").alias("values")).where(F.col("values") > max_values).select("template", F.lit(True).alias("wide"))
-        wild = F.when(value.startswith("{"), value).otherwise(F.concat(F.lit("{w}"), _ending(value)))
-        rows = rows.join(wide, "template", "left")
-        general = F.when(F.col("wide"), wild).otherwise(value)
-        rows = rows.withColumn("template", F.when(value.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), general))).drop("wide")
-    return rows
-
-
-def purity(found: DataFrame, smoothing: float = SMOOTHING, alike_z: float = ALIKE_Z) -> DataFrame:
-    """template, purity of each template, from host, segments, template, n, blocked, labelled."""
-    sums = lambda *names: [F.sum(c).alias(c) for c in names]
-    branch = F.concat("host", F.lit("/*"), F.expr("substring(template, length(host) + 2 + length(substring_index(substring(template, length(host) + 2), '/', 1)))"))
-    each = found.withColumn("branch", branch).groupBy("host", "branch", "template").agg(*sums("n", "blocked", "labelled"))
-    hosts = each.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("blocked").alias("host_blocked"))
+    hosts = urls.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("blocked").alias("host_blocked"))
     n, blocked = hosts.agg(F.sum("host_n"), F.sum("host_blocked")).first()
     base = (blocked or 0) / n if n else 0.0
-    hosts = hosts.select("host", ((F.col("host_blocked") + smoothing * base) / (F.col("host_n") + smoothing)).alias("host_share"))
-    pooled = each.groupBy("branch").agg(F.sum("blocked").alias("branch_blocked"), F.sum("labelled").alias("branch_labelled"))
-    share, mean = F.try_divide(F.col("blocked").cast("double"), F.col("labelled")), F.try_divide(F.col("branch_blocked").cast("double"), F.col("branch_labelled"))
-    alike = F.coalesce(F.abs(share - mean) <= alike_z * F.sqrt(F.try_divide(mean * (1 - mean), F.col("labelled"))) + 1e-9, F.lit(False))
-    each = each.join(pooled, "branch").join(hosts, "host").withColumn("alike", alike)
-    merged = each.where("alike").groupBy("branch").agg(F.sum("blocked").alias("merged_blocked"), F.sum("labelled").alias("merged_labelled"))
-    prior = F.when(F.col("alike"), (F.col("merged_blocked") + smoothing * F.col("host_share")) / (F.col("merged_labelled") + smoothing)).otherwise(F.col("host_share"))
-    return each.join(merged, "branch", "left").select("template", ((F.col("blocked") + smoothing * prior) / (F.col("labelled") + smoothing)).alias("purity"))
-
-
-def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, depth: int = DEPTH, max_values: int = MAX_VALUES, limit: float = PURITY) -> DataFrame:
+    hosts = hosts.select("host", ((F.col("host_blocked") + smoothing * base) / (F.col("host_n") + smoothing)).alias("share"))
+    rows = urls.join(hosts, "host").select("host", "segments", "n", "blocked", "labelled", F.col("host").alias("node"), "share")
+    found, k = [], 0
+    while True:
+        rows, k = stored(_level(rows, k, max_values, smoothing, alike_z), f"url-level-{k}"), k + 1
+        more, small = F.size("segments") > k, F.col("urls") < least_urls
+        found.append(rows.where(~more | small).select("host", "segments", F.when(more, F.concat("node", F.lit("/{rest}"))).otherwise(F.col("node")).alias("template"), F.col("share").alias("purity")))
+        rows = rows.where(more & ~small).drop("urls")
+        if rows.isEmpty():
+            break
+    out = found[0]
+    for level in found[1:]:
+        out = out.unionByName(level)
+    return out
+
+
+def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_values: int = MAX_VALUES, limit: float = PURITY) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, template.
 
     A null url, or one without ://, has an empty host and path; it is a template of its own kind.
@@ -118,11 +138,12 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, depth:
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    parsed = parsed.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"), _segments(F.col("path"), depth).alias("segments"))
-    urls = parsed.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count_if(F.col("said") == "block").alias("blocked"), F.count("said").alias("labelled"))
-    found = stored(templates(urls, depth, max_values), "url-templates")
-    judged = found.select("host", "segments", "template").join(purity(found), "template")
-    out = parsed.join(judged, ["host", "segments"])
+    segments = F.transform(F.split(F.regexp_replace("path", "^/", ""), "/"), _typed)
+    parsed = parsed.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"), segments.alias("segments"))
+    with scratch(pages.sparkSession):
+        urls = parsed.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count_if(F.col("said") == "block").alias("blocked"), F.count("said").alias("labelled"))
+        found = kept(stored(templates(stored(urls, "url-shapes"), max_values), "url-templates"))
+    out = parsed.join(found, ["host", "segments"])
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("purity") >= limit, "block").otherwise("allow")).alias("verdict"), "template")
 
 
@@ -131,21 +152,42 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "pages"))
 
 
+#: Levels that the SQL spells out; no path of the tables is deeper.
+SQL_LEVELS = 9
+
+
 def _sql() -> str:
     rules = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
     fits = lambda r: f"(host = '{r[0]}' or ends_with(host, '.{r[0]}')) and starts_with(path, '{r[1]}')"
     cases = lambda f: "case " + " ".join(f"when {fits(r)} then '{f(r)}'" for r in rules) + " end"
     ending = lambda x: rf"regexp_extract({x}, '\.[A-Za-z]{{1,5}}$')"
     typed = rf"case when regexp_matches(x, '^[0-9]+(\.[A-Za-z]{{1,5}})?$') then '{{n}}' || {ending('x')} when regexp_matches(x, '^[0-9a-f-]{{8,}}(\.[A-Za-z]{{1,5}})?$') and regexp_matches(x, '[0-9]') then '{{x}}' || {ending('x')} else x end"
-    levels, last = [], "t0"
-    for k in range(1, DEPTH + 2):
-        value = f"segments[{k}]"
+    levels = []
+    for k in range(1, SQL_LEVELS + 1):
+        value, after = f"segments[{k}]", f"segments[{k + 1}]"
+        kind = f"case when {after} is null then '$' when starts_with({after}, '{{') or {after} = '' then {after} else '{{w}}' || {ending(after)} end"
+        sums = lambda p, q="": ", ".join(f"sum({p}{c}) as {q}{c}" for c in ("n", "blocked", "labelled"))
         levels.append(f"""
-        w{k} as (select template as w from (select distinct template, {value} as v from {last} where {value} is not null) group by template having count(*) > {MAX_VALUES}),
-        t{k} as (select host, segments, n, blocked, labelled, case when {value} is null then template when w is null then template || '/' || {value}
-            when starts_with({value}, '{{') then template || '/' || {value} else template || '/{{w}}' || {ending(value)} end as template
-            from {last} left join w{k} on template = w)""")
-        last = f"t{k}"
+        wide{k} as materialized (select node from (select distinct node, {value} as v from open{k - 1}) group by node having count(*) > {MAX_VALUES}),
+        val{k} as materialized (select o.*, case when w.node is not null and not starts_with({value}, '{{') then '{{w}}' || {ending(value)} else {value} end as v, {kind} as kind
+            from open{k - 1} o left join wide{k} w using (node)),
+        each{k} as materialized (select node, v, kind, regexp_replace(kind, '\\..*$', '') as type, {sums("")}, max(share) as share from val{k} group by all),
+        types{k} as materialized (select node, v, type as most from (select node, v, type, sum(n) as c from each{k} where not starts_with(v, '{{') group by all)
+            qualify row_number() over (partition by node, v order by c desc, type desc) = 1),
+        kinds{k} as materialized (select e.*, most from each{k} e left join types{k} using (node, v)),
+        pool{k} as materialized (select node, most, kind, {sums("", "pool_")} from kinds{k} where not starts_with(v, '{{') group by all),
+        places{k} as (select node, most, count(*) as kinds, {sums("pool_", "all_")} from pool{k} group by node, most),
+        branches{k} as (select node, v, most, {sums("")}, max(share) as share, sum(n * n / pool_n::double) as squares from kinds{k} left join pool{k} using (node, most, kind) group by node, v, most),
+        tested{k} as materialized (select b.*, not starts_with(v, '{{') and squares * all_n / n - n <= (kinds - 1) + {ALIKE_Z} * sqrt(2.0 * (kinds - 1)) + 1e-9
+            and case when labelled > 0 then coalesce(abs(blocked / labelled::double - all_blocked / nullif(all_labelled, 0)::double)
+                <= {ALIKE_Z} * sqrt((all_blocked / nullif(all_labelled, 0)::double) * (1 - all_blocked / nullif(all_labelled, 0)::double) / labelled) + 1e-9, true) else true end as alike
+            from branches{k} b left join places{k} using (node, most)),
+        named{k} as materialized (select *, case when alike and count(*) filter (where alike) over (partition by node, most) > 1 then '{{m:' || most || '}}' else v end as branch from tested{k}),
+        own{k} as (select node, branch, sum(n) as urls, (sum(blocked) + {SMOOTHING} * max(share)) / (sum(labelled) + {SMOOTHING}) as own_share from named{k} group by all),
+        level{k} as materialized (select host, segments, a.n, a.blocked, a.labelled, a.node || '/' || branch as node, own_share as share, urls
+            from val{k} a join named{k} using (node, v) join own{k} using (node, branch)),
+        open{k} as materialized (select * exclude (urls) from level{k} where len(segments) > {k} and urls >= {LEAST_URLS})""")
+    ends = " union all ".join(f"select host, segments, case when len(segments) > {k} then node || '/{{rest}}' else node end as template, share as purity from level{k} where len(segments) <= {k} or urls < {LEAST_URLS}" for k in range(1, SQL_LEVELS + 1))
     return rf"""
     with raw as (select page_id, coalesce(url, '') as u from pages),
     cut as (select page_id, case when contains(u, '://') then substr(u, instr(u, '://') + 3) else '' end as r from raw),
@@ -153,21 +195,14 @@ def _sql() -> str:
         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from cut),
     seg as (select *, {cases(lambda r: r[0] + r[1])} as rule, {cases(lambda r: r[2])} as said,
         string_split(case when starts_with(path, '/') then substr(path, 2) else path end, '/') as parts from split_),
-    parsed as (select page_id, host, path, rule, said, case when len(parts) > {DEPTH} then list_append(list_transform(parts[1:{DEPTH}], lambda x: {typed}), '{{rest}}')
-        else list_transform(parts, lambda x: {typed}) end as segments from seg),
-    t0 as (select host, segments, count(*) as n, count(*) filter (where said = 'block') as blocked, count(said) as labelled, host as template from parsed group by host, segments),
+    parsed as materialized (select page_id, host, path, rule, said, list_transform(parts, lambda x: {typed}) as segments from seg),
+    shapes as materialized (select host, segments, count(*) as n, count(*) filter (where said = 'block') as blocked, count(said) as labelled from parsed group by all),
+    hosts as (select host, (sum(blocked) + {SMOOTHING} * (select sum(blocked)::double / sum(n) from shapes)) / (sum(n) + {SMOOTHING})::double as share from shapes group by host),
+    open0 as materialized (select host, segments, n, blocked, labelled, host as node, share from shapes join hosts using (host)),
     {",".join(levels)},
-    found as (select *, host || '/*' || substr(template, length(host) + 2 + length(string_split(substr(template, length(host) + 2), '/')[1])) as branch from {last}),
-    each_ as (select host, branch, template, sum(n) as n, sum(blocked) as blocked, sum(labelled) as labelled from found group by all),
-    hosts as (select host, (sum(blocked) + {SMOOTHING} * (select sum(blocked)::double / sum(n) from each_)) / (sum(n) + {SMOOTHING})::double as host_share from each_ group by host),
-    pooled as (select branch, sum(blocked)::double / nullif(sum(labelled), 0) as mean from each_ group by branch),
-    tested as (select e.*, host_share, coalesce(abs(blocked::double / nullif(labelled, 0) - mean) <= {ALIKE_Z} * sqrt(mean * (1 - mean) / nullif(labelled, 0)) + 1e-9, false) as alike
-        from each_ e join pooled using (branch) join hosts using (host)),
-    merged as (select branch, sum(blocked) as b, sum(labelled) as l from tested where alike group by branch),
-    judged as (select template, (blocked + {SMOOTHING} * case when alike then (b + {SMOOTHING} * host_share) / (l + {SMOOTHING}) else host_share end) / (labelled + {SMOOTHING}) as purity
-        from tested left join merged using (branch))
+    judged as ({ends})
     select page_id, parsed.host, path, rule, coalesce(said, case when purity >= {PURITY} then 'block' else 'allow' end) as verdict, template
-    from parsed join found on parsed.host = found.host and parsed.segments = found.segments join judged using (template)
+    from parsed join judged on parsed.host = judged.host and parsed.segments = judged.segments
     """
 
 

@@ -28,7 +28,7 @@ def made(seed=1, n=1500):
 
 def test_equals_sql(spark, tmp_path):
     got = compared(spark, tmp_path, made())
-    assert any("{w}" in r[-1] for r in got) and any("{rest}" in r[-1] for r in got)
+    assert all(any(mark in r[-1] for r in got) for mark in ("{w}", "{m:", "{n}", "{rest}"))
 
 
 def test_nulls_repeats_and_empty(spark, tmp_path):
@@ -51,3 +51,23 @@ def test_pure_templates_reject_unlisted_urls(spark):
     rows = [(i, f"http://bad.org/x/{i}/p") for i in range(60)] + [(100 + i, f"http://good.org/x/{i}/p") for i in range(60)]
     got = {r.page_id: r.verdict for r in U.verdicts(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
     assert {got[i] for i in range(60)} == {"block"} and {got[100 + i] for i in range(60)} == {"allow"}
+
+
+def test_similar_branches_share_their_labels(spark):
+    """Unlabelled branches built as the blocked ones are; another of the host is built otherwise."""
+    rng = random.Random(4)
+    end = lambda: rng.choice([f"{rng.randrange(900)}", f"{rng.randrange(900)}.html", f"{rng.randrange(900)}/"])
+    rows = [f"http://a.net/{lang}/{end()}" for lang in ("es", "fr", "en", "de") for _ in range(40)]
+    rows += [f"http://a.net/about/us/team/{i}.PHP" for i in range(40)] + [f"http://b.org/{lang}/{end()}" for lang in ("en", "de") for _ in range(40)]
+    got = U.verdicts(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()
+    said = lambda host, first: {r.verdict for r in got if r.host == host and r.path.startswith(f"/{first}/")}
+    assert said("a.net", "en") == said("a.net", "de") == {"block"} and said("a.net", "about") == {"allow"}
+    assert said("b.org", "en") == said("b.org", "de") == {"allow"}
+    assert {r.template.split("/")[1] for r in got if r.path.startswith("/en/")} == {"{m:{n}}"}
+
+
+def test_branches_merge_at_any_depth(spark):
+    deep = "/x/y/z/u/v"
+    rows = [f"http://a.net{p}{deep}/{k}/{i}" for p in ("/es", "/en") for k in ("one", "two", "three") for i in range(20)]
+    got = U.verdicts(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()
+    assert {r.template for r in got} == {"a.net/{m:{w}}/x/y/z/u/v/{m:{n}}/{n}"} and {r.verdict for r in got} == {"block"}
