@@ -72,7 +72,7 @@ def test_random_chunks_stitch_to_the_whole(spark):
 
 
 def test_shipped_sizes_on_long_texts(spark):
-    rows = [(k, ("word " * 20_000)[:n] + "xyz'll go " + "word " * 6_000) for k, n in enumerate((16_381, 17_406, 69_627))]
+    rows = [(k, ("word " * 20_000)[:n] + "xyz'll go " + "word " * 6_000) for k, n in enumerate((65_533, 69_627, 69_630))]
     assert order(got(spark, rows)) == order(expected(rows))
 
 
