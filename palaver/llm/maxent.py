@@ -1,17 +1,21 @@
-"""Log-linear language model with hashed features and a softmax in two steps.
-
-The most frequent words are cut by frequency into classes of equal size; all other words are one
-class more. The chance of a class, and of a word within its class, are softmaxes over weights that
-hashes of the word before, of the two words before, and of the word before that one (a skip) select.
-Within the last class a word has its smoothed unigram share, so that all chances add up to 1.
-
-Counts come first, over the whole training part. Then in each round every task walks from the shared
-weights through its own texts in gradient steps; the steps are averaged over the tasks by tokens,
-block by block, and shared again. Rounds deal the texts among them: each is used once.
+"""Log-linear language model with hashed features and a class-factored softmax.
+
+All shared words are leaves of a tree of classes, built from their counts so that frequent words lie
+near its root; words beyond the shared ones are one leaf more. The chance of a word is the product
+of the choices on its way down. Each choice is a softmax over weights that hashes of the class
+chosen so far with the word before, the two words before, and the word before that one (a skip)
+select. Within the last leaf a word has its smoothed unigram share, so that all chances add up to 1.
+
+Counts come first, over the whole training part. The words that are shared, the rows of the table
+of weights and the number of walks follow from them. A walk takes the shared weights through its own
+texts in gradient steps; the moves of a row are averaged over the walks by how often each used it,
+and shared again. Rounds deal the walks among them: each text is used once. Which texts a walk has,
+and in which order, follows from their hashes, so the model does not depend on the partitions.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,18 +23,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.common import fold, small_batches, stored, table
+from palaver.llm.common import dropped, fold, small_batches, stored, table
 from palaver.llm.words import word_hashes
 
-#: Classes of frequent words, and words in each.
-CLASSES, SLOTS = 16, 16
-#: Rows of the two tables of weights; powers of two, at most 2**16.
-ROWS = 2**12
+#: Choices at each class of the tree.
+BRANCHES = 16
+#: Rows of the table of weights, by training words for each row; powers of two within bounds.
+WORDS_A_ROW, LEAST_ROWS, MOST_ROWS = 2, 2**14, 2**18
 FEATURES = 3
 ROUNDS, RATE = 2, 0.3
+#: What a row's sum of squared slopes begins with.
+FIRST_SQUARES = 0.1
 #: Tokens of a gradient step.
 STEP = 2**15
-#: Words whose counts are broadcast, at most, at 16 bytes each.
+#: Walks, at least, and tokens of a walk for each row of weights.
+LEAST_WALKS, TOKENS_A_ROW = 16, 64
+#: Words whose counts are broadcast, at most, at 16 bytes each, and as many for their ways.
 SHARED_WORDS = 200_000
 #: Parts that the weights are averaged in, and partial sums of each.
 BLOCKS, SALTS = 128, 8
@@ -39,7 +47,6 @@ COUNTED = 500_000
 
 END = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-SIZE = ROWS * (CLASSES + 1) + ROWS * SLOTS
 
 
 def hashes_of(text: str | None) -> np.ndarray:
@@ -67,31 +74,53 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(words, counts)
 
 
+def tree(mass: np.ndarray, branches: int = BRANCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, slots, biases) of a tree with a leaf for each mass, the heaviest nearest to its root.
+
+    nodes and slots hold each leaf's way down, ended by -1; biases the log shares of a node's slots,
+    very low where there is none. The lightest subtrees are put together first.
+    """
+    n = len(mass)
+    heap = [(float(m), i) for i, m in enumerate(mass)]
+    heapq.heapify(heap)
+    # The first node takes as many as leave full ones above it.
+    take, inner = 2 + (n - 2) % (branches - 1) if n > 1 else 1, []
+    while len(heap) > 1 or not inner:
+        own = [heapq.heappop(heap) for _ in range(min(take, len(heap)))]
+        inner.append(own)
+        heapq.heappush(heap, (sum(m for m, _ in own), n + len(inner) - 1))
+        take = branches
+    inner.reverse()  # the root first, so that a way is known before those that go on from it
+    biases = np.full((len(inner), branches), -1e4, np.float32)
+    ways: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    way_of = {n + len(inner) - 1: []}
+    for k, own in enumerate(inner):
+        way, all_ = way_of.pop(n + len(inner) - 1 - k), sum(m for m, _ in own)
+        for slot, (m, child) in enumerate(sorted(own, key=lambda x: (-x[0], x[1]))):
+            biases[k, slot] = np.log(m / all_)
+            if child < n:
+                ways[child] = [*way, (k, slot)]
+            else:
+                way_of[child] = [*way, (k, slot)]
+    depth = max(map(len, ways))
+    nodes, slots = np.full((n, depth), -1, np.int32), np.full((n, depth), -1, np.int8)
+    for i, way in enumerate(ways):
+        nodes[i, : len(way)], slots[i, : len(way)] = zip(*way, strict=True)
+    return nodes, slots, biases
+
+
 class Model:
-    """Shared counts, classes and weights: what the tasks need, of bounded size."""
+    """Shared counts, ways and weights: what the tasks need, of bounded size."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, distinct: int):
         self.words, self.counts, self.tokens, self.distinct = words, counts, tokens, distinct
         self.index: np.ndarray | None = None
-        top = np.lexsort((words, -counts))[: CLASSES * SLOTS]
-        self.rank = np.full(len(words) + 1, -1, np.int32)
-        self.rank[top] = np.arange(len(top))
-        mass = np.zeros(CLASSES * SLOTS)
-        mass[: len(top)] = counts[top] + 1.0
-        grid = mass.reshape(CLASSES, SLOTS)
         self.total = float(tokens + distinct + 1)
-        self.other = self.total - mass.sum()
-        with np.errstate(divide="ignore"):
-            self.class_bias = np.log(np.append(grid.sum(axis=1), self.other) / self.total).astype(np.float32)
-            self.slot_bias = np.log(grid / np.maximum(grid.sum(axis=1, keepdims=True), 1e-9)).astype(np.float32)
-        # Classes and places without a word cannot be chosen.
-        self.class_bias[~np.isfinite(self.class_bias)] = -1e4
-        self.slot_bias[~np.isfinite(self.slot_bias)] = -1e4
-        self.weights = np.zeros(SIZE, np.float32)
-
-    def tables(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cut = ROWS * (CLASSES + 1)
-        return weights[:cut].reshape(ROWS, CLASSES + 1), weights[cut:].reshape(ROWS, SLOTS)
+        #: Mass of the words that are not shared, unseen ones included; at least that of one.
+        self.other = max(1.0, self.total - float((counts + 1.0).sum()))
+        self.nodes, self.slots, self.biases = tree(np.append(counts + 1.0, self.other))
+        self.rows = int(min(MOST_ROWS, max(LEAST_ROWS, 2 ** int(np.ceil(np.log2(max(1, distinct / WORDS_A_ROW)))))))
+        self.weights = np.zeros((self.rows, BRANCHES), np.float32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place of each word among the shared ones, or their number.
@@ -127,88 +156,125 @@ def _contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return h, f ^ (f >> np.uint64(29))
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
-
-
-def _forward(model: Model, weights: np.ndarray, rank: np.ndarray, f: np.ndarray) -> dict:
-    by_class, by_slot = model.tables(weights)
-    group = np.where(rank >= 0, rank // SLOTS, CLASSES)
-    fc = (f & np.uint64(ROWS - 1)).astype(np.uint16)
-    pc = _softmax(model.class_bias + sum(by_class[x] for x in fc))
-    head = np.flatnonzero(rank >= 0)
-    own = group[head]
-    fs = (((f[:, head] >> np.uint64(20)) ^ (own.astype(np.uint64) * _MIX >> np.uint64(40))) & np.uint64(ROWS - 1)).astype(np.uint16)
-    ps = _softmax(model.slot_bias[own] + sum(by_slot[x] for x in fs))
-    return {"group": group, "fc": fc, "pc": pc, "head": head, "slot": rank[head] % SLOTS, "fs": fs, "ps": ps}
-
-
-def _scattered(f: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of rows by table row, of all features together."""
-    flat = f.reshape(-1)
-    order = np.argsort(flat, kind="stable")
-    at = flat[order]
+def _choices(model: Model, weights: np.ndarray, place: np.ndarray, f: np.ndarray) -> Iterator[tuple]:
+    """For each level of the tree: the tokens that have one, their slots, the rows that their features
+    select, the masses of all slots and their sums, which make the chances."""
+    at = np.arange(len(place))
+    for level in range(model.nodes.shape[1]):
+        node = model.nodes[:, level].take(place.take(at))
+        if level:
+            at, node = at[node >= 0], node[node >= 0]
+            if not len(at):
+                return
+        key = node.astype(np.uint64) * _MIX
+        rows = ((((f.take(at, axis=1) if level else f) ^ key) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int32) & np.int32(model.rows - 1)
+        z = model.biases.take(node, axis=0)
+        for x in rows:
+            z += weights.take(x, axis=0)
+        np.exp(np.minimum(z, 60, out=z), out=z)
+        yield at, model.slots[:, level].take(place.take(at)), rows, z, z.sum(axis=1)
+
+
+def _sorted_order(flat: np.ndarray) -> np.ndarray:
+    """Where the values would lie in order: sorts of 16 bits are linear, so one or two of them."""
+    order = np.argsort(flat.astype(np.uint16), kind="stable")
+    return order if flat.max() < 2**16 else order.take(np.argsort((flat.take(order) >> 16).astype(np.uint16), kind="stable"))
+
+
+def _scattered(rows: np.ndarray, slopes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table rows in use, their sums of slopes over all features together, and how often each is."""
+    flat = rows.reshape(-1)
+    order = _sorted_order(flat)
+    at = flat.take(order)
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return at[starts], np.add.reduceat(rows[order % rows.shape[0]], starts, axis=0)
-
-
-def _step(model: Model, weights: np.ndarray, seen: np.ndarray, rank: np.ndarray, f: np.ndarray) -> None:
-    """One gradient step in place; each weight's rate falls with the squares of its own slopes."""
-    x = _forward(model, weights, rank, f)
-    x["pc"][np.arange(len(rank)), x["group"]] -= 1
-    x["ps"][np.arange(len(x["head"])), x["slot"]] -= 1
-    for part, squares, rows, slopes in zip(model.tables(weights), model.tables(seen), (x["fc"], x["fs"]), (x["pc"], x["ps"]), strict=True):
-        if rows.shape[1]:
-            at, g = _scattered(rows, slopes)
-            squares[at] += g * g
-            part[at] -= RATE * g / np.sqrt(squares[at])
+    # Pairs of columns are summed as one complex number.
+    sums = np.add.reduceat(slopes.take(order % len(slopes), axis=0).view(np.complex64), starts, axis=0).view(np.float32)
+    return at.take(starts), sums, np.diff(np.r_[starts, len(at)])
+
+
+class _Walk:
+    """Shared weights on their way through texts, in steps of equally many tokens."""
+
+    def __init__(self, model: Model):
+        self.model, self.weights = model, model.weights.copy()
+        self.squares = np.full(model.rows, FIRST_SQUARES, np.float32)
+        self.used = np.zeros(model.rows, np.float32)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, texts: list[np.ndarray]) -> None:
+        h, f = _contexts(texts)
+        self.waiting.append((self.model.find(h), f))
+        self.held += len(h)
+        if self.held >= STEP:
+            self.steps(self.held // STEP * STEP)
+
+    def steps(self, upto: int) -> None:
+        place, f = np.concatenate([x[0] for x in self.waiting]), np.concatenate([x[1] for x in self.waiting], axis=1)
+        for at in range(0, upto, STEP):
+            self.step(place[at : at + STEP], f[:, at : at + STEP])
+        self.waiting, self.held = [(place[upto:], f[:, upto:])], len(place) - upto
+
+    def step(self, place: np.ndarray, f: np.ndarray) -> None:
+        """One gradient step; a row's rate falls with the squares of its own slopes."""
+        for _, slot, rows, masses, sums in _choices(self.model, self.weights, place, f):
+            masses /= sums[:, None]
+            masses[np.arange(len(slot)), slot] -= 1
+            at, g, n = _scattered(rows, masses)
+            self.used[at] += n
+            squares = self.squares.take(at) + np.einsum("ij,ij->i", g, g) / BRANCHES
+            self.squares[at] = squares
+            self.weights[at] = self.weights.take(at, axis=0) - g * (RATE / np.sqrt(squares))[:, None]
+
+    def moved(self, salt: int) -> pa.RecordBatch:
+        if self.held:
+            self.steps(self.held)
+        moves = np.column_stack([(self.weights - self.model.weights) * self.used[:, None], self.used])
+        parts = np.array_split(moves.astype(np.float32), BLOCKS)
+        return pa.RecordBatch.from_arrays([pa.array([salt % SALTS] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["salt", "block", "moved"])
 
 
 def _trained(shared) -> Callable:
-    """(salt, block, weight-times-tokens, tokens) of the walk of a task."""
+    """(salt, block, moves times uses, with the uses) of each walk; rows come sorted by walk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        weights, seen, tokens, salt = model.weights.copy(), np.full(SIZE, 100.0, np.float32), 0, 0
+        walk, of = None, None
         for batch in batches:
-            texts = [hashes_of(t) for t in batch.column("text").to_pylist()]
-            if not texts:
-                continue
-            h, f = _contexts(texts)
-            rank = model.rank[model.find(h)]
-            for at in range(0, len(h), STEP):
-                _step(model, weights, seen, rank[at : at + STEP], f[:, at : at + STEP])
-            tokens += len(h)
-            salt = int(h[0] % np.uint64(SALTS))
-        if tokens:
-            moved = (weights - model.weights).astype(np.float64) * tokens
-            parts = np.array_split(moved, BLOCKS)
-            yield pa.RecordBatch.from_arrays([pa.array([salt] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary()), pa.array([tokens] * BLOCKS, pa.int64())], names=["salt", "block", "moved", "tokens"])
+            walks = batch.column("walk").to_numpy(zero_copy_only=False)
+            texts = batch.column("text").to_pylist()
+            cuts = [0, *(np.flatnonzero(walks[1:] != walks[:-1]) + 1).tolist(), len(texts)]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                if begin == end:
+                    continue
+                if walks[begin] != of:
+                    if walk:
+                        yield walk.moved(int(of))
+                    walk, of = _Walk(shared.value), walks[begin]
+                walk.add([hashes_of(t) for t in texts[begin:end]])
+        if walk:
+            yield walk.moved(int(of))
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Running sums by block: memory does not depend on how many rows there are."""
-    sums: dict[int, list] = {}
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, moved, tokens in zip(*(batch.column(c).to_pylist() for c in ("block", "moved", "tokens")), strict=True):
+        for block, moved in zip(batch.column("block").to_pylist(), batch.column("moved").to_pylist(), strict=True):
             part = np.frombuffer(moved, np.float32)
-            if block in sums:
-                sums[block][0] += part
-                sums[block][1] += tokens
-            else:
-                sums[block] = [part.astype(np.float32), tokens]
+            sums[block] = sums[block] + part if block in sums else part.astype(np.float64)
     if sums:
         keys = sorted(sums)
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(keys), pa.int32()), pa.array(keys, pa.int32()), pa.array([sums[k][0].tobytes() for k in keys], pa.binary()), pa.array([sums[k][1] for k in keys], pa.int64())], names=["salt", "block", "moved", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([0] * len(keys), pa.int32()), pa.array(keys, pa.int32()), pa.array([sums[k].astype(np.float32).tobytes() for k in keys], pa.binary())], names=["salt", "block", "moved"])
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS, shared_words: int = SHARED_WORDS) -> tuple[Model, DataFrame]:
-    """The model, and the table (word, c) of all counts, from the whole texts of docs."""
+    """The model, and the table (word, c) of all counts, from the whole texts of docs.
+
+    The driver gets the shared words and, in each round, one table of weights; both are bounded.
+    Sums are taken in single precision, so their order may show in the last digits of a score.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select("doc_id", "text")
@@ -227,18 +293,26 @@ def train(docs: DataFrame, rounds: int = ROUNDS, shared_words: int = SHARED_WORD
     words = shared["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
     model = Model(words[order], shared["c"].to_numpy(np.int64)[order], int(tokens or 0), int(distinct))
+    walks = max(LEAST_WALKS, -(-model.tokens // (TOKENS_A_ROW * model.rows)))
+    walks += -walks % rounds
+    place = F.xxhash64("doc_id", "text")
+    dealt = texts.select("text", place.alias("place"), F.pmod(place, F.lit(walks)).cast("int").alias("walk"))
     for r in range(rounds if len(words) else 0):
         own = spark.sparkContext.broadcast(model)
-        part = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r).select("text")
-        kind = "salt int, block int, moved binary, tokens long"
+        part = dealt.where(F.col("walk") % rounds == r).repartitionById(walks // rounds, F.floor(F.col("walk") / rounds).cast("int")).sortWithinPartitions("walk", "place").select("walk", "text")
+        kind = "salt int, block int, moved binary"
         sums = part.mapInArrow(_trained(own), kind).repartition(BLOCKS * 2, "block", "salt").mapInArrow(_summed, kind).repartition(BLOCKS, "block").mapInArrow(_summed, kind)
-        moved = {x.block: np.frombuffer(x.moved, np.float32) / max(1, x.tokens) for x in sums.collect()}
+        sums = stored(sums, "moves")
+        moved = {x.block: np.frombuffer(x.moved, np.float32).reshape(-1, BRANCHES + 1) for x in sums.collect()}
+        dropped(sums)
         if moved:
-            model.weights = model.weights + np.concatenate([moved[b] for b in range(BLOCKS)]).astype(np.float32)
+            moves = np.concatenate([moved[b] for b in range(BLOCKS)])
+            model.weights = model.weights + moves[:, :BRANCHES] / np.maximum(1, moves[:, BRANCHES:])
+        own.unpersist()
     return model, counts
 
 
-_SCORED = "row long, doc_id long, n_tokens long, known long, others long, logs double, other_logs double, model double, rare array<struct<word:bigint,n:bigint>>"
+_SCORED = "row long, doc_id long, n_tokens long, known long, logs double, model double, rare array<struct<word:bigint,n:bigint>>"
 
 
 def _scored(shared) -> Callable:
@@ -251,24 +325,21 @@ def _scored(shared) -> Callable:
                 continue
             h, f = _contexts(texts)
             place = model.find(h)
-            rank = model.rank[place]
-            logp = np.empty(len(h))
+            logp = np.zeros(len(h))
             for at in range(0, len(h), STEP):
-                x = _forward(model, model.weights, rank[at : at + STEP], f[:, at : at + STEP])
-                own = np.log10(np.maximum(x["pc"][np.arange(len(x["group"])), x["group"]], 1e-30))
-                own[x["head"]] += np.log10(np.maximum(x["ps"][np.arange(len(x["head"])), x["slot"]], 1e-30))
-                logp[at : at + STEP] = own
+                for own, slot, _, masses, sums in _choices(model, model.weights, place[at : at + STEP], f[:, at : at + STEP]):
+                    logp[at + own] += np.log10(np.maximum(masses[np.arange(len(slot)), slot] / sums, 1e-30))
             starts = np.cumsum([0, *map(len, texts[:-1])])
             total = lambda v: np.add.reduceat(v, starts)
-            other, known = rank < 0, place < len(model.words)
+            known = place < len(model.words)
             logs = with_c[place]
             at = np.flatnonzero(~known)
             of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[at]
             offsets = np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)
             words = pa.StructArray.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.ones(len(at), np.int64))], ["word", "n"])
             rare = pa.ListArray.from_arrays(pa.array(offsets), words)
-            columns = [batch.column("row"), batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(total(known.astype(np.int64))), pa.array(total(other.astype(np.int64))), pa.array(total(logs)), pa.array(total(np.where(other, logs, 0.0))), pa.array(total(logp)), rare]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "known", "others", "logs", "other_logs", "model", "rare"])
+            columns = [batch.column("row"), batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(total(known.astype(np.int64))), pa.array(total(logs)), pa.array(total(logp)), rare]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "known", "logs", "model", "rare"])
 
     return run
 
@@ -291,14 +362,14 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     known = rare.join(counts, "word").groupBy("row").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_logs"))
     out = found.join(known, "row", "left")
     more = F.coalesce("rare_logs", F.lit(0.0))
-    other = float(np.log10(model.other)) if model.other > 0 else 0.0
+    beyond = F.col("n_tokens") - F.col("known")
     return out.select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + more - F.col("n_tokens") * F.lit(float(np.log10(model.total)))).alias("base_score"),
-        (F.col("model") + F.col("other_logs") + more - F.col("others") * F.lit(other)).alias("score"),
+        (F.col("model") + more - beyond * F.lit(float(np.log10(model.other)))).alias("score"),
     )
 
 

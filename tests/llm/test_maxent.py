@@ -45,17 +45,55 @@ def test_base_equals_brute_force(spark, tmp_path, shared, monkeypatch):
         assert sum(g[6] for g in held) > 0.93 * sum(g[5] for g in held)  # less negative: the likelier
 
 
-def test_chances_add_up_to_one(spark):
+def chance(model, place, f, token):
+    """The product of a word's choices, one by one, as the tree states them."""
+    p = 1.0
+    for node, slot in zip(model.nodes[place], model.slots[place], strict=True):
+        if node < 0:
+            break
+        key = np.uint64(node) * M._MIX
+        rows = [int(((x ^ key) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & (model.rows - 1) for x in f[:, token]]
+        z = model.biases[node].astype(float) + sum(model.weights[r].astype(float) for r in rows)
+        p *= np.exp(z[slot] - z.max()) / np.exp(z - z.max()).sum()
+    return p
+
+
+@pytest.mark.parametrize("shared", [M.SHARED_WORDS, 40])
+def test_score_equals_brute_force_and_chances_add_up_to_one(spark, shared):
     rows = corpus(60)
-    model, _ = M.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model, counts = M.train(df, shared_words=shared)
     assert np.abs(model.weights).max() > 0
-    _, f = M._contexts([M.hashes_of("w1 w2 w3")])
-    total = 0.0
-    for rank in range(-1, M.CLASSES * M.SLOTS):
-        x = M._forward(model, model.weights, np.full(4, rank, np.int32), f)
-        p = x["pc"][2, x["group"][2]]
-        total += p * (x["ps"][2, x["slot"][2]] if rank >= 0 else 1)
-    assert abs(total - 1) < 1e-3
+    h, f = M._contexts([M.hashes_of("w1 w2 w3")])
+    with np.errstate(over="ignore"):
+        assert abs(sum(chance(model, i, f, 2) for i in range(len(model.words) + 1)) - 1) < 1e-3
+        c = {r.word: r.c for r in counts.collect()}
+        for r in M.score(df.limit(12), model, counts).collect():
+            h, f = M._contexts([M.hashes_of(dict(rows)[r.doc_id])])
+            want = 0.0
+            for i, (word, place) in enumerate(zip(h, model.find(h), strict=True)):
+                want += math.log10(chance(model, place, f, i))
+                if place == len(model.words):
+                    want += math.log10((c.get(int(word.view(np.int64)), 0) + 1) / model.other)
+            assert abs(r.score - want) < 1e-3 * max(1, abs(want))
+
+
+def test_score_does_not_depend_on_partitions(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    found = []
+    for n in (1, 7):
+        part = df.repartition(n)
+        found.append({r.doc_id: r.score for r in M.score(part, *M.train(part)).collect()})
+    assert found[0].keys() == found[1].keys()
+    assert all(abs(found[0][i] - found[1][i]) < 1e-3 * max(1, abs(found[0][i])) for i in found[0])
+
+
+@pytest.mark.parametrize("n", [1, 2, 15, 16, 17, 300])
+def test_tree_reaches_every_leaf_once(n):
+    nodes, slots, biases = M.tree(np.arange(1.0, n + 1))
+    ways = {tuple(zip(a[a >= 0], b[a >= 0], strict=True)) for a, b in zip(nodes, slots, strict=True)}
+    assert len(ways) == n and (nodes[-1] >= 0).sum() == (nodes >= 0).sum(axis=1).min()
+    assert np.allclose(np.exp(biases.astype(float)).sum(axis=1), 1, atol=1e-5)
 
 
 def test_empty_tables(spark):
