@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; with whole texts in them, Spark's own 10,000 could fill a worker.
 BATCH_ROWS = 512
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = 2**25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small; a lower setting of the session stays."""
+    """Keep Arrow batches of whole texts small; lower settings of the session stay."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -82,7 +85,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows, if it is there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -90,7 +94,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def dropped(*tables: DataFrame) -> None:
     """Delete intermediate tables that no later step reads."""
     for df in tables:
-        _delete(df.sparkSession, df._scratch_path)
+        delete(df.sparkSession, df._scratch_path)
         for scope in _SCOPES:
             if df._scratch_path in scope:
                 scope.remove(df._scratch_path)
@@ -108,7 +112,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _SCOPES.pop():
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def kept(df: DataFrame) -> DataFrame:

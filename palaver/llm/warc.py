@@ -5,8 +5,9 @@ line; version 1 has five, version 2 ten. A record is that line and as many bytes
 Each is converted to a WARC record with a synthesised identifier, timestamp, type and digests.
 Records of equal long payloads become one response and revisits of it.
 
-Files hold a bounded number of records, so one file is one row of a task. Which records of a file
-are revisits is decided from digests alone; only that list is joined with the file.
+A file is closed once it has so many bytes, so one compressed file is one row of a task; its records
+are read from it one by one. Which records of a file are revisits is decided from digests alone; the
+list of a file's revisits is looked up by the file.
 """
 
 from __future__ import annotations
@@ -14,19 +15,25 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.common import scratch_root, small_batches, table
+from palaver.llm.common import delete, dropped, scratch_path, small_batches, stored, table
 
-#: Records of an archive file.
-FILE_RECORDS = 4_096
+#: Bytes of records after which an archive file is closed.
+FILE_BYTES = 2**25
+#: Bytes of records that a task holds before it passes them on.
+HELD_BYTES = 2**24
+#: Revisits up to which their lists are broadcast, at some 40 bytes each 20 MB; more are shuffled.
+BROADCAST_REVISITS = 500_000
 #: Bytes from which equal payloads are written once.
 LEAST_REVISIT = 1_000
 #: The fields of a record's header line by version.
@@ -53,38 +60,45 @@ def arc_record(version: int, name: str, page_id: int | None, url: str | None, pa
     return f"{url} 0.0.0.0 {DATE} text/html{extra} {len(document)}\n".encode() + document
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(record number, header fields, content) of each record after the version block."""
+def _stream(data: bytes | BinaryIO) -> BinaryIO:
+    return io.BytesIO(data) if isinstance(data, bytes) else data
+
+
+def _unzipped(content: bytes) -> BinaryIO:
+    return io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)))
 
-    def line_at(at: int) -> tuple[str, int]:
-        end = data.index(b"\n", at)
-        return data[at:end].decode("utf-8", "replace").rstrip("\r"), end + 1
 
-    if not data:
+def parse_arc(data: bytes | BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(record number, header fields, content) of each record after the version block."""
+    source = _stream(data)
+
+    def header() -> str | None:
+        while line := source.readline():
+            if line.strip(b"\r\n"):
+                if not line.endswith(b"\n"):
+                    raise ValueError(f"a header line without an end: {line[:80]!r}")
+                return line.decode("utf-8", "replace").rstrip("\r\n")
+        return None
+
+    head = header()
+    if head is None:
         return
-    head, at = line_at(0)
     if not head.startswith("filedesc://"):
         raise ValueError(f"no version block: {head[:80]!r}")
-    size = int(head.rsplit(" ", 1)[1])
-    block = data[at : at + size].decode("utf-8", "replace").split("\n")
+    block = source.read(int(head.rsplit(" ", 1)[1])).decode("utf-8", "replace").split("\n")
     version = int(block[0].split()[0])
     fields = (block[1].strip() if len(block) > 1 and block[1].strip() else FIELDS[version]).split()
-    at += size
     number = 0
-    while True:
-        while data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
-        if at >= len(data):
-            return
-        head, at = line_at(at)
+    while (head := header()) is not None:
         values = head.rsplit(" ", len(fields) - 1)
         if len(values) != len(fields) or not values[-1].isdigit():
             raise ValueError(f"record {number} of version {version} has the header {head[:200]!r}")
         size = int(values[-1])
-        if at + size > len(data):
-            raise ValueError(f"record {number} declares {size} bytes, {len(data) - at} are left")
-        yield number, dict(zip(fields, values, strict=True)), data[at : at + size]
-        at, number = at + size, number + 1
+        content = source.read(size)
+        if len(content) != size:
+            raise ValueError(f"record {number} declares {size} bytes, {len(content)} are left")
+        yield number, dict(zip(fields, values, strict=True)), content
+        number += 1
 
 
 def http_parts(document: bytes) -> tuple[bytes, bytes]:
@@ -133,101 +147,134 @@ def warc_record(fields: dict[str, str], document: bytes, own_id: str, refers_to:
     return "\r\n".join(lines).encode() + block
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8").split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}: {version[:80]!r}")
-        fields = dict(x.split(": ", 1) for x in lines)
+def parse_warc(data: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    source = _stream(data)
+    while version := source.readline():
+        if not version.startswith(b"WARC/"):
+            raise ValueError(f"no record but {version[:80]!r}")
+        fields = {}
+        while line := source.readline().rstrip(b"\r\n"):
+            name, _, value = line.decode("utf-8").partition(": ")
+            fields[name] = value
         size = int(fields["Content-Length"])
-        block = data[end + 4 : end + 4 + size]
+        block = source.read(size)
         if len(block) != size or _digest(block) != fields["WARC-Block-Digest"]:
             raise ValueError(f"the block of {fields['WARC-Record-ID']} differs from its digest")
         yield fields, block
-        at = end + 4 + size + 4
+        source.read(4)
+
 
+def _batched(rows: Iterable[tuple], schema: pa.Schema, weigh: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about HELD_BYTES at most, and of a few thousand rows."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += weigh(row)
+        if size >= HELD_BYTES or len(held) >= 4_096:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
-def _to_arc(file_records: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, rows = TaskContext.get().partitionId(), 0
-        version = part % 2 + 1
+
+_RECORD = pa.schema([("file", pa.string()), ("number", pa.int32()), ("value", pa.binary())])
+_SLIM = pa.schema([("path", pa.string()), ("number", pa.int32()), ("page_id", pa.int64()), ("id", pa.string()), ("digest", pa.binary()), ("bytes", pa.int64())])
+_READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("date", pa.string())])
+
+
+def _to_arc(file_bytes: int) -> Callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        part = TaskContext.get().partitionId()
+        version, files, number, size = part % 2 + 1, 0, 0, file_bytes
         for batch in batches:
-            out = []
-            for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                name = f"part-{part}-{rows // file_records}.arc"
-                if rows % file_records == 0:  # the writer begins a file with this row
-                    out.append(arc_version_block(version, name))
-                    rows += 1
-                out.append(arc_record(version, name, page_id, url, (html or "").encode("utf-8")))
-                rows += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            for row in range(batch.num_rows):
+                page_id, url, html = (batch.column(c)[row].as_py() for c in ("page_id", "url", "html"))
+                if size >= file_bytes:
+                    name, number, size = f"part-{part}-{files}", 0, 0
+                    files += 1
+                    yield name, number, arc_version_block(version, f"{name}.arc")
+                record = arc_record(version, f"{name}.arc", page_id, url, (html or "").encode("utf-8"))
+                number, size = number + 1, size + len(record)
+                yield name, number, record
 
-    return run
+    return lambda batches: _batched(rows(batches), _RECORD, lambda r: len(r[2]))
 
 
 def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: list[tuple] = []
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            for number, _, document in parse_arc(gzip.decompress(content)):
-                headers, payload = http_parts(document)
-                rows.append((path, number, page_of(headers), hashlib.sha1(payload).digest(), len(payload)))
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["path", "number", "page_id", "digest", "bytes"])
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                path = batch.column("path")[row].as_py()
+                for number, _, document in parse_arc(_unzipped(batch.column("content")[row].as_py())):
+                    headers, payload = http_parts(document)
+                    page = page_of(headers)
+                    yield path, number, page, record_id(page, f"{path}#{number}"), hashlib.sha1(payload).digest(), len(payload)
+
+    return _batched(rows(), _SLIM, lambda r: 100)
 
 
 def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content, revisits in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "revisits")), strict=True):
-            known = {r["number"]: r for r in revisits or ()}
-            out = []
-            for number, fields, document in parse_arc(gzip.decompress(content)):
-                to = known.get(number)
-                out.append(warc_record(fields, document, record_id(page_of(http_parts(document)[0]), f"{path}#{number}"), to and record_id(to["to_page"], f"{to['to_path']}#{to['to_number']}")))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+    def rows() -> Iterator[tuple]:
+        part, files = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for row in range(batch.num_rows):
+                path = batch.column("path")[row].as_py()
+                revisits = {r["number"]: r["to_id"] for r in batch.column("revisits")[row].as_py() or ()}
+                name, files = f"part-{part}-{files}", files + 1
+                for number, fields, document in parse_arc(_unzipped(batch.column("content")[row].as_py())):
+                    yield name, number, warc_record(fields, document, record_id(page_of(http_parts(document)[0]), f"{path}#{number}"), revisits.get(number))
+
+    return _batched(rows(), _RECORD, lambda r: len(r[2]))
 
 
 def _from_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number_of = lambda uri: int(uri.rsplit(":", 1)[1].rstrip(">")) if uri and uri.startswith("<urn:x-page:") else None
-    for batch in batches:
-        rows = []
-        for content in batch.column("content").to_pylist():
-            for fields, block in parse_warc(gzip.decompress(content)):
-                headers, payload = http_parts(block)
-                kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"]
-                size = len(payload)
-                if kind == "revisit":
-                    size = int(_HTTP_LENGTH.search(headers)[1])
-                elif _digest(payload) != digest:
-                    raise ValueError(f"the payload of {fields['WARC-Record-ID']} differs from its digest")
-                rows.append((number_of(fields["WARC-Record-ID"]), size, base64.b32decode(digest[5:]).hex(), kind, number_of(fields.get("WARC-Refers-To")), fields["WARC-Target-URI"], fields["WARC-Date"]))
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "date"])
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                for fields, block in parse_warc(_unzipped(batch.column("content")[row].as_py())):
+                    headers, payload = http_parts(block)
+                    kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"]
+                    size = len(payload)
+                    if kind == "revisit":
+                        size = int(_HTTP_LENGTH.search(headers)[1])
+                    elif _digest(payload) != digest:
+                        raise ValueError(f"the payload of {fields['WARC-Record-ID']} differs from its digest")
+                    yield number_of(fields["WARC-Record-ID"]), size, base64.b32decode(digest[5:]).hex(), kind, number_of(fields.get("WARC-Refers-To")), fields["WARC-Target-URI"], fields["WARC-Date"]
+
+    return _batched(rows(), _READ, lambda r: 200)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+def _written(records: DataFrame, path: str, separator: str) -> None:
+    """Records (file, number, value), each file's in order and with the separator after each."""
+    ordered = records.sortWithinPartitions("file", "number").select("file", F.col("value").cast("string"))
+    ordered.write.partitionBy("file").option("lineSep", separator).option("compression", "gzip").text(path)
 
 
-def write_arc(pages: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
+def write_arc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     """Compressed ARC files of the pages, of version 1 and 2 by turns of the tasks."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_to_arc(file_records), "value binary")
-    rows.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_to_arc(file_bytes), "file string, number int, value binary")
+    _written(rows, path, "\n")
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST_REVISIT, file_records: int = FILE_RECORDS) -> None:
-    """WARC files of all ARC files. Of equal payloads of at least ``least`` bytes the record of the
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST_REVISIT, broadcast_revisits: int = BROADCAST_REVISITS) -> None:
+    """A WARC file for each ARC file. Of equal payloads of at least ``least`` bytes the record of the
     largest page_id is a response (of equal ones the last in its file), the others revisit it."""
-    slim = _files(spark, arc_path).mapInArrow(_slim, "path string, number int, page_id long, digest binary, bytes long").where(F.col("bytes") >= least)
-    top = slim.groupBy("digest").agg(F.max(F.struct("page_id", "path", "number")).alias("to"), F.count("*").alias("c")).where("c > 1").select(F.col("digest").alias("to_digest"), F.col("to.page_id").alias("to_page"), F.col("to.path").alias("to_path"), F.col("to.number").alias("to_number"))
-    again = slim.join(top, F.col("digest") == F.col("to_digest")).where((F.col("path") != F.col("to_path")) | (F.col("number") != F.col("to_number")))
-    per_file = again.groupBy(F.col("path").alias("of")).agg(F.collect_list(F.struct("number", "to_page", "to_path", "to_number")).alias("revisits"))
+    slim = _files(spark, arc_path).mapInArrow(_slim, "path string, number int, page_id long, id string, digest binary, bytes long")
+    slim = stored(slim.where(F.col("bytes") >= least), "archive-digests")
+    top = slim.groupBy("digest").agg(F.max(F.struct("page_id", "path", "number", "id")).alias("to"), F.count("*").alias("c")).where("c > 1").select(F.col("digest").alias("to_digest"), "to")
+    again = slim.join(top, F.col("digest") == F.col("to_digest")).where((F.col("path") != F.col("to.path")) | (F.col("number") != F.col("to.number")))
+    per_file = stored(again.groupBy(F.col("path").alias("of")).agg(F.collect_list(F.struct("number", F.col("to.id").alias("to_id"))).alias("revisits")), "archive-revisits")
+    few = (per_file.agg(F.sum(F.size("revisits"))).first()[0] or 0) <= broadcast_revisits
     files = _files(spark, arc_path)
-    records = files.join(per_file, F.col("path") == F.col("of"), "left").select("path", "content", "revisits").mapInArrow(_to_warc, "value binary")
-    records.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(warc_path)
+    records = files.join(F.broadcast(per_file) if few else per_file, F.col("path") == F.col("of"), "left").select("path", "content", "revisits")
+    _written(records.mapInArrow(_to_warc, "file string, number int, value binary"), warc_path, "\r\n\r\n")
+    dropped(slim, per_file)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -237,20 +284,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(_from_warc, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, date string")
 
 
-def through_archives(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
+def through_archives(pages: DataFrame, file_bytes: int = FILE_BYTES, broadcast_revisits: int = BROADCAST_REVISITS) -> DataFrame:
     """Pages to ARC files, those to WARC files, and the records read back.
 
     A null html is an empty payload, a null url is written as -, a page without an id gets an
-    identifier from its place and a null page_id. Of repeated rows one is the response. No pages,
-    no rows. Other columns are not read.
+    identifier from its place and a null page_id. Of repeated rows one is the response. A page of
+    more than file_bytes is a file of its own. No pages, no rows. Other columns are not read.
     """
     spark = pages.sparkSession
     small_batches(spark)
-    base = f"{scratch_root(spark)}/palaver/{spark.sparkContext.applicationId}/archives-{uuid.uuid4().hex}"
-    write_arc(pages, f"{base}/arc", file_records)
-    convert(spark, f"{base}/arc", f"{base}/warc", file_records=file_records)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/arc")
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    base = scratch_path(spark, "archives")
+    write_arc(pages, f"{base}/arc", file_bytes)
+    convert(spark, f"{base}/arc", f"{base}/warc", broadcast_revisits=broadcast_revisits)
+    delete(spark, f"{base}/arc")
     return read_warc(spark, f"{base}/warc")
 
 

@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from palaver.llm import warc as W
@@ -18,10 +19,10 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
-@pytest.mark.parametrize("file_records", [7, 4096])
-def test_equals_sql(spark, file_records):
+@pytest.mark.parametrize("file_bytes, revisits", [(5_000, 10**6), (5_000, 0), (2**25, 10**6)])
+def test_equals_sql(spark, file_bytes, revisits):
     rows = pages()
-    got = W.through_archives(frame(spark, rows).repartition(3), file_records).drop("target_uri", "date")
+    got = W.through_archives(frame(spark, rows).repartition(3), file_bytes, revisits).drop("target_uri", "date")
     con = duckdb.connect()
     con.sql("create table pages (page_id bigint, url varchar, html varchar)")
     con.executemany("insert into pages values (?, ?, ?)", rows)
@@ -52,3 +53,13 @@ def test_arc_of_either_version(version):
     assert g["WARC-Date"] == "1999-01-02T03:04:05Z" and g["Content-Type"] == "image/gif" and block == d
     with pytest.raises(ValueError):
         list(W.parse_arc(raw[:-4]))
+
+
+def test_pages_of_several_megabytes_leave_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(W, "HELD_BYTES", 2**20)
+    rows = [(i, f"http://h/{i}", ("é%d " % (i % 3)) * 800_000) for i in range(9)] + [(9, "http://h/9", "x")]
+    got = W.through_archives(frame(spark, rows).repartition(2), 2**22).collect()
+    assert {r.page_id: r.payload_bytes for r in got} == {i: len((t or "").encode()) for i, _, t in rows}
+    assert sorted(r.page_id for r in got if r.record_type == "response") == [6, 7, 8, 9]
+    held = [b.num_rows for b in W._batched(((k, k, b"x" * 2**19) for k in range(9)), pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.binary())]), lambda r: len(r[2]))]
+    assert held == [2, 2, 2, 2, 1]
