@@ -16,6 +16,7 @@ condemn others that are unlike them.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palaver.llm.common import kept, scratch, stored, table
@@ -75,32 +76,46 @@ def _kind(segment: Column) -> Column:
     return F.when(segment.isNull(), "$").when(segment.startswith("{") | (segment == ""), segment).otherwise(F.concat(F.lit("{w}"), _ending(segment)))
 
 
-def _level(rows: DataFrame, k: int, max_values: int, smoothing: float, alike_z: float) -> DataFrame:
-    """The rows one level further down: node goes on to the branch of segment k, share to its share."""
-    value, word = F.get("segments", F.lit(k)), ~F.col("value").startswith("{")
-    rows = rows.withColumn("value", value)
-    wide = rows.select("node", "value").distinct().groupBy("node").agg(F.count("*").alias("values")).where(F.col("values") > max_values).select("node", F.lit(True).alias("wide"))
-    rows = rows.join(wide, "node", "left").withColumn("value", F.when(F.col("wide") & word, F.concat(F.lit("{w}"), _ending(F.col("value")))).otherwise(F.col("value"))).drop("wide")
-
-    kinds = rows.groupBy("node", "value", _kind(F.get("segments", F.lit(k + 1))).alias("kind")).agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")], F.max("share").alias("share"))
-    kinds = kinds.withColumn("type", F.regexp_replace("kind", r"\..*$", ""))
-    types = kinds.where(word).groupBy("node", "value", "type").agg(F.sum("n").alias("c")).groupBy("node", "value").agg(F.max_by("type", F.struct("c", "type")).alias("most"))
-    kinds = kinds.join(types, ["node", "value"], "left")
-    pool = kinds.where(word).groupBy("node", "most", "kind").agg(*[F.sum(c).alias(f"pool_{c}") for c in ("n", "blocked", "labelled")])
-    places = pool.groupBy("node", "most").agg(F.count("*").alias("kinds"), *[F.sum(f"pool_{c}").alias(f"all_{c}") for c in ("n", "blocked", "labelled")])
-    branches = kinds.join(pool, ["node", "most", "kind"], "left").groupBy("node", "value", "most").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")], F.max("share").alias("share"), F.sum(F.col("n") * F.col("n") / F.col("pool_n").cast("double")).alias("squares"))
-    branches = branches.join(places, ["node", "most"], "left")
+def _generalised(rows: DataFrame, k: int, max_values: int) -> DataFrame:
+    """Rows with the value of segment k: a wildcard where its place has too many."""
+    value = F.get("segments", F.lit(k))
+    wide = rows.select("node", value.alias("value")).distinct().groupBy("node").agg(F.count("*").alias("values")).where(F.col("values") > max_values).select("node", F.lit(True).alias("wide"))
+    general = F.when(F.col("wide") & ~value.startswith("{"), F.concat(F.lit("{w}"), _ending(value))).otherwise(value)
+    return rows.join(wide, "node", "left").select(*rows.columns, general.alias("value"))
+
+
+def _branches(rows: DataFrame, k: int, smoothing: float, alike_z: float) -> DataFrame:
+    """node, value, branch, urls, own_share: what the values of each place are merged to.
+
+    Counts alone are dealt out, by place, and a place has few values; all windows keep to that.
+    """
+    word, sums = ~F.col("value").startswith("{"), [F.sum(c).alias(c) for c in ("n", "blocked", "labelled")]
+    kinds = rows.groupBy("node", "value", _kind(F.get("segments", F.lit(k + 1))).alias("kind")).agg(*sums, F.max("share").alias("share"))
+    kinds = kinds.repartition("node").withColumn("type", F.regexp_replace("kind", r"\..*$", ""))
+    kinds = kinds.withColumn("c", F.sum("n").over(W.partitionBy("node", "value", "type")))
+    kinds = kinds.withColumn("most", F.when(word, F.max(F.struct("c", "type")).over(W.partitionBy("node", "value"))["type"]))
+    pool = W.partitionBy("node", "most")
+    kinds = kinds.withColumn("kinds", F.size(F.collect_set("kind").over(pool))).withColumn("pool_n", F.sum("n").over(W.partitionBy("node", "most", "kind")))
+    squares = F.sum(F.col("n") * F.col("n") / F.col("pool_n").cast("double")).alias("squares")
+    found = kinds.groupBy("node", "value", "most").agg(*sums, F.max("share").alias("share"), F.max("kinds").alias("kinds"), squares)
+    for c in ("n", "blocked", "labelled"):
+        found = found.withColumn(f"all_{c}", F.sum(c).over(pool))
     free = F.col("kinds") - 1
     same_kinds = F.col("squares") * F.col("all_n") / F.col("n") - F.col("n") <= free + alike_z * F.sqrt(2.0 * free) + 1e-9
     mean = F.try_divide(F.col("all_blocked").cast("double"), F.col("all_labelled"))
-    same_share = F.coalesce(F.abs(F.col("blocked") / F.col("labelled").cast("double") - mean) <= alike_z * F.sqrt(mean * (1 - mean) / F.col("labelled")) + 1e-9, F.lit(True))
-    branches = branches.withColumn("alike", word & same_kinds & F.when(F.col("labelled") > 0, same_share).otherwise(True))
-    several = branches.where("alike").groupBy("node", "most").agg(F.count("*").alias("merged")).where("merged > 1")
-    merged = F.concat(F.lit("{m:"), "most", F.lit("}"))
-    branches = branches.join(several, ["node", "most"], "left").withColumn("branch", F.when(F.col("alike") & F.col("merged").isNotNull(), merged).otherwise(F.col("value")))
-    own = branches.groupBy("node", "branch").agg(F.sum("n").alias("urls"), ((F.sum("blocked") + smoothing * F.max("share")) / (F.sum("labelled") + smoothing)).alias("own_share"))
-    judged = branches.select("node", "value", "branch").join(own, ["node", "branch"])
-    out = rows.join(judged, ["node", "value"])
+    same_share = F.abs(F.try_divide(F.col("blocked").cast("double"), F.col("labelled")) - mean) <= alike_z * F.sqrt(F.try_divide(mean * (1 - mean), F.col("labelled"))) + 1e-9
+    found = found.withColumn("alike", word & same_kinds & F.coalesce(same_share, F.lit(True)))
+    several = F.count_if("alike").over(pool) > 1
+    found = found.withColumn("branch", F.when(F.col("alike") & several, F.concat(F.lit("{m:"), "most", F.lit("}"))).otherwise(F.col("value")))
+    own = W.partitionBy("node", "branch")
+    share = (F.sum("blocked").over(own) + smoothing * F.col("share")) / (F.sum("labelled").over(own) + smoothing)
+    return found.select("node", "value", "branch", F.sum("n").over(own).alias("urls"), share.alias("own_share"))
+
+
+def _level(rows: DataFrame, k: int, max_values: int, smoothing: float, alike_z: float) -> DataFrame:
+    """The rows one level further down: node goes on to the branch of segment k, share to its share."""
+    rows = stored(_generalised(rows, k, max_values), f"url-values-{k}")
+    out = rows.join(_branches(rows, k, smoothing, alike_z), ["node", "value"])
     return out.select("host", "segments", "n", "blocked", "labelled", F.concat("node", F.lit("/"), "branch").alias("node"), F.col("own_share").alias("share"), "urls")
 
 
