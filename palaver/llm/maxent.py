@@ -29,15 +29,15 @@ from palaver.llm.words import word_hashes
 #: Choices at each class of the tree.
 BRANCHES = 16
 #: Rows of the table of weights, by training words for each row; powers of two within bounds.
-WORDS_A_ROW, LEAST_ROWS, MOST_ROWS = 2, 2**14, 2**18
+WORDS_A_ROW, LEAST_ROWS, MOST_ROWS = 4, 2**14, 2**18
 FEATURES = 3
 ROUNDS, RATE = 2, 0.3
 #: What a row's sum of squared slopes begins with.
 FIRST_SQUARES = 0.1
 #: Tokens of a gradient step.
 STEP = 2**15
-#: Walks, at least, and tokens of a walk for each row of weights.
-LEAST_WALKS, TOKENS_A_ROW = 16, 64
+#: Tokens of a walk, about.
+WALK_TOKENS = 2**22
 #: Words whose counts are broadcast, at most, at 16 bytes each, and as many for their ways.
 SHARED_WORDS = 200_000
 #: Parts that the weights are averaged in, and partial sums of each.
@@ -293,8 +293,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS, shared_words: int = SHARED_WORD
     words = shared["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
     model = Model(words[order], shared["c"].to_numpy(np.int64)[order], int(tokens or 0), int(distinct))
-    walks = max(LEAST_WALKS, -(-model.tokens // (TOKENS_A_ROW * model.rows)))
-    walks += -walks % rounds
+    walks = rounds * max(1, -(-model.tokens // (WALK_TOKENS * rounds)))
     place = F.xxhash64("doc_id", "text")
     dealt = texts.select("text", place.alias("place"), F.pmod(place, F.lit(walks)).cast("int").alias("walk"))
     for r in range(rounds if len(words) else 0):
