@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,16 +52,19 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
-def _rounded(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: v if pd.isna(v) else round(v, 1)).astype(float)
+def round1(x: Column, rounding: str = "exact") -> Column:
+    """One decimal of a double: its binary value rounded half to even, or with "sql" as SQL's round.
 
-
-def round1(x: Column, rounding: str = "sql") -> Column:
-    """One decimal: half up as SQL does, or with rounding="python" half to even on the binary value.
-
-    The latter is for rows that are already aggregated.
+    A tie is where 20 x is an odd integer. 16 x and 4 x are exact; what their sum s loses is found
+    exactly too, and tells on which side of the tie x lies.
     """
-    return F.pandas_udf(_rounded, "double")(x) if rounding == "python" else F.round(x, 1)
+    if rounding == "sql":
+        return F.round(x, 1)
+    a, b = x * 16.0, x * 4.0
+    s = a + b
+    lost = (a - (s - (s - a))) + (b - (s - a))
+    aside = F.when(lost > 0, (s + 1) / 2).otherwise((s - 1) / 2)
+    return F.when((F.pmod(s, F.lit(2.0)) == 1) & (lost != 0), aside).otherwise(F.rint(s / 2)) / 10.0
 
 
 def truthy(x: Column, other: Column) -> Column:

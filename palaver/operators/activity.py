@@ -82,18 +82,19 @@ def with_previous(messages: DataFrame, bucket_ms: int = C.DAY_MS) -> DataFrame:
     bucket's last message, a row a bucket, is shifted by one and joined. So a chat that holds a third
     of all messages is spread over many tasks, which a window over the chat would not allow.
     """
-    rows = messages.withColumn("__bucket", F.floor(F.col("ts_ms") / bucket_ms))
-    order = Window.partitionBy("chat_id", "__bucket").orderBy("ts_ms", "seq")
+    key = F.concat(F.when(F.col("chat_id").isNull(), "-").otherwise("+"), F.coalesce("chat_id", F.lit("")))
+    rows = messages.withColumn("__key", key).withColumn("__bucket", F.floor(F.col("ts_ms") / bucket_ms))
+    last = rows.groupBy("__key", "__bucket").agg(F.max(F.struct("ts_ms", "seq", "sender_uid")).alias("last"))
+    order = Window.partitionBy("__key", "__bucket").orderBy("ts_ms", "seq")
     rows = rows.withColumn("__ts", F.lag("ts_ms").over(order)).withColumn("__uid", F.lag("sender_uid").over(order)).withColumn("__first", F.row_number().over(order) == 1)
-    last = messages.groupBy("chat_id", F.floor(F.col("ts_ms") / bucket_ms).alias("__bucket")).agg(F.max(F.struct("ts_ms", "seq", "sender_uid")).alias("last"))
-    across = Window.partitionBy("chat_id").orderBy("__bucket")
-    edge = last.select(F.col("chat_id").alias("__chat"), F.col("__bucket").alias("__b"), F.lag("last").over(across).alias("__before"))
-    joined = rows.join(edge, F.col("chat_id").eqNullSafe(F.col("__chat")) & (F.col("__bucket") == F.col("__b")), "left")
+    across = Window.partitionBy("__key").orderBy("__bucket")
+    edge = last.select("__key", "__bucket", F.lag("last").over(across).alias("__before"))
+    joined = rows.join(edge, ["__key", "__bucket"], "left")
     pick = lambda own, name: F.when(F.col("__first"), F.col(f"__before.{name}")).otherwise(F.col(own))
-    return joined.withColumn("prev_ts", pick("__ts", "ts_ms")).withColumn("prev_uid", pick("__uid", "sender_uid")).drop("__bucket", "__ts", "__uid", "__first", "__chat", "__b", "__before")
+    return joined.withColumn("prev_ts", pick("__ts", "ts_ms")).withColumn("prev_uid", pick("__uid", "sender_uid")).drop("__key", "__bucket", "__ts", "__uid", "__first", "__before")
 
 
-def response_times(messages: DataFrame, limit_ms: int = REPLY_MS, rounding: str = "sql") -> DataFrame:
+def response_times(messages: DataFrame, limit_ms: int = REPLY_MS, rounding: str = "exact") -> DataFrame:
     """chat_id, self_avg_seconds, other_avg_seconds: mean gap to the message before, whoever sent it.
 
     Gaps over the limit don't count; without any the mean is 0.
@@ -109,7 +110,7 @@ def exchange_rounds(messages: DataFrame) -> DataFrame:
     return with_previous(messages).groupBy("chat_id").agg(F.count_if(F.col("sender_uid") != F.coalesce("prev_uid", F.lit(""))).alias("rounds"))
 
 
-def overview(messages: DataFrame, chats: DataFrame | None = None, tz: str = C.TZ, rounding: str = "sql") -> DataFrame:
+def overview(messages: DataFrame, chats: DataFrame | None = None, tz: str = C.TZ, rounding: str = "exact") -> DataFrame:
     """One row a chat of counters; with chats, names and the header's duration too."""
     chars = lambda who: F.coalesce(F.sum(F.when(who, F.length("text"))), F.lit(0)).alias
     own = F.col("is_self")

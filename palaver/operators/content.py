@@ -15,16 +15,20 @@ from palaver.functions import columns as C
 NO_WORDS = ("type_11", "type_17")
 LAUGH = "emmm"
 
-# Words that say little, by category.
+# Words of two characters and more that are not ranked, compared in lower case.
 STOP_WORDS = frozenset(
-    # English pronouns, articles, particles
-    "the an and or but if of to in on at by for from with as is are was were be been it its this that these those he she we you they them his her our your their me my not no yes do does did so".split()
-    # Chinese pronouns, particles, conjunctions, adverbs of two characters and more
-    + "我们 你们 他们 她们 它们 咱们 自己 大家 这个 那个 这些 那些 这样 那样 这里 那里 什么 怎么 为什么 多少 哪里 哪个 因为 所以 但是 而且 或者 如果 虽然 然后 不过 还是 就是 不是 可以 没有 已经 一个 一下 一样 一直 现在 时候 觉得 知道 可能 应该 真的 其实 有点 比较 非常".split()
-    # laughter and interjections
-    + "哈哈 哈哈哈 呵呵 嘿嘿 嘻嘻 haha hahaha hh hhh hhhh lol".split()
+    "一个 没有 自己 什么 怎么 如果 因为 所以 然后 但是 而且 虽然 我们 确实 这么 觉得 算是 还有 知道 应该 其实 现在 有点 不能 可以 那么 那个 这个 怎么样 为什么 时候 时间 地方 "
+    "方式 可能 需要 开始 最后 之后 之前 这些 那些 这样 那样 已经 还是 就是 不是 哈哈 呵呵 嘿嘿 嘻嘻 hhhh hhh hh tm tmd md 吃糖 问题 答案 这种 不会 你们 他们 ''".split()
 )
-MEDIA_WORDS = frozenset("jpg jpeg png gif bmp webp mp4 uid xml json html http https www com utf encoding version msg source title nickname 图片 表情 回复 转发".split())
+# Leftovers of the export's format; those with capitals never match, as words are compared in lower case.
+MEDIA_WORDS = frozenset(
+    "jpg png gif bmp jpeg webp uid xml version encoding utf serviceID templateID action brief m_resid tSum flag title color size hr summary source senderName referencedMessageId "
+    "msg item layout nickname remark selfUid selfUin selfName chatInfo statistics totalMessages timeRange messageTypes senders resources 图片 表情 回复 合并转发".split()
+)
+# Signs and digits alone; an identifier; letters and digits mixed.
+SIGNS = r"""^[/*《》「」『』【】〔〕（）——……·、，。！？：；""''～~.+=@#$%^|`<>&\s\d\-]+$"""
+IDENTIFIER = r"^[a-zA-Z0-9_]{16,}$"
+MIXED = r"^(?:\d+[a-zA-Z]+|[a-zA-Z]+\d+)[a-zA-Z0-9]*$"
 
 HAN = r"[一-鿕]"
 LATIN = {"ascii": "[a-zA-Z0-9]+", "unicode": r"(?:(?![一-鿕])[\p{L}\p{N}])+"}
@@ -34,7 +38,7 @@ def _person() -> Column:
     return F.when(F.col("is_self"), "self").otherwise("other")
 
 
-def length_stats(messages: DataFrame, rounding: str = "sql") -> DataFrame:
+def length_stats(messages: DataFrame, rounding: str = "exact") -> DataFrame:
     """chat_id, person, avg, max, min, median (the upper one), total; both persons of every chat.
 
     A message without text has length 0; a person without messages has zeros.
@@ -106,7 +110,7 @@ def tokens(text: Column, lexicon: dict[str, int] | None = None, latin: str = "as
 
 def _says_something(w: Column, stop: Iterable[str]) -> Column:
     """Long enough, no stop word, not all digits or signs, not an identifier or a mix with digits."""
-    noise = w.rlike(r"^[\p{P}\p{S}\s\d-]+$") | w.rlike("^[a-zA-Z0-9_]{16,}$") | w.rlike(r"^(\d+[a-zA-Z]+|[a-zA-Z]+\d+)[a-zA-Z0-9]*$")
+    noise = w.rlike(f"(?U){SIGNS}") | w.rlike(IDENTIFIER) | w.rlike(f"(?U){MIXED}")
     return (F.length(w) >= 2) & ~F.lower(w).isin(*sorted(stop)) & ~noise
 
 
@@ -137,9 +141,21 @@ def last_messages(messages: DataFrame, n: int) -> DataFrame:
 
 
 def newest_share(messages: DataFrame, share: float = 0.6, tz: str = C.TZ) -> DataFrame:
-    """The newest part of each month, for models that cannot take all of it."""
-    order = Window.partitionBy("chat_id", C.month(F.col("ts_ms"), tz)).orderBy(F.desc("ts_ms"), F.desc("seq"))
-    return messages.withColumn("__p", F.percent_rank().over(order)).where(F.col("__p") <= share).drop("__p")
+    """The newest part of each month, for models that cannot take all of it.
+
+    A message's place in its month is its place in its day after the messages of later days, which
+    are counted by day, so no task has a whole month of a large chat.
+    """
+    rows = messages.withColumn("__month", C.month(F.col("ts_ms"), tz)).withColumn("__day", C.day_number(F.col("ts_ms"), tz))
+    rows = rows.withColumn("__key", F.concat(F.when(F.col("chat_id").isNull(), "-").otherwise("+"), F.coalesce("chat_id", F.lit(""))))
+    month = Window.partitionBy("__key", "__month")
+    days = rows.groupBy("__key", "__month", "__day").agg(F.count("*").alias("__c"))
+    later = F.coalesce(F.sum("__c").over(month.orderBy(F.desc("__day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select("__key", "__month", "__day", later.alias("__later"), F.sum("__c").over(month).alias("__all"))
+    place = F.row_number().over(Window.partitionBy("__key", "__month", "__day").orderBy(F.desc("ts_ms"), F.desc("seq"))) - 1
+    rows = rows.withColumn("__place", place).join(days, ["__key", "__month", "__day"])
+    part = (F.col("__later") + F.col("__place")) / F.greatest(F.lit(1), F.col("__all") - 1)
+    return rows.where(part <= share).select(messages.columns)
 
 
 def _named(messages: DataFrame, chats: DataFrame) -> DataFrame:

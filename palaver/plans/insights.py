@@ -7,7 +7,6 @@ partitions.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import logging
 import os
@@ -42,11 +41,11 @@ class Provider(Protocol):
 
 @dataclass
 class OfflineProvider:
-    """Answers that fit the contracts and follow from the prompt's digest; no network."""
+    """Answers that fit the contracts and follow from the prompt's length; no network."""
 
     def complete(self, system: str, user: str) -> str:
         dimension = system.split(":", 1)[0]
-        n = int(hashlib.sha256((system + user).encode()).hexdigest(), 16)
+        n = len(user)
         mood = ["joy", "calm", "worry", "anger"]
         answers = {
             "emotion": {"self_emotion": mood[n % 4], "self_intensity": n % 10 + 1, "self_keywords": ["a"], "other_emotion": mood[n // 4 % 4], "other_intensity": n // 16 % 10 + 1, "other_keywords": ["b"], "overall_tone": "neutral"},
@@ -144,8 +143,11 @@ def analyze(dimension: str, messages: DataFrame, chats: DataFrame, provider: Pro
 
     Monthly dimensions have period and month; personal ones person, name (the chat's, over the
     model's) and total_messages. Calls without an answer give no row. A failed call gives a row with
-    its error and no result; with fail_fast it fails the job.
+    its error and no result; with fail_fast it fails the job. An unknown dimension, or a provider that
+    says that it is not configured, raises at once.
     """
+    if not getattr(provider, "is_configured", lambda: True)():
+        raise ValueError("the provider has no address or key")
     asked = prompts(dimension, messages, chats, tz)
     if tasks:
         asked = asked.repartition(tasks)

@@ -42,6 +42,10 @@ def sections(all_metrics: dict[str, DataFrame], insights: DataFrame | None = Non
         "shares": all_metrics["shares"].orderBy("person"),
         "lengths": all_metrics["lengths"].orderBy("person"),
         "response": all_metrics["response"],
+        "daily": all_metrics["daily"].orderBy("date"),
+        "hourly": all_metrics["hourly"].orderBy("hour"),
+        "weekly": all_metrics["weekly"].orderBy("weekday"),
+        "heatmap": all_metrics["heatmap"].orderBy("weekday", "hour"),
         "faces": top(all_metrics["faces"], TOP_FACES).orderBy("person", "rank"),
         "words": top(all_metrics["words"], TOP_WORDS).orderBy("person", "rank"),
     }

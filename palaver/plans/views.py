@@ -55,15 +55,22 @@ _PERSON = "case when is_self then 'self' else 'other' end as person"
 _LAGGED = "lagged as (select *, ts_ms - lag(ts_ms) over w as gap, sender_uid <> lag(sender_uid, 1, '') over w as opens from ev window w as (partition by chat_id order by ts_ms, seq))"
 
 
+def _round1(x: str) -> str:
+    """One decimal, half to even on the binary value; see columns.round1."""
+    s = "(v * 16::double + v * 4::double)"
+    lost = f"((v * 16::double - ({s} - ({s} - v * 16::double))) + (v * 4::double - ({s} - v * 16::double)))"
+    return f"list_transform([({x})::double], lambda v: case when {s} % 2 = 1 and {lost} <> 0 then case when {lost} > 0 then ({s} + 1) / 2 else ({s} - 1) / 2 end else round_even({s} / 2, 0) end / 10::double)[1]"
+
+
 def _mean(who: str) -> str:
-    return f"coalesce(round(sum(gap) filter (where {who} and gap <= 21600000)::double / (count(*) filter (where {who} and gap <= 21600000) * 1000), 1), 0.0)"
+    return f"coalesce({_round1(f'sum(gap) filter (where {who} and gap <= 21600000)::double / (count(*) filter (where {who} and gap <= 21600000) * 1000)')}, 0.0)"
 
 
 def _dense(bucket: str, size: int, name: str, more: str = "") -> str:
     return f"with {_EV}, chats as (select distinct chat_id from ev), scaffold as (select chat_id, b::int as {name} from chats, range({size}) r(b)), c as (select chat_id, {bucket} as {name}, {_BY} from ev group by 1, 2) select chat_id, {name}, coalesce(self, 0) as self, coalesce(other, 0) as other{more} from scaffold left join c using (chat_id, {name})"
 
 
-_LENGTHS = f"with {_CV}, chats as (select distinct chat_id from cv), people as (select chat_id, person from chats, (values ('self'), ('other')) p(person)), n as (select chat_id, {_PERSON}, length(text) as n from cv) select chat_id, person, coalesce(round(avg(n), 1), 0.0) as avg, coalesce(max(n), 0)::int as max, coalesce(min(n), 0)::int as min, coalesce(quantile_disc(n, 0.5 order by n desc), 0)::int as median, count(n)::bigint as total from people left join n using (chat_id, person) group by 1, 2"
+_LENGTHS = f"with {_CV}, chats as (select distinct chat_id from cv), people as (select chat_id, person from chats, (values ('self'), ('other')) p(person)), n as (select chat_id, {_PERSON}, length(text) as n from cv) select chat_id, person, coalesce({_round1('avg(n)')}, 0.0) as avg, coalesce(max(n), 0)::int as max, coalesce(min(n), 0)::int as min, coalesce(quantile_disc(n, 0.5 order by n desc), 0)::int as median, count(n)::bigint as total from people left join n using (chat_id, person) group by 1, 2"
 _WORDS = rf"with {_CV}, t as (select chat_id, {_PERSON}, seq, unnest(regexp_extract_all(text, '[a-zA-Z0-9]+')) as w, generate_subscripts(regexp_extract_all(text, '[a-zA-Z0-9]+'), 1) as pos from cv where length(text) >= 2), k as (select chat_id, person, case when regexp_full_match(w, '[Ee]m{{2,}}') then 'emmm' else w end as word, seq, pos from t where length(w) >= 2 and lower(w) not in {STOP} and not regexp_full_match(w, '\d+') and not regexp_full_match(w, '[a-zA-Z0-9_]{{16,}}') and not regexp_full_match(w, '(\d+[a-zA-Z]+|[a-zA-Z]+\d+)[a-zA-Z0-9]*')), g as (select chat_id, person, word, count(*)::bigint as count, min({{'seq': seq, 'pos': pos}}) as f from k group by 1, 2, 3), r as (select chat_id, person, word, count, row_number() over (partition by chat_id, person order by count desc, f)::int as rank from g) select chat_id, person, word, count, rank"
 _FACES = f"with {_EV}, g as (select chat_id, {_PERSON}, k::varchar as name, count(*)::bigint as count, min({{'t': ts_ms, 's': seq}}) as f from ev where k is not null group by 1, 2, 3) select chat_id, person, name, count, row_number() over (partition by chat_id, person order by count desc, f)::int as rank from g"
 
@@ -124,7 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "srt6_top10_faces": over(ev, lambda m: report.top(content.face_ranking(m), report.TOP_FACES_CHART)),
         "srt7_top5_faces": over(ev, lambda m: report.top(content.face_ranking(m), report.TOP_FACES)),
         "srt8_top10_words": over(cv, lambda m: report.top(content.word_ranking(m, 80, stop=STOP), report.TOP_WORDS)),
-        "srt10_fun_facts": of_answers("profile", insights.fun_facts),
+        "srt10_fun_facts": of_answers("profile", lambda r: insights.fun_facts(r).withColumn("fun_facts", F.to_json("fun_facts"))),
         "udf3_emotion": asked("emotion"),
         "udf4_topics": asked("topics"),
         "udf5_relationship": asked("relationship"),
@@ -137,10 +144,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _answers() -> dict[str, str]:
+    """SQL of what the offline provider answers, as n, the length of a prompt, determines it."""
+    mood = "(['joy', 'calm', 'worry', 'anger'])"
+    by_month = f"m as (select chat_id, '1970-01' as period, 14 + length(string_agg('[' || time_str || '] ' || case when is_self then 'user' else 'peer' end || ': ' || text, chr(10) order by seq)) as n from cv group by 1)"
+    said = lambda n, more="": f"select chat_id, {_PERSON}, 17 + length(string_agg('[' || time_str || '] ' || text, chr(10) order by seq)) as n from (select *, row_number() over (partition by chat_id, is_self order by seq desc) as k from cv) where k <= {n}{more} group by 1, 2"
+    people = f"h as ({said(insights.HABIT_MESSAGES)}), p as ({said(insights.PROFILE_MESSAGES, chr(32) + 'and text <> ' + chr(39) * 2)}), t as (select chat_id, {_PERSON}, case when is_self then 'user' else 'peer' end as name, count(*)::bigint as total_messages from cv group by 1, 2, 3)"
+    first, second = f"{mood}[n % 4 + 1]", f"{mood}[n // 4 % 4 + 1]"
+    emotion = f"""'{{"self_emotion":"' || {first} || '","self_intensity":' || (n % 10 + 1) || ',"self_keywords":["a"],"other_emotion":"' || {second} || '","other_intensity":' || (n // 16 % 10 + 1) || ',"other_keywords":["b"],"overall_tone":"neutral"}}'"""
+    topics = """'{"topics":[{"name":"topic' || (n % 3) || '","weight":0.6,"keywords":["a"]},{"name":"other","weight":0.4,"keywords":[]}],"summary":"s","topic_shift_detected":' || case when n % 2 = 1 then 'true' else 'false' end || ',"shift_description":""}'"""
+    relationship = """'{"initiator_tendency":"balanced","initiator_ratio_self":0.5,"closeness_score":' || (n % 10 + 1) || ',"relationship_summary":"s"}'"""
+    habits = """'{"personality_tags":["brief"],"common_phrases":[],"sentence_length":"short"}'"""
+    profile = """'{"name":"' || name || '","overall_impression":"i","fun_facts":["1","2","3","4"],"growth_observation":{"has_changed":false},"scoring":{"humour":"' || (n % 10) || '"}}'"""
+    month = lambda result: f"with {_CV}, {by_month} select chat_id, period, period as month, {result} as result, null::varchar as error from m"
+    person = lambda of, result: f"with {_CV}, {people} select chat_id, person, name, total_messages, {result} as result, null::varchar as error from {of} join t using (chat_id, person)"
+    each = {"emotion": ("m", emotion), "topics": ("m", topics), "relationship": ("m", relationship), "habits": ("h", habits), "profile": ("p", profile)}
+    all_ = " union all ".join(f"select chat_id, '{d}' as dimension, {'period' if of == 'm' else 'person as period'}, {result} as result, null::varchar as error from {of}{'' if of == 'm' else ' join t using (chat_id, person)'}" for d, (of, result) in each.items())
+    return {
+        "agg16_emotions": f"with {_CV}, {by_month}, e as (select chat_id, 'self' as person, {first} as emotion from m union all select chat_id, 'other', {second} from m) select chat_id, person, emotion, count(*)::bigint as months from e group by 1, 2, 3",
+        "agg17_topics": f"with {_CV}, {by_month} select chat_id, 'topic' || (n % 3) as name, 60::int as value, 1::int as rank from m union all select chat_id, 'other', 40::int, 2::int from m",
+        "agg21_entries": f"with {_CV}, {people} select chat_id, count(*)::bigint as entries from h group by 1",
+        "srt10_fun_facts": f"""with {_CV}, {people} select chat_id, person, '["1","2","3"]' as fun_facts from p""",
+        "udf3_emotion": month(emotion),
+        "udf4_topics": month(topics),
+        "udf5_relationship": month(relationship),
+        "udf6_habits": person("h", habits),
+        "udf7_profile": person("p", profile),
+        "udf8_all": f"with {_CV}, {by_month}, {people} {all_}",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     share = "round(100.0 * count(*) / sum(count(*)) over (partition by chat_id), 1)"
     monthly = f"with {_ORD} select chat_id, {_MONTH} as month, count(*)::bigint as count from ord group by 1, 2"
     return {
+        **_answers(),
         "agg1_daily": f"with {_EV} select chat_id, {_DAY} as date, {_BY} from ev group by 1, 2",
         "agg2_hourly": _dense(_HOUR, 24, "hour"),
         "agg3_weekday": _dense(_WEEKDAY, 7, "weekday", ", (['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'])[weekday + 1] as weekday_name"),
@@ -148,7 +186,7 @@ def oracle_sql() -> dict[str, str]:
         "agg5_length": _LENGTHS,
         "agg6_face_topk": f"select * from ({_FACES}) where rank <= 20",
         "agg7_words": f"{_WORDS} from r where rank <= 80",
-        "agg8_overview": f"with {_EV}, {_LAGGED}, a as (select chat_id, count(*)::bigint as total_messages, (count(*) filter (where is_self))::bigint as self_count, (count(*) filter (where not is_self))::bigint as other_count, 0::bigint as self_chars, 0::bigint as other_chars, (count(*) filter (where has_image))::bigint as total_images, count(k)::bigint as total_faces, (count(*) filter (where opens))::bigint as exchange_rounds, count(distinct {_DAY})::bigint as active_days from lagged group by 1) select *, greatest(active_days, 1)::bigint as total_days, round(total_messages / greatest(active_days, 1)::double, 1) as avg_daily from a",
+        "agg8_overview": f"with {_EV}, {_LAGGED}, a as (select chat_id, count(*)::bigint as total_messages, (count(*) filter (where is_self))::bigint as self_count, (count(*) filter (where not is_self))::bigint as other_count, 0::bigint as self_chars, 0::bigint as other_chars, (count(*) filter (where has_image))::bigint as total_images, count(k)::bigint as total_faces, (count(*) filter (where opens))::bigint as exchange_rounds, count(distinct {_DAY})::bigint as active_days from lagged group by 1) select *, greatest(active_days, 1)::bigint as total_days, {_round1('total_messages / greatest(active_days, 1)::double')} as avg_daily from a",
         "agg9_response": f"with {_EV}, {_LAGGED} select chat_id, {_mean('is_self')} as self_avg_seconds, {_mean('not is_self')} as other_avg_seconds from lagged group by 1",
         "agg10_rounds": f"with {_EV}, {_LAGGED} select chat_id, (count(*) filter (where opens))::bigint as rounds from lagged group by 1",
         "agg11_month": monthly,

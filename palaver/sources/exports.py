@@ -12,20 +12,21 @@ from palaver.schema import EXPORT
 
 #: The name of a peer that the export does not name.
 PEER = "peer"
-MAX_BYTES = 50 * 2**20
 
 
 @dataclass
 class Exports:
+    raw: DataFrame
     chats: DataFrame
     messages: DataFrame
     rejects: DataFrame
+    skip_marked: bool = False
 
 
-def ingest(spark: SparkSession, path: str, strict: bool = False, max_bytes: int | None = MAX_BYTES, skip_marked: bool = False) -> Exports:
+def ingest(spark: SparkSession, path: str, strict: bool = False, max_bytes: int | None = None, skip_marked: bool = False) -> Exports:
     """Every .json export of a folder.
 
-    A file that is no JSON, lacks chatInfo or messages, or is larger than max_bytes is in rejects;
+    A file that is no JSON, lacks chatInfo or messages, or is larger than max_bytes (no limit, unless given) is in rejects;
     with strict, reading messages raises for it instead. A JSON null counts as missing. skip_marked
     leaves recalled and system messages out.
     """
@@ -37,8 +38,7 @@ def ingest(spark: SparkSession, path: str, strict: bool = False, max_bytes: int
     raw = raw.withColumn("reason", reason)
     rejects = raw.where("reason is not null").select("chat_id", "bytes", "reason")
     good = raw.withColumn("ok", F.when(F.col("reason").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.col("chat_id"), F.lit(": "), F.col("reason"))) if strict else F.lit(False))).where("ok")
-    messages = _messages(good, skip_marked)
-    return Exports(_chats(good), messages, rejects)
+    return Exports(raw, _chats(good), _messages(good, skip_marked), rejects, skip_marked)
 
 
 def _elements(kind: str) -> Column:
@@ -93,7 +93,13 @@ def _chats(good: DataFrame) -> DataFrame:
 
 
 def land(exports: Exports, path: str) -> None:
-    """Parquet tables of an ingest, so that nothing reads the JSON again."""
-    exports.chats.write.mode("overwrite").parquet(f"{path}/chats")
-    exports.messages.write.mode("overwrite").parquet(f"{path}/messages")
-    exports.rejects.write.mode("overwrite").parquet(f"{path}/rejects")
+    """Parquet tables of an ingest, so that nothing reads the JSON again.
+
+    The JSON is parsed once, into the table exports; the others are written from that.
+    """
+    exports.raw.write.mode("overwrite").parquet(f"{path}/exports")
+    staged = exports.raw.sparkSession.read.schema(exports.raw.schema).parquet(f"{path}/exports")
+    good = staged.where("reason is null")
+    _chats(good).write.mode("overwrite").parquet(f"{path}/chats")
+    _messages(good, exports.skip_marked).write.mode("overwrite").parquet(f"{path}/messages")
+    staged.where("reason is not null").select("chat_id", "bytes", "reason").write.mode("overwrite").parquet(f"{path}/rejects")

@@ -2,8 +2,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from palaver.functions import columns as C
 from palaver.operators import activity, content
 from palaver.plans import insights, report
 from palaver.schema import CONTRACTS
@@ -164,13 +166,77 @@ def test_streams(spark, tmp_path):
 
     data = [("c", i, i * 3_600_000, "a" if i % 3 else "b") for i in range(60)]
     df = spark.createDataFrame(data, "chat_id string, seq long, ts_ms long, sender_uid string").withColumn("is_self", F.col("sender_uid") == "a").withColumn("ts", F.timestamp_millis("ts_ms"))
-    df.write.parquet(f"{tmp_path}/in")
-    source = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    for name, stream, mode in (("days", live.daily_counts(source), "complete"), ("rounds", live.exchange_rounds(source), "update")):
-        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
-        q.awaitTermination(120)
-    assert sum(r.self + r.other for r in spark.table("days").collect()) == 60
-    assert spark.table("rounds").agg(F.max("rounds")).first()[0] == rows(activity.exchange_rounds(df), "rounds")[0][0]
+    # A message of a later batch comes before one of an earlier batch.
+    early, late = df.where("seq < 50 and seq <> 48"), df.where("seq >= 50 or seq = 48")
+    for k, part in enumerate((early, late)):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        days = live.daily_counts(source).writeStream.format("memory").queryName(f"days{k}").outputMode("complete").option("checkpointLocation", f"{tmp_path}/days{k}")
+        rounds = live.exchange_rounds(source, "3 hours").writeStream.foreachBatch(lambda batch, i: batch.write.mode("append").parquet(f"{tmp_path}/found")).outputMode("update").option("checkpointLocation", f"{tmp_path}/rounds")
+        for q in (days, rounds):
+            q.trigger(availableNow=True).start().awaitTermination(120)
+    assert sum(r.self + r.other for r in spark.table("days1").collect()) == 60
+    # The last batch's watermark lies 3 hours before the last message or, as no later batch moves it, a little further back.
+    settled = [rows(activity.exchange_rounds(df.where(F.col("ts_ms") <= k * 3_600_000)), "rounds")[0][0] for k in (54, 56)]
+    assert settled[0] <= spark.read.parquet(f"{tmp_path}/found").agg(F.max("rounds")).first()[0] <= settled[1]
+
+
+def test_word_filters_of_the_fixture(spark):
+    """Stop words in lower case, leftovers, signs, identifiers and mixtures fall out; case is kept."""
+    said = "Hello hello TM tmd title Title serviceID SERVICEID a 12 345 x1 1W2g ab_cd " + "q" * 16 + " Emmmmm emm em 因为 合并转发 the the don"
+    df = spark.createDataFrame([("c", 1, 0, True, said, "type_1"), ("c", 2, 0, True, "skipped words", "type_17"), ("c", 3, 0, True, "x", "type_1")], "chat_id string, seq long, ts_ms long, is_self boolean, text string, msg_type string")
+    got = {r["word"]: r["count"] for r in content.word_ranking(df, lexicon={"因为": 1, "合并转发": 1}).collect()}
+    assert got == {"Hello": 1, "hello": 1, "serviceID": 1, "SERVICEID": 1, "ab": 1, "cd": 1, "emmm": 2, "em": 1, "the": 2, "don": 1}
+
+
+def test_one_decimal_is_rounded_as_python_does(spark):
+    rng = random.Random(6)
+    values = [k / d for k in range(1, 2_000) for d in (20, 40, 200, 3)] + [rng.random() * 10**6 for _ in range(5_000)] + [0.0, -0.25, -0.35]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", C.round1(F.col("v")).alias("r")).collect()
+    assert all(r.r == round(r.v, 1) for r in got)
+    assert spark.createDataFrame([(None,)], "v double").select(C.round1(F.col("v"))).first()[0] is None
+
+
+def test_landed_tables_equal_the_exports(spark, chat, tmp_path):
+    x, _ = chat
+    exports.land(x, str(tmp_path))
+    for name in ("chats", "messages", "rejects"):
+        assert rows(spark.read.parquet(f"{tmp_path}/{name}"), "*") == rows(getattr(x, name), "*")
+
+
+def test_newest_share_of_a_month(spark):
+    data = [("c" if i % 2 else None, i, i * 40_000_000) for i in range(120)]
+    df = spark.createDataFrame(data, "chat_id string, seq long, ts_ms long").repartition(3)
+    order = Window.partitionBy("chat_id", C.month(F.col("ts_ms"))).orderBy(F.desc("ts_ms"), F.desc("seq"))
+    want = df.withColumn("p", F.percent_rank().over(order)).where("p <= 0.6").drop("p")
+    assert rows(content.newest_share(df), "*") == rows(want, "*")
+
+
+def test_badges_and_log(spark, tmp_path):
+    from palaver.plans import logs
+
+    got = spark.createDataFrame([("high",), ("medium",), ("low",), ("?",)], "l string").select(C.badge(F.col("l"))).collect()
+    assert [r[0] for r in got] == ["success", "warning", "danger", "secondary"]
+    log = logs.to_file(f"{tmp_path}/logs/a.log")
+    try:
+        assert logs.to_file(f"{tmp_path}/logs/b.log") is log and len(log.handlers) == 2
+        insights.log.warning("written")
+        assert "WARNING palaver.plans.insights | written" in (tmp_path / "logs" / "a.log").read_text()
+    finally:
+        for handler in list(log.handlers):
+            log.removeHandler(handler)
+
+
+def test_skip_marked_and_guards(spark, tmp_path):
+    doc = GOLDEN | {"messages": [message("1", 1, "", "u2", "B", "t", ("text", {"text": "a"})) | {"recalled": True}, message("2", 2, "", "u2", "B", "t")]}
+    (tmp_path / "a.json").write_text(json.dumps(doc))
+    assert exports.ingest(spark, str(tmp_path), skip_marked=True).messages.count() == 1
+    x = exports.ingest(spark, str(tmp_path))
+    assert x.messages.count() == 2
+    with pytest.raises(ValueError, match="key"):
+        insights.analyze("emotion", x.messages, x.chats, insights.HttpProvider("", "", ""))
+    with pytest.raises(ValueError, match="dimension"):
+        insights.analyze("weather", x.messages, x.chats, insights.OfflineProvider())
 
 
 def test_previous_message_takes_one_pass_of_python_free_operators(spark, chat):
