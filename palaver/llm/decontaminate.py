@@ -2,8 +2,8 @@
 
 Numbers, units after numbers and names (capitalised words inside a sentence) become typed
 placeholders. Windows of five template words of the documents are hash-joined with those of the
-benchmark. Where an item has placeholders, each value of a slot must stand for one value in a copy:
-every occurrence is judged among those of its alignment, of its place and of the whole document, and
+benchmark. Where an item has placeholders, each value of a slot must stand for one value in a copy,
+and that for no other of the item: every occurrence is judged among those of its alignment, of its place and of the whole document, and
 windows whose slots contradict the values that most of a group agree on are not counted. So a
 question asked again with other numbers is caught, wherever else the document has its template, and
 chance matches of bare templates are not.
@@ -83,7 +83,8 @@ def _slots(pairs: DataFrame, docs: DataFrame, items: DataFrame, size: int) -> Da
     Every occurrence of a window takes part. Occurrences are judged in groups: those of one
     alignment (place in the text minus place in the item), those that begin within one item's
     length, by two dealings, as words put in or left out shift an alignment, and all of the
-    document. In each group every slot has the value that most of it agrees on. The best group
+    document. In each group every value of the item has the value that most of it agrees on, and the
+    other way round. The best group
     counts, so a consistent copy is found whatever else the document has of the template.
     """
     key = ["doc_id", "text_key", "item_id"]
@@ -103,10 +104,12 @@ def _slots(pairs: DataFrame, docs: DataFrame, items: DataFrame, size: int) -> Da
     rows = rows.select(*key, F.explode(groups).alias("group"), "text_hash", "hash", "at", "item_at", F.filter(both, lambda x: x["i"].rlike("^[\\u0001-\\u0003]")).alias("slots"))
     key = [*key, "group"]
     each = rows.select(*key, "text_hash", "hash", "at", "item_at", F.explode("slots").alias("slot")).select(*key, "text_hash", "hash", "at", "item_at", "slot.i", "slot.d")
-    agreed = each.groupBy(*key, "i", "d").agg(F.count("*").alias("c")).groupBy(*key, "i").agg(F.max_by("d", F.struct("c", "d")).alias("agreed"))
-    agreed = renamed(agreed, "a", (*key, "i"), "agreed")
+    pairs_ = each.groupBy(*key, "i", "d").agg(F.count("*").alias("c"))
+    agreed = renamed(pairs_.groupBy(*key, "i").agg(F.max_by("d", F.struct("c", "d")).alias("agreed")), "a", (*key, "i"), "agreed")
+    back = renamed(pairs_.groupBy(*key, "d").agg(F.max_by("i", F.struct("c", "i")).alias("back")), "b", (*key, "d"), "back")
     place = [*key, "text_hash", "hash", "at", "item_at"]
-    wrong = renamed(each.join(agreed, same("a", (*key, "i"))).where("d <> agreed"), "w", place).distinct()
+    judged = each.join(agreed, same("a", (*key, "i"))).join(back, same("b", (*key, "d")))
+    wrong = renamed(judged.where("d <> agreed or i <> back"), "w", place).distinct()
     out = rows.join(wrong, same("w", place), "left_anti").select(*key, "hash").distinct()
     return out.groupBy(*key).agg(F.count("*").alias("n")).groupBy(*key[:-1]).agg(F.max("n").alias("n_found"))
 

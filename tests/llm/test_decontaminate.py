@@ -73,6 +73,24 @@ def test_a_copy_is_found_among_other_values_of_its_template(spark):
         assert f >= got[d // 10 * 10][1] and (d >= 20 or n == f)
 
 
+def test_two_values_of_an_item_do_not_become_one(spark):
+    item = "first Alice gave 12 apples to Carol and then Alice gave 7 apples to Erin before Carol and Erin left"
+    same = "now: first Bob gave 30 apples to Dora and then Bob gave 9 apples to Fay before Dora and Fay left. end"
+    flat = "now: first Bob gave 30 apples to Bob and then Bob gave 30 apples to Bob before Bob and Bob left. end"
+    got = {d: n for d, _, _, n in run(spark, [(1, same), (2, flat), (3, item)], [(7, item)])}
+    assert got[1] == got[3] > got.get(2, 0)
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    item = "a train with Alice aboard goes 120 km in 2 hours and then Alice walks 120 km more, how far does Alice go in all"
+    docs = [(k, " ".join(item.replace("Alice", f"N{chr(97 + j)}o").replace("120", str(30 + j)) + "." for j in range(k % 5 + 1)) + (" x " + item if k % 2 else "")) for k in range(12)]
+    found = []
+    for n in (1, 5):
+        d = spark.createDataFrame(docs, "doc_id long, text string").repartition(n)
+        found.append({tuple(r) for r in D.leaks(d, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()})
+    assert found[0] == found[1] and len(found[0]) == 12
+
+
 def test_nulls_repeats_and_empty(spark):
     docs = [(1, None), (2, ""), (None, "one two three four five six"), (None, "something else"), (3, "x one two three four five six"), (3, "x one two three four five six")]
     items = [(1, "one two three four five six"), (2, None), (3, ""), (None, "something else")]
