@@ -70,3 +70,44 @@ def test_nulls_repeats_and_missing_labels(spark, labels):
     assert len({r.score for r in got}) == 1
     assert T.score(d.limit(0), T.fit(d.limit(0), l)).count() == 0
     assert T.rejected_removed(d, l).columns == d.columns
+
+
+def test_scores_equal_brute_force(spark, tmp_path):
+    """Every score is the logistic of the bias and the weights of the text's distinct words."""
+    import math
+
+    docs, labels = corpus(300)
+    docs += [(900, None), (901, ""), (902, "vile VILE vile, w1"), (902, "vile VILE vile, w1")]
+    d, l = frames(spark, docs, labels)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    l.write.parquet(f"{tmp_path}/labels.parquet")
+    own = lambda rows: [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    model = T.fit(*frames(spark, own(docs), own(labels)))
+    want = [(i, 1 / (1 + math.exp(-(model["bias"] + sum(model["words"].get(T.word_hash(w), 0.0) for w in set(T._WORD.findall((t or "").lower()))))))) for i, t in docs]
+    got = [(r.doc_id, r.score) for r in T.op10_toxicity(spark, str(tmp_path)).collect()]
+    for (i, a), (j, b) in zip(sorted(got), sorted(want), strict=True):
+        assert i == j and abs(a - b) < 1e-6
+
+
+def test_fit_is_at_the_penalised_optimum():
+    """No small move of the weights lowers what is minimised."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.random() < 0.3), sorted(rng.choice(6, 3, replace=False).tolist()), None, 1) for _ in range(200)]
+    rows = [(y, own, [5 if i == 4 else 4 if i == 5 else i for i in own] if {4, 5} & set(own) else None, c) for y, own, _, c in rows]
+    w, b = T._descend(rows, 6, 2.0)
+
+    def loss(w, b):
+        fit = sum(math.log1p(math.exp(-(2 * y - 1) * (b + w[own].sum()))) for y, own, _, _ in rows) / len(rows)
+        pairs = [(own, other) for _, own, other, _ in rows if other is not None]
+        return fit + 0.5 * T.RIDGE * (w**2).sum() + 2.0 * sum((w[a].sum() - w[o].sum()) ** 2 for a, o in pairs) / len(pairs)
+
+    import math
+
+    best = loss(w, b)
+    for k in range(6):
+        for step in (-0.02, 0.02):
+            moved = w.copy()
+            moved[k] += step
+            assert loss(moved, b) > best - 1e-5
