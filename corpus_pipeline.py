@@ -46,7 +46,8 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: SQL cannot fit the classifier or merge byte pairs; tests hold the stages against brute force.
+#: SQL cannot fit the classifier or merge byte pairs; tests/llm/test_pipeline.py holds every stage
+#: against plain Python.
 ORACLE_SQL = None
 
 
