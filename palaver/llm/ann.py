@@ -2,11 +2,13 @@
 
 Equal vectors are one node. A further component makes all nodes equally long, so that near nodes of
 one node are near each other. A first graph comes from small blocks. Then in each round every node
-gathers its neighbours and some of those that have it as a neighbour; all of a gathering are
-compared, and each keeps the best that it meets: neighbours of neighbours become neighbours.
+gathers its neighbours and some of those that have it as a neighbour; of a gathering, those that came
+anew with the round before are compared with all, and each keeps the best that it meets: neighbours
+of neighbours become neighbours. A node with nothing new gathers no more.
 
 Queries walk the graph together. A round expands the best nodes of each query that are not expanded
-yet, and a query ends when its best nodes all are. Graph and walk compare the vectors themselves, in
+yet, and a query ends when its best nodes all are. Only nodes that a query has not met go on to have
+their vectors compared. Graph and walk compare the vectors themselves, in
 double precision and with the further component apart, so neither near copies nor a few long vectors
 blur the others. All nodes of a query that summing in another order could bring into its answer are
 ranked again.
@@ -14,7 +16,6 @@ ranked again.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palaver.llm.common import dropped, scratch_root, small_batches, stored, table
+from palaver.llm.common import dropped, kept, scratch, small_batches, stored, table
 
 #: Neighbours of a node, and how many of those that it is a neighbour of join them.
 DEGREE, REVERSE = 32, 32
@@ -35,6 +36,8 @@ BLOCK, DEALINGS = 512, 3
 OFFERED = 3
 #: Best nodes that a query remembers, and nodes that it expands in a round, at most.
 BEAM, EXPANDED = 250, 64
+#: Bytes of the queries' vectors up to which they are broadcast; more are shuffled.
+BROADCAST_BYTES = 2**25
 NEAREST = 20
 
 
@@ -58,9 +61,9 @@ def _coded(dim: int, longest: float, bits: int, kind: str, as_query: bool) -> Ca
 
 
 def _compared(offered: int, longest: float, kind: str) -> Callable:
-    """Of each gathering (array of w, code, further, least, known), the pairs that raise a member's least score.
+    """Of each gathering (array of w, new, code, further, least), the pairs that raise a member's least score.
 
-    Pairs of a member and one of its known neighbours are left out.
+    Pairs without a new member are left out: they met before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,11 +73,8 @@ def _compared(offered: int, longest: float, kind: str) -> Callable:
             # Alike sizes together, so that little is padded; a wide gathering goes with few others.
             order, begin, starts = np.argsort(sizes), 0, np.cumsum([0, *sizes])
             flat = lists.flatten()
-            w, further, least = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("w", "further", "least"))
+            w, new, further, least = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("w", "new", "further", "least"))
             codes = flat.field("code").to_pylist()
-            had = flat.field("known")
-            n_had, had = had.value_lengths().to_numpy(zero_copy_only=False), had.flatten().to_numpy(zero_copy_only=False)
-            had_from = np.cumsum([0, *n_had])
             found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
             while begin < len(order):
                 width = int(sizes[order[begin]])
@@ -93,16 +93,10 @@ def _compared(offered: int, longest: float, kind: str) -> Callable:
                 x[group, place, :-1] = vectors / longest
                 x[group, place, -1] = further[at]
                 ids, floor = np.full(x.shape[:2], -1, np.int64), np.full(x.shape[:2], np.inf)
-                real = np.zeros(x.shape[:2], bool)
-                ids[group, place], floor[group, place], real[group, place] = w[at], least[at], True
+                real, fresh = np.zeros(x.shape[:2], bool), np.zeros(x.shape[:2], bool)
+                ids[group, place], floor[group, place], real[group, place], fresh[group, place] = w[at], least[at], True, new[at]
                 scores = x @ x.transpose(0, 2, 1)
-                out = (ids[:, :, None] == ids[:, None, :]) | ~real[:, None, :]
-                for r in range(int(n_had[at].max(initial=0))):
-                    has = np.flatnonzero(n_had[at] > r)
-                    known = np.full(x.shape[:2], -1, np.int64)
-                    known[group[has], place[has]] = had[had_from[at[has]] + r]
-                    out |= (known[:, :, None] == ids[:, None, :])
-                scores[out] = -np.inf
+                scores[(ids[:, :, None] == ids[:, None, :]) | ~real[:, None, :] | ~(fresh[:, :, None] | fresh[:, None, :])] = -np.inf
                 k = min(offered, width - 1)
                 best = np.argpartition(-scores, k - 1, axis=2)[:, :, :k]
                 s = np.take_along_axis(scores, best, axis=2)
@@ -114,21 +108,16 @@ def _compared(offered: int, longest: float, kind: str) -> Callable:
     return run
 
 
-def _expanded(kind: str) -> Callable:
-    """Scores of the neighbours of expanded nodes that may be among a query's best."""
+def _scored(kind: str) -> Callable:
+    """Scores of pairs of a query and a node that may be among the query's best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("members")
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            flat = lists.flatten()
-            if not len(flat):
-                continue
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            of = lambda c: np.frombuffer(b"".join(c.to_pylist()), kind).reshape(len(c), -1).astype(np.float64)
-            s = np.einsum("ij,ij->i", of(flat.field("code")), of(batch.column("q_code"))[row])
-            keep = s >= batch.column("least").to_numpy(zero_copy_only=False)[row]
-            yield pa.RecordBatch.from_arrays([batch.column("q").take(pa.array(row[keep])), flat.field("w").filter(pa.array(keep)), pa.array(s[keep])], names=["q", "w", "s"])
+            if batch.num_rows:
+                of = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(batch.num_rows, -1).astype(np.float64)  # noqa: B023, E731
+                s = np.einsum("ij,ij->i", of("code"), of("q_code"))
+                keep = pa.array(s >= batch.column("least").to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([batch.column("q").filter(keep), batch.column("w").filter(keep), pa.array(s).filter(keep)], names=["q", "w", "s"])
 
     return run
 
@@ -159,14 +148,14 @@ def _best(edges: DataFrame, degree: int) -> DataFrame:
 
 
 def _gatherings(edges: DataFrame, reverse: int, seed: int) -> DataFrame:
-    """at, w: each node's neighbours, and ``reverse`` of those that it is a neighbour of.
+    """at, w, new: each node's neighbours, and ``reverse`` of those that it is a neighbour of.
 
     Which of these, where there are more, a hash decides anew in each round. All others still have
     the node among their own neighbours.
     """
-    back = edges.select(F.col("w").alias("at"), F.col("node").alias("w"))
+    back = edges.select(F.col("w").alias("at"), F.col("node").alias("w"), "fresh")
     some = back.withColumn("r", F.row_number().over(W.partitionBy("at").orderBy(F.xxhash64("at", "w", F.lit(seed)), "w"))).where(F.col("r") <= reverse).drop("r")
-    return edges.select(F.col("node").alias("at"), "w").unionByName(some).distinct()
+    return edges.select(F.col("node").alias("at"), "w", "fresh").unionByName(some).groupBy("at", "w").agg(F.max("fresh").alias("new"))
 
 
 def graph(nodes: DataFrame, longest: float, kind: str, degree: int = DEGREE, reverse: int = REVERSE, changed: float = CHANGED, block: int = BLOCK) -> DataFrame:
@@ -178,7 +167,7 @@ def graph(nodes: DataFrame, longest: float, kind: str, degree: int = DEGREE, rev
     spark = nodes.sparkSession
     pair = "node long, w long, s double"
     met_in = lambda gathered, offered: gathered.mapInArrow(_compared(offered, longest, kind), pair).withColumn("fresh", F.lit(True))
-    member = F.struct(F.col("node").alias("w"), "code", "further", F.lit(-2.0).alias("least"), F.array().cast("array<bigint>").alias("known"))
+    member = F.struct(F.col("node").alias("w"), F.lit(True).alias("new"), "code", "further", F.lit(-2.0).alias("least"))
     n = nodes.count()
     blocks = max(1, -(-n // block))
     random = nodes.select(F.lit(-1).alias("deal"), F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block"), F.lit(0).alias("part"), member.alias("member"))
@@ -190,29 +179,23 @@ def graph(nodes: DataFrame, longest: float, kind: str, degree: int = DEGREE, rev
     k = 0
     # An edge is only given up for a better one, so the rounds come to an end.
     while n > block:
-        own = edges.groupBy("node").agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(-2.0).alias("least"), F.collect_list("w").alias("known"))
-        known = nodes.join(own, "node", "left").select(F.col("node").alias("w"), "code", "further", F.coalesce("least", F.lit(-2.0)).alias("least"), F.coalesce("known", F.array().cast("array<bigint>")).alias("known"))
-        met = _gatherings(edges, reverse, k).join(known, "w").groupBy("at").agg(F.collect_list(F.struct("w", "code", "further", "least", "known")).alias("members")).select("members")
+        own = edges.groupBy("node").agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(-2.0).alias("least"))
+        known = nodes.join(own, "node", "left").select(F.col("node").alias("w"), "code", "further", F.coalesce("least", F.lit(-2.0)).alias("least"))
+        # Places with something new, before any vector is joined with them.
+        places = _gatherings(edges, reverse, k).groupBy("at").agg(F.collect_list(F.struct("w", "new")).alias("pairs")).where(F.exists("pairs", lambda x: x["new"]))
+        met = places.select("at", F.inline("pairs")).join(known, "w").groupBy("at").agg(F.collect_list(F.struct("w", "new", "code", "further", "least")).alias("members")).select("members")
         after = stored(_best(edges.withColumn("fresh", F.lit(False)).unionByName(met_in(met, OFFERED)), degree), "graph")
         dropped(edges)
         edges, k = after, k + 1
-        spark._jvm.System.gc()  # lets Spark delete the shuffle files of rounds gone by
         fresh, all_ = edges.agg(F.count_if("fresh"), F.count("*")).first()
         if fresh <= changed * all_:
             break
     return edges
 
 
-def _adjacent(edges: DataFrame, nodes: DataFrame, reverse: int) -> tuple[DataFrame, str]:
-    """node, members, written in buckets by node: rounds of a search read it without a shuffle."""
-    spark = edges.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = _gatherings(edges, reverse, 0).join(nodes.select(F.col("node").alias("w"), "code"), "w")
-    name = f"palaver_graph_{uuid.uuid4().hex}"
-    path = f"{scratch_root(spark)}/palaver/{spark.sparkContext.applicationId}/{name}"
-    rows = both.groupBy(F.col("at").alias("node")).agg(F.collect_list(F.struct("w", "code")).alias("members"))
-    rows.repartition(n, "node").write.bucketBy(n, "node").sortBy("node").option("path", path).saveAsTable(name)
-    return spark.table(name), name
+def _adjacent(edges: DataFrame, reverse: int) -> DataFrame:
+    """node, near: the ids of its neighbours and of some that it is a neighbour of."""
+    return _gatherings(edges, reverse, 0).groupBy(F.col("at").alias("node")).agg(F.collect_list("w").alias("near"))
 
 
 def _found(s: Column, w: Column, done: Column) -> Column:
@@ -220,23 +203,27 @@ def _found(s: Column, w: Column, done: Column) -> Column:
     return F.struct(s.alias("s"), F.negative(w).alias("order"), w.alias("w"), done.alias("done"))
 
 
-def walk(queries: DataFrame, adjacent: DataFrame, kind: str, beam: int = BEAM, expanded: int = EXPANDED) -> DataFrame:
+def walk(queries: DataFrame, adjacent: DataFrame, nodes: DataFrame, kind: str, beam: int = BEAM, expanded: int = EXPANDED) -> DataFrame:
     """q, found (best first: s, order, w, done) of queries (q, q_code), each from its own node on."""
     none = F.lit(float("-inf"))
+    codes = nodes.select(F.col("node").alias("w"), "code")
+    few = queries.agg(F.sum(8 + F.length("q_code"))).first()[0] or 0
+    asked = F.broadcast(queries) if few <= BROADCAST_BYTES else queries
     now = stored(queries.select("q", F.array(_found(none, F.col("q"), F.lit(False))).alias("found")), "beam")
     while True:
         open_ = F.filter("found", lambda x: ~x["done"])
         todo = F.slice(open_, F.lit(1), F.greatest(F.lit(1), F.least(F.lit(expanded), (F.size("found") / 4).cast("int"))))
-        state = now.select("q", "found", todo.alias("todo"))
+        state = now.select("q", "found", F.transform(todo, lambda x: x["w"]).alias("todo"))
         if state.where(F.size("todo") > 0).isEmpty():
             return now
+        front = state.select("q", F.explode("todo").alias("node")).join(adjacent, "node").groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
         least = F.when(F.size("found") >= beam, F.element_at("found", -1)["s"]).otherwise(none)
-        front = state.where(F.size("todo") > 0).select("q", least.alias("least"), F.explode("todo.w").alias("node")).join(queries, "q")
-        hits = front.join(adjacent, "node").select("q", "q_code", "least", "members").mapInArrow(_expanded(kind), "q long, w long, s double")
-        old = state.select("q", F.explode(F.transform("found", lambda x: _found(x["s"], x["w"], x["done"] | F.array_contains("todo.w", x["w"])))).alias("x")).select("q", "x.w", "x.s", "x.done")
-        merged = old.unionByName(hits.withColumn("done", F.lit(False))).repartition("q").groupBy("q", "w").agg(F.max("s").alias("s"), F.max("done").alias("done"))
-        best = merged.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(_found(F.col("s"), F.col("w"), F.col("done"))), False), 1, beam).alias("found"))
-        after = stored(best, "beam")
+        new = state.join(front, "q").select("q", least.alias("least"), F.explode(F.array_except("near", F.transform("found", lambda x: x["w"]))).alias("w"))
+        hits = new.join(codes, "w").join(asked, "q").select("q", "w", "least", "code", "q_code").mapInArrow(_scored(kind), "q long, w long, s double")
+        met = hits.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(_found(F.col("s"), F.col("w"), F.lit(False))), False), 1, beam).alias("met"))
+        old = F.transform("found", lambda x: _found(x["s"], x["w"], x["done"] | F.array_contains("todo", x["w"])))
+        both = F.concat(old, F.coalesce("met", F.array().cast("array<struct<s:double,order:bigint,w:bigint,done:boolean>>")))
+        after = stored(state.join(met, "q", "left").select("q", F.slice(F.sort_array(both, False), 1, beam).alias("found")), "beam")
         dropped(now)
         now = after
 
@@ -249,8 +236,13 @@ def neighbours(embeddings: DataFrame, queries: Column, k: int = NEAREST, degree:
     smaller vec_id; with fewer than k candidates all are returned, with none no row. Other columns
     are not read.
     """
+    small_batches(embeddings.sparkSession)
+    with scratch(embeddings.sparkSession):
+        return _searched(embeddings, queries, k, degree, reverse, changed, beam)
+
+
+def _searched(embeddings: DataFrame, queries: Column, k: int, degree: int, reverse: int, changed: float, beam: int) -> DataFrame:
     spark = embeddings.sparkSession
-    small_batches(spark)
     rows = stored(usable(embeddings), "vectors")
     classes = stored(rows.groupBy("vector").agg(F.min("vec_id").alias("node")), "nodes")
     first = classes.select(F.size("vector").alias("dim")).first()
@@ -264,13 +256,14 @@ def neighbours(embeddings: DataFrame, queries: Column, k: int = NEAREST, degree:
     coded = lambda df, as_query: df.select("node", "vector").mapInArrow(_coded(first.dim, longest, bits, kind, as_query), "node long, code binary" + ("" if as_query else ", further double, sides array<bigint>"))
     nodes = stored(coded(classes, False), "codes")
     edges = graph(nodes, longest, kind, degree, reverse, changed)
-    adjacent, name = _adjacent(edges, nodes, reverse)
+    adjacent = stored(_adjacent(edges, reverse), "adjacent")
+    dropped(edges)
 
     members = rows.join(classes, "vector").select("node", "vec_id")
-    chosen = stored(members.where(queries).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")), "queries")
+    chosen = kept(stored(members.where(queries).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")), "queries"))
     asked = classes.join(chosen.select(F.col("q").alias("node")).distinct(), "node", "left_semi")
     asked = stored(coded(asked, True).select(F.col("node").alias("q"), F.col("code").alias("q_code")), "asked")
-    found = walk(asked, adjacent, kind, beam)
+    found = walk(asked, adjacent, nodes, kind, beam)
 
     # The own node first, whatever its score, as its copies may be nearest. Of the others, all that
     # the order of summing could bring among the best k + 1, ties among them.
@@ -284,12 +277,10 @@ def neighbours(embeddings: DataFrame, queries: Column, k: int = NEAREST, degree:
     # Of equal vectors the k + 1 smallest ids can be in an answer.
     copies = members.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= k + 1).select(F.col("node").alias("w"), "vec_id")
     near = scored.join(copies, "w").withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1).select("q", "vec_id", "score")
-    near = stored(near, "near")
+    near = kept(stored(near, "near"))
     out = chosen.join(near, "q").where("vec_id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     out = out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    dropped(found)
-    spark.sql(f"drop table {name}")
     return out
 
 

@@ -88,9 +88,9 @@ def test_repeated_offers_do_not_displace_edges(spark):
     assert sorted(r.w for r in best) == list(range(2, 34))
 
 
-def test_known_neighbours_are_not_offered(spark):
+def test_pairs_that_met_before_are_not_compared(spark):
     codes = [np.array([1.0, 0.1 * i + 0.1], "<f8").tobytes() for i in range(5)]
-    members = [(i, c, 0.0, -2.0, [4, 3] if i == 2 else []) for i, c in enumerate(codes)]
-    df = spark.createDataFrame([(members,)], "members array<struct<w:bigint,code:binary,further:double,least:double,known:array<bigint>>>")
+    members = [(i, i == 2, c, 0.0, -2.0) for i, c in enumerate(codes)]
+    df = spark.createDataFrame([(members,)], "members array<struct<w:bigint,new:boolean,code:binary,further:double,least:double>>")
     got = df.mapInArrow(_compared(1, 2.0, "<f8"), "node long, w long, s double").collect()
-    assert {r.node: r.w for r in got} == {0: 4, 1: 4, 2: 1, 3: 4, 4: 3}
+    assert {r.node: r.w for r in got} == {0: 2, 1: 2, 2: 4, 3: 2, 4: 2}
