@@ -92,7 +92,8 @@ def tokens(text: Column, lexicon: dict[str, int] | None = None, latin: str = "as
     """Words in order: runs of letters and digits, and Han words.
 
     With a lexicon (word to frequency) Han runs are cut along the likeliest path, in a pandas UDF;
-    without one they give their bigrams, in built-in functions.
+    without one they give their bigrams, in built-in functions. A lexicon is a user's own file or
+    what learned_lexicon() finds; none is shipped.
     """
     runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{HAN}+|{LATIN[latin]}"), F.lit(0))
     if lexicon is None:
@@ -108,6 +109,28 @@ def tokens(text: Column, lexicon: dict[str, int] | None = None, latin: str = "as
     return cut(runs)
 
 
+def learned_lexicon(messages: DataFrame, least: int = 5, cohesion: float = 10.0, neighbours: int = 3, longest: int = 4, most: int = 200_000) -> dict[str, int]:
+    """Han words that the messages themselves show, with their counts, for tokens().
+
+    A word is a run of 2 to ``longest`` characters that occurs ``least`` times, stands between
+    ``neighbours`` different characters on either side, and wherever it is cut in two is
+    ``cohesion`` times as frequent as its parts would make by chance. The ``most`` frequent come to
+    the driver. Messages without Han characters give none.
+    """
+    runs = messages.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"{HAN}+"), F.lit(0))).alias("run"))
+    gram = lambda i, n: F.struct(F.substring("run", i, F.lit(n)).alias("w"), F.when(i > 1, F.substring("run", i - 1, F.lit(1))).otherwise("").alias("before"), F.substring("run", i + n, F.lit(1)).alias("after"))
+    of = lambda n: F.when(F.length("run") >= n, F.transform(F.sequence(F.lit(1), F.length("run") - (n - 1)), lambda i: gram(i, n)))
+    grams = runs.select(F.inline(F.flatten(F.array_compact(F.array(*[of(n) for n in range(1, longest + 1)])))))
+    counts = grams.groupBy("w").agg(F.count("*").alias("c"), F.least(F.approx_count_distinct("before"), F.approx_count_distinct("after")).alias("sides")).where(F.col("c") >= least)
+    total = counts.where(F.length("w") == 1).agg(F.sum("c")).first()[0] or 0
+    words = counts.where((F.length("w") > 1) & (F.col("sides") >= neighbours))
+    cut = words.select("w", "c", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("i")).select("w", "c", F.substring("w", F.lit(1), F.col("i")).alias("a"), F.expr("substring(w, i + 1)").alias("b"))
+    part = lambda x: counts.select(F.col("w").alias(x), F.col("c").alias(f"c_{x}"))
+    chance = cut.join(part("a"), "a").join(part("b"), "b").groupBy("w", "c").agg(F.max(F.col("c_a") * F.col("c_b")).alias("parts"))
+    found = chance.where(F.col("c") * float(total) >= cohesion * F.col("parts"))
+    return {r.w: r.c for r in found.select("w", "c").orderBy(F.desc("c"), "w").limit(most).collect()}
+
+
 def _says_something(w: Column, stop: Iterable[str]) -> Column:
     """Long enough, no stop word, not all digits or signs, not an identifier or a mix with digits."""
     noise = w.rlike(f"(?U){SIGNS}") | w.rlike(IDENTIFIER) | w.rlike(f"(?U){MIXED}")

@@ -96,6 +96,20 @@ def test_lexicon_cuts_along_the_likeliest_path(spark):
     assert df.select(content.tokens(F.col("t"))).first()[0][:2] == ["研究", "究生"]
 
 
+def test_learned_lexicon_finds_the_words_of_the_texts(spark):
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + 37 * k) for k in range(400)]
+    words = ["".join(rng.sample(letters, rng.choice([1, 2, 2, 3]))) for _ in range(80)]
+    said = [[rng.choice(words) for _ in range(rng.randrange(3, 12))] for _ in range(600)]
+    df = spark.createDataFrame([("".join(s) + " ok",) for s in said], "text string")
+    lexicon = content.learned_lexicon(df)
+    known = {w for w in words if len(w) > 1}
+    assert len(known & lexicon.keys()) > 0.95 * len(known) and len(lexicon.keys() - known) < 0.1 * len(known)
+    got = df.select(content.tokens(F.col("text"), lexicon).alias("t")).collect()
+    assert sum(r.t == [*s, "ok"] for r, s in zip(got, said, strict=True)) > 0.9 * len(said)
+    assert content.learned_lexicon(spark.createDataFrame([("plain",), (None,)], "text string")) == {}
+
+
 def test_sums_agree_whatever_the_order(spark):
     rng = random.Random(1)
     data = [(f"c{i % 3}", i, rng.randrange(10**9) * 1000, f"u{rng.randrange(3)}", f"w{rng.randrange(9)} " * rng.randrange(4)) for i in range(500)]
