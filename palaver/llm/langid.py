@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.common import fold, small_batches, stored, table
+from palaver.llm.common import dropped, fold, small_batches, stored, table
 
 #: Rows of each language that the filters learn from, at most; taken by a hash of the id.
 SAMPLE_ROWS = 3_000
@@ -110,6 +110,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, slots: int = SLOTS) -
     place = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1
     words = filled.withColumn("place", place.cast("int")).select("slot", F.floor(F.col("place") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, place % 64)").alias("bit"))
     rows = words.groupBy("slot", "word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    dropped(counts)
     bits = np.zeros((slots, (len(langs) + 63) // 64), np.uint64)
     bits[rows["slot"], rows["word"]] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     fill = np.array([((bits[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))])
