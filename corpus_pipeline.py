@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palaver.llm import bpe, decontaminate, minhash, secrets, toxicity
-from palaver.llm.common import stored, table
+from palaver.llm.common import dropped, kept, scratch, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written to the shared folder and read again by the next."""
+    """All stages over documents; each is written to the shared folder and read again by the next.
+
+    What a stage stored for itself is deleted once its result is written, and that once the next
+    stage's is; so the folder holds two stages' tables at most.
+    """
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, name)
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            after = kept(stored(stage(spark, docs, sf_dir), name))
+        if k:
+            dropped(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
