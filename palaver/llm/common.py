@@ -14,17 +14,20 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 #: Bytes of an Arrow batch, about.
 BATCH_BYTES = 2**25
+#: Bytes of files up to which a table of few files is dealt out anew.
+SMALL_BYTES = 2**30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, by any path that Spark can read.
 
-    Spark cannot split a row group among tasks. A table of fewer files than there are cores may be
-    a single one, so its rows are dealt out; larger tables are read as they lie.
+    Spark cannot split a row group among tasks, and a small table of fewer files than there are
+    cores may be a single one. Its rows are dealt out; other tables are read as they lie.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL_BYTES and len(df.inputFiles()) < cores else df
 
 
 def small_batches(spark: SparkSession) -> None:
