@@ -71,13 +71,16 @@ def _slots(h: np.ndarray, k: int, slots: int) -> np.ndarray:
     return ((h >> np.uint64(32)) & np.uint64(slots - 1)).astype(np.int64)
 
 
-def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct n-grams of each row, with its language."""
-    for pdf in batches:
-        for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-            letters = _framed(text)
-            found = [h[ok] for h, ok in (_hashed(letters, n) for n in SIZES)]
-            yield pd.DataFrame({"gram": np.unique(np.concatenate(found)).view(np.int64)}).assign(lang=lang)[["lang", "gram"]]
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 64):
+            part, found = batch.slice(begin, 64), []
+            for text in part.column("text").to_pylist():
+                letters = _framed(text)
+                found.append(np.unique(np.concatenate([h[ok] for h, ok in (_hashed(letters, n) for n in SIZES)])))
+            rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(rows)), pa.array(np.concatenate(found).view(np.int64))], names=["lang", "gram"])
 
 
 def _placed(slots: int) -> Callable:
@@ -105,7 +108,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, slots: int = SLOTS) -
     rows = F.least("n", F.lit(sample_rows))
     limits = F.broadcast(counts.select("lang", F.floor(1_000_000 * rows / F.col("n")).alias("share"), F.least("n", F.greatest(F.lit(MIN_ROWS), F.floor(MIN_SHARE * rows))).alias("least")))
     sample = known.join(limits.select("lang", "share"), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share")).select("lang", "text")
-    grams = sample.mapInPandas(_grams, "lang string, gram long").groupBy("lang", "gram").count().join(limits.select("lang", "least"), "lang").where(F.col("count") >= F.col("least"))
+    grams = sample.mapInArrow(_grams, "lang string, gram long").groupBy("lang", "gram").count().join(limits.select("lang", "least"), "lang").where(F.col("count") >= F.col("least"))
     filled = grams.select("lang", "gram").mapInPandas(_placed(slots), "lang string, slot long")
     place = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1
     words = filled.withColumn("place", place.cast("int")).select("slot", F.floor(F.col("place") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, place % 64)").alias("bit"))
