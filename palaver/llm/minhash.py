@@ -224,10 +224,12 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = SHARE, margin: flo
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     with scratch(spark):
-        sizes, final = (kept(x) for x in _linked(docs, share, margin, block))
-    real = sizes.where("n > 0 and doc_id is not null")
-    classes = real.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    names = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+        sizes, final = _linked(docs, share, margin, block)
+        classes = sizes.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
+        names = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+        # A written table, so that the join below is of two plain shuffles: Spark can split it where
+        # one class has a large part of all rows.
+        sizes, names = kept(sizes), kept(stored(names, "names"))
     out = sizes.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key")).join(names, "key", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
