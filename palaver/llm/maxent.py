@@ -40,8 +40,8 @@ STEP = 2**15
 WALK_TOKENS = 2**22
 #: Words whose counts are broadcast, at most, at 16 bytes each, and as many for their ways.
 SHARED_WORDS = 200_000
-#: Parts that the weights are averaged in, and partial sums of each.
-BLOCKS, SALTS = 128, 8
+#: Parts that the weights are averaged in, partial sums of each at least, and walks for one more.
+BLOCKS, SALTS, WALKS_A_SALT = 128, 8, 64
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 500_000
 
@@ -226,15 +226,15 @@ class _Walk:
             self.squares[at] = squares
             self.weights[at] = self.weights.take(at, axis=0) - g * (RATE / np.sqrt(squares))[:, None]
 
-    def moved(self, salt: int) -> pa.RecordBatch:
+    def moved(self, walk: int, salts: int) -> pa.RecordBatch:
         if self.held:
             self.steps(self.held)
         moves = np.column_stack([(self.weights - self.model.weights) * self.used[:, None], self.used])
         parts = np.array_split(moves.astype(np.float32), BLOCKS)
-        return pa.RecordBatch.from_arrays([pa.array([salt % SALTS] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["salt", "block", "moved"])
+        return pa.RecordBatch.from_arrays([pa.array([walk % salts] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["salt", "block", "moved"])
 
 
-def _trained(shared) -> Callable:
+def _trained(shared, salts: int) -> Callable:
     """(salt, block, moves times uses, with the uses) of each walk; rows come sorted by walk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,11 +248,11 @@ def _trained(shared) -> Callable:
                     continue
                 if walks[begin] != of:
                     if walk:
-                        yield walk.moved(int(of))
+                        yield walk.moved(int(of), salts)
                     walk, of = _Walk(shared.value), walks[begin]
                 walk.add([hashes_of(t) for t in texts[begin:end]])
         if walk:
-            yield walk.moved(int(of))
+            yield walk.moved(int(of), salts)
 
     return run
 
@@ -294,13 +294,14 @@ def train(docs: DataFrame, rounds: int = ROUNDS, shared_words: int = SHARED_WORD
     order = np.argsort(words)
     model = Model(words[order], shared["c"].to_numpy(np.int64)[order], int(tokens or 0), int(distinct))
     walks = rounds * max(1, -(-model.tokens // (WALK_TOKENS * rounds)))
+    salts = max(SALTS, walks // WALKS_A_SALT)
     place = F.xxhash64("doc_id", "text")
     dealt = texts.select("text", place.alias("place"), F.pmod(place, F.lit(walks)).cast("int").alias("walk"))
     for r in range(rounds if len(words) else 0):
         own = spark.sparkContext.broadcast(model)
         part = dealt.where(F.col("walk") % rounds == r).repartitionById(walks // rounds, F.floor(F.col("walk") / rounds).cast("int")).sortWithinPartitions("walk", "place").select("walk", "text")
         kind = "salt int, block int, moved binary"
-        sums = part.mapInArrow(_trained(own), kind).repartition(BLOCKS * 2, "block", "salt").mapInArrow(_summed, kind).repartition(BLOCKS, "block").mapInArrow(_summed, kind)
+        sums = part.mapInArrow(_trained(own, salts), kind).repartition(BLOCKS * salts // 4, "block", "salt").mapInArrow(_summed, kind).repartition(BLOCKS, "block").mapInArrow(_summed, kind)
         sums = stored(sums, "moves")
         moved = {x.block: np.frombuffer(x.moved, np.float32).reshape(-1, BRANCHES + 1) for x in sums.collect()}
         dropped(sums)
