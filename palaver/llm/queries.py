@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from palaver.llm import ann, bpe, decontaminate, langid, maxent, minhash, secrets, toxicity, urls, warc
+from palaver.llm import ann, bpe, decontaminate, fim, langid, maxent, minhash, secrets, toxicity, urls, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable]:
         "op8_secret_scans": secrets.op8_secret_scans,
         "op9_lm_scoring": maxent.op9_lm_scoring,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_fill_in_middle": fim.op11_fill_in_middle,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filters": urls.SQL,
         "op7_warc": warc.SQL,
+        "op11_fill_in_middle": fim.SQL,
     }
