@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from palaver.llm import ann, bpe, decontaminate, fim, langid, maxent, minhash, secrets, toxicity, urls, warc, whiten
+from palaver.llm import ann, bpe, decontaminate, fim, langid, maxent, minhash, secrets, sitetree, toxicity, urls, warc, whiten
 
 
 def queries() -> dict[str, Callable]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable]:
         "op9_lm_scoring": maxent.op9_lm_scoring,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op12_html_extraction": sitetree.op12_html_extraction,
         "op13_embedding_whitening": whiten.op13_embedding_whitening,
     }
 
