@@ -192,6 +192,36 @@ def dialogs(messages: DataFrame, chats: DataFrame, tz: str = C.TZ) -> DataFrame:
     return _named(messages, chats).withColumn("line", line).withColumn("month", C.month(F.col("ts_ms"), tz)).groupBy("chat_id", "month").agg(F.expr("listagg(line, '\n') within group (order by ts_ms, seq)").alias("dialog"))
 
 
+def dialog_parts(messages: DataFrame, chats: DataFrame, budget: int, tz: str = C.TZ) -> DataFrame:
+    """chat_id, month, part, dialog: dialogs() in parts of at most ``budget`` bytes of UTF-8.
+
+    Parts count from 0; one after the other they give the whole dialog, line feeds included. A line
+    longer than a 16th of the budget in code points is cut into such pieces. A piece belongs to the
+    part in which it begins, and a part begins every three quarters of the budget, so the last piece,
+    of a quarter of it at most, still fits. Where a piece begins is a sum of bytes within its day and
+    of those of the days before, so no task has a month of a chat, and no string is longer than a part.
+    """
+    if budget < 16:
+        raise ValueError("the budget has to be 16 bytes at least")
+    chars = budget // 16
+    line = F.concat(F.lit("["), "time_str", F.lit("] "), F.coalesce("speaker", F.lit("")), F.lit(": "), "text")
+    rows = _named(messages, chats).withColumn("line", line).where("line is not null").withColumn("month", C.month(F.col("ts_ms"), tz)).withColumn("__day", C.day_number(F.col("ts_ms"), tz))
+    rows = rows.withColumn("__key", F.concat(F.when(F.col("chat_id").isNull(), "-").otherwise("+"), F.coalesce("chat_id", F.lit(""))))
+    day = Window.partitionBy("__key", "month", "__day")
+    rows = rows.select("chat_id", "__key", "month", "__day", F.row_number().over(day.orderBy("ts_ms", "seq", "line")).alias("__at"), F.concat("line", F.lit("\n")).alias("line"))
+    days = rows.groupBy("__key", "month", "__day").agg(F.sum(F.octet_length("line")).alias("__bytes"), F.count("*").alias("__lines"))
+    before = Window.partitionBy("__key", "month").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.col("__day") == F.max("__day").over(Window.partitionBy("__key", "month"))
+    days = days.select("__key", "month", "__day", F.coalesce(F.sum("__bytes").over(before), F.lit(0)).alias("__before"), F.when(last, F.col("__lines")).alias("__end"))
+    rows = rows.join(days, ["__key", "month", "__day"]).withColumn("line", F.when(F.col("__at").eqNullSafe(F.col("__end")), F.expr("left(line, length(line) - 1)")).otherwise(F.col("line")))
+    cuts = F.sequence(F.lit(0), F.floor((F.length("line") - 1) / chars).cast("int"))
+    pieces = rows.select(*rows.drop("line").columns, F.posexplode(F.transform(cuts, lambda i: F.substring(F.col("line"), i * chars + 1, F.lit(chars)))).alias("piece", "said"))
+    begin = F.sum(F.octet_length("said")).over(day.orderBy("__at", "piece").rowsBetween(Window.unboundedPreceding, -1))
+    part = F.floor((F.col("__before") + F.coalesce(begin, F.lit(0))) / (budget - 4 * chars)).cast("int")
+    pieces = pieces.withColumn("part", part)
+    return pieces.groupBy("chat_id", "month", "part").agg(F.expr("listagg(said, '') within group (order by __day, __at, piece)").alias("dialog"))
+
+
 def utterances(messages: DataFrame, n: int, keep_empty: bool) -> DataFrame:
     """chat_id, person, utterances: the last n of each person as ``[time] text`` lines.
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import columns as C
 from palaver.operators import activity, content
+from palaver.plans import answers
 from palaver.schema import CONTRACTS, MONTHLY, PERSONAL
 
 log = logging.getLogger(__name__)
@@ -104,25 +105,32 @@ def system_prompt(dimension: str) -> str:
     return f"{dimension}: {TASKS[dimension]} Answer with one JSON object of this form and nothing else: {CONTRACTS[dimension]}"
 
 
-def prompts(dimension: str, messages: DataFrame, chats: DataFrame, tz: str = C.TZ) -> DataFrame:
-    """chat_id, period (month or person), user: one row for each call."""
+def merge_prompt(dimension: str) -> str:
+    return f"{dimension}: You get answers to parts of one month's talk, in order. Join them into one answer for the whole month. The parts were asked this: {TASKS[dimension]} Answer with one JSON object of this form and nothing else: {CONTRACTS[dimension]}"
+
+
+def prompts(dimension: str, messages: DataFrame, chats: DataFrame, tz: str = C.TZ, budget: int | None = None) -> DataFrame:
+    """chat_id, period (month or person), part, user: one row for each call.
+
+    With a budget, a month whose dialog has more bytes of UTF-8 has several parts.
+    """
     if dimension in MONTHLY:
-        rows = content.dialogs(messages, chats, tz)
-        return rows.select("chat_id", F.col("month").alias("period"), F.concat(F.lit("Month "), "month", F.lit("\n"), "dialog").alias("user"))
+        rows = content.dialogs(messages, chats, tz).withColumn("part", F.lit(0)) if budget is None else content.dialog_parts(messages, chats, budget, tz)
+        return rows.select("chat_id", F.col("month").alias("period"), "part", F.concat(F.lit("Month "), "month", F.lit("\n"), "dialog").alias("user"))
     if dimension in PERSONAL:
         n, keep = (HABIT_MESSAGES, True) if dimension == "habits" else (PROFILE_MESSAGES, False)
         rows = content.utterances(messages, n, keep)
         names = chats.select(F.col("chat_id").alias("__chat"), "self_name", "other_name")
         name = F.coalesce(F.when(F.col("person") == "self", F.col("self_name")).otherwise(F.col("other_name")), F.lit(""))
         rows = rows.join(names, F.col("chat_id").eqNullSafe(F.col("__chat")), "left")
-        return rows.select("chat_id", F.col("person").alias("period"), F.concat(F.lit("Messages of "), name, F.lit("\n"), "utterances").alias("user"))
+        return rows.select("chat_id", F.col("person").alias("period"), F.lit(0).alias("part"), F.concat(F.lit("Messages of "), name, F.lit("\n"), "utterances").alias("user"))
     raise ValueError(f"no such dimension: {dimension}")
 
 
 def _calls(provider: Provider, system: str, retries: int, fail_fast: bool, sleep: Callable[[float], None]) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            answers, errors = [], []
+            said, errors = [], []
             for user in pdf.user:
                 answer, error = None, None
                 try:
@@ -131,27 +139,61 @@ def _calls(provider: Provider, system: str, retries: int, fail_fast: bool, sleep
                     if fail_fast:
                         raise
                     error = f"{type(e).__name__}: {e}"
-                answers.append(answer)
+                said.append(answer)
                 errors.append(error)
-            yield pdf[["chat_id", "period"]].assign(answer=answers, error=errors)
+            yield pdf[["chat_id", "period", "part"]].assign(answer=said, error=errors)
 
     return run
 
 
-def analyze(dimension: str, messages: DataFrame, chats: DataFrame, provider: Provider, retries: int = 2, fail_fast: bool = False, tasks: int | None = None, tz: str = C.TZ, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def _answered(asked: DataFrame, system: str, provider: Provider, retries: int, fail_fast: bool, tasks: int | None, sleep: Callable[[float], None], store: str | None, rate: float | None) -> DataFrame:
+    """chat_id, period, part, answer, error of asked: from calls, or from the table of answers after asking what it lacks."""
+    if store is None:
+        if tasks:
+            asked = asked.repartition(tasks)
+        return asked.mapInPandas(_calls(provider, system, retries, fail_fast, sleep), "chat_id string, period string, part int, answer string, error string")
+    asked = asked.withColumn("key", answers.key_of(provider, system, F.col("user")))
+    answers.ask_missing(asked.select("key", "user"), store, lambda user, wait: attempt(provider, system, user, retries, lambda s: sleep(max(s, wait))), lanes=tasks, rate=rate, stop_on_error=fail_fast)
+    return asked.join(answers.known(asked.sparkSession, store), "key").select("chat_id", "period", "part", "answer", "error")
+
+
+def _merged(rows: DataFrame, parts: int, dimension: str, fan_in: int, ask: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """One answer a period of those to its parts, fan_in neighbours at a time, level by level.
+
+    A part without an answer is left out; an error of a part is one of its period, which is not
+    merged. A group with one answer keeps it without another call.
+    """
+    while parts > 1:
+        parts = -(-parts // fan_in)
+        groups = rows.groupBy("chat_id", "period", F.floor(F.col("part") / fan_in).cast("int").alias("part")).agg(
+            F.expr("listagg(answer, '\n') within group (order by part)").alias("user"), F.count("answer").alias("n"), F.min("error").alias("error")
+        )
+        several = (F.col("n") > 1) & F.col("error").isNull()
+        alone = groups.where(~several).select("chat_id", "period", "part", F.when(F.col("error").isNull(), F.col("user")).alias("answer"), "error")
+        head = F.concat(F.lit("Month "), "period", F.lit("\n"))
+        rows = alone.unionByName(ask(groups.where(several).select("chat_id", "period", "part", F.concat(head, "user").alias("user")), merge_prompt(dimension)))
+    return rows
+
+
+def analyze(dimension: str, messages: DataFrame, chats: DataFrame, provider: Provider, retries: int = 2, fail_fast: bool = False, tasks: int | None = None, tz: str = C.TZ, sleep: Callable[[float], None] = time.sleep, budget: int | None = None, fan_in: int = 8, store: str | None = None, rate: float | None = None) -> DataFrame:
     """chat_id, the period, result (a struct) and error.
 
     Monthly dimensions have period and month; personal ones person, name (the chat's, over the
     model's) and total_messages. Calls without an answer give no row. A failed call gives a row with
     its error and no result; with fail_fast it fails the job. An unknown dimension, or a provider that
     says that it is not configured, raises at once.
+
+    With a budget (bytes), longer months are asked in parts, and the parts' answers merged by further
+    calls, fan_in at a time. With store, the folder of a table of answers, calls are made at once, what
+    the table holds is not asked again, and rate bounds the calls a second; see plans/answers.py.
     """
     if not getattr(provider, "is_configured", lambda: True)():
         raise ValueError("the provider has no address or key")
-    asked = prompts(dimension, messages, chats, tz)
-    if tasks:
-        asked = asked.repartition(tasks)
-    rows = asked.mapInPandas(_calls(provider, system_prompt(dimension), retries, fail_fast, sleep), "chat_id string, period string, answer string, error string")
+    asked = prompts(dimension, messages, chats, tz, budget)
+    ask = lambda rows, system: _answered(rows, system, provider, retries, fail_fast, tasks, sleep, store, rate)
+    rows = ask(asked, system_prompt(dimension))
+    if budget is not None and dimension in MONTHLY:
+        rows = _merged(rows, (asked.agg(F.max("part")).first()[0] or 0) + 1, dimension, fan_in, ask)
     rows = rows.where("answer is not null or error is not null")
     rows = rows.withColumn("result", F.from_json("answer", CONTRACTS[dimension])).where("result is not null or error is not null")
     if dimension in MONTHLY:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import columns as C
 from palaver.operators import activity, content
 from palaver.plans import insights, report
+from palaver.sources import folders, split
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,28 @@ def conversation_chats(messages: DataFrame) -> DataFrame:
     return messages.select("chat_id").distinct().select("chat_id", F.lit("user").alias("self_name"), F.lit("peer").alias("other_name"), F.lit(0).alias("duration_days"))
 
 
+def dated_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations, three weeks from turn to turn: several months a chat."""
+    return conversation_messages(spark, sf_dir).withColumn("ts_ms", F.col("seq") * F.lit(21 * C.DAY_MS).cast("long"))
+
+
+def exported_conversations(spark: SparkSession, sf_dir: str) -> str:
+    """conversations written as exports of a million conversations each, a file each; their folder."""
+    rows = _read(spark, sf_dir, "conversations").withColumn("file", F.floor(F.col("conv_id") / FILE_CHATS))
+    data = F.struct(F.lit("text").alias("type"), F.struct("text").alias("data"))
+    said = F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("turn").alias("timestamp"), F.struct(F.col("role").alias("uid")).alias("sender"), F.struct(F.array(data).alias("elements")).alias("content"))
+    first = F.row_number().over(Window.partitionBy("file").orderBy("conv_id", "turn")) == 1
+    lines = rows.select("file", F.lit(1).alias("part"), "conv_id", "turn", F.concat(F.when(first, "").otherwise(","), F.to_json(said)).alias("value"))
+    ends = [(0, '{"chatInfo": {"name": "conversations", "selfUid": "user", "selfName": "user"}, "messages": ['), (2, "]}")]
+    for part, text in ends:
+        lines = lines.unionByName(rows.select("file").distinct().select("file", F.lit(part).alias("part"), F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit(text).alias("value")))
+    path = folders.temporary(spark, "exports")
+    lines.repartition("file").sortWithinPartitions("file", "part", "conv_id", "turn").select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+#: Conversations of an export file, and bytes of a part of a dialog.
+FILE_CHATS, PART_BYTES = 1_000_000, 1_200
 STOP = ("the", "of")
 _EV = "ev as (select user_id::varchar as chat_id, event_id as seq, epoch_us(ts) // 1000 as ts_ms, strftime(ts, '%Y-%m-%d %H:%M:%S') as time_str, event_type as sender_uid, event_type = 'purchase' as is_self, event_type = 'view' as has_image, (props->>'$.k')::int as k from events)"
 _CV = r"cv as (select conv_id::varchar as chat_id, turn as seq, turn::varchar as time_str, role = 'user' as is_self, regexp_replace(text, '^\s+|\s+$', '', 'g') as text from conversations)"
@@ -84,6 +107,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         m = cv(spark, d)
         return content.dialogs(m, conversation_chats(m)).select("chat_id", "dialog")
 
+    def parts(spark, d):
+        m = cv(spark, d)
+        return content.dialog_parts(m, conversation_chats(m), PART_BYTES).select("chat_id", "part", "dialog")
+
+    def split_export(spark, d):
+        found = split.ingest(spark, exported_conversations(spark, d), glob="*.txt")
+        return found.messages.select("id", "seq", "ts_ms", "sender_uid", "is_self", "text")
+
+    def of_months(dimension, f):
+        def run(spark, d):
+            m = dated_messages(spark, d)
+            return f(insights.analyze(dimension, m, conversation_chats(m), insights.OfflineProvider()))
+
+        return run
+
     def asked(dimension):
         def run(spark, d):
             m = cv(spark, d)
@@ -119,6 +157,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "agg12_months": over(ord_, activity.months_of_text),
         "agg13_person_totals": over(cv, activity.person_totals),
         "agg14_dialog": dialog,
+        "agg14_parts": parts,
+        "src1_split_export": split_export,
+        "agg16_emotion_months": of_months("emotion", insights.emotion_histogram),
+        "agg17_topic_months": of_months("topics", insights.topic_weights),
         "agg15_utterances": over(cv, lambda m: content.utterances(m, insights.HABIT_MESSAGES, True)),
         "agg16_emotions": of_answers("emotion", insights.emotion_histogram),
         "agg17_topics": of_answers("topics", insights.topic_weights),
@@ -158,11 +200,15 @@ def _answers() -> dict[str, str]:
     profile = """'{"name":"' || name || '","overall_impression":"i","fun_facts":["1","2","3","4"],"growth_observation":{"has_changed":false},"scoring":{"humour":"' || (n % 10) || '"}}'"""
     month = lambda result: f"with {_CV}, {by_month} select chat_id, period, period as month, {result} as result, null::varchar as error from m"
     person = lambda of, result: f"with {_CV}, {people} select chat_id, person, name, total_messages, {result} as result, null::varchar as error from {of} join t using (chat_id, person)"
+    dated = f"strftime(epoch_ms(seq * {21 * C.DAY_MS} + 28800000), '%Y-%m')"
+    months = f"m as (select chat_id, {dated} as period, 14 + length(string_agg('[' || time_str || '] ' || case when is_self then 'user' else 'peer' end || ': ' || text, chr(10) order by seq)) as n from cv group by 1, 2)"
     each = {"emotion": ("m", emotion), "topics": ("m", topics), "relationship": ("m", relationship), "habits": ("h", habits), "profile": ("p", profile)}
     all_ = " union all ".join(f"select chat_id, '{d}' as dimension, {'period' if of == 'm' else 'person as period'}, {result} as result, null::varchar as error from {of}{'' if of == 'm' else ' join t using (chat_id, person)'}" for d, (of, result) in each.items())
     return {
         "agg16_emotions": f"with {_CV}, {by_month}, e as (select chat_id, 'self' as person, {first} as emotion from m union all select chat_id, 'other', {second} from m) select chat_id, person, emotion, count(*)::bigint as months from e group by 1, 2, 3",
         "agg17_topics": f"with {_CV}, {by_month} select chat_id, 'topic' || (n % 3) as name, 60::int as value, 1::int as rank from m union all select chat_id, 'other', 40::int, 2::int from m",
+        "agg16_emotion_months": f"with {_CV}, {months}, e as (select chat_id, 'self' as person, {first} as emotion from m union all select chat_id, 'other', {second} from m) select chat_id, person, emotion, count(*)::bigint as months from e group by 1, 2, 3",
+        "agg17_topic_months": f"with {_CV}, {months}, t as (select chat_id, 'topic' || (n % 3) as name, 0.6::double as w from m union all select chat_id, 'other', 0.4::double from m), s as (select chat_id, name, floor(sum(w) * 100 + 0.5)::int as value from t group by 1, 2) select chat_id, name, value, row_number() over (partition by chat_id order by value desc, name)::int as rank from s",
         "agg21_entries": f"with {_CV}, {people} select chat_id, count(*)::bigint as entries from h group by 1",
         "srt10_fun_facts": f"""with {_CV}, {people} select chat_id, person, '["1","2","3"]' as fun_facts from p""",
         "udf3_emotion": month(emotion),
@@ -193,6 +239,8 @@ def oracle_sql() -> dict[str, str]:
         "agg12_months": f"with {_ORD} select chat_id, count(distinct substr(time_str, 1, 7))::bigint as months from ord group by 1",
         "agg13_person_totals": f"with {_CV} select chat_id, {_PERSON}, count(*)::bigint as total_messages from cv group by 1, 2",
         "agg14_dialog": f"with {_CV} select chat_id, string_agg('[' || time_str || '] ' || case when is_self then 'user' else 'peer' end || ': ' || text, chr(10) order by seq) as dialog from cv group by 1",
+        "agg14_parts": f"with {_CV}, l as (select chat_id, seq, '[' || time_str || '] ' || case when is_self then 'user' else 'peer' end || ': ' || text || case when seq = max(seq) over (partition by chat_id) then '' else chr(10) end as line from cv), c as (select *, unnest(range(0, ceil(length(line) / {PART_BYTES // 16}.0)::int)) as i from l), p as (select chat_id, seq, i, substr(line, (i * {PART_BYTES // 16} + 1)::int, {PART_BYTES // 16}) as piece from c), b as (select *, (coalesce(sum(strlen(piece)) over (partition by chat_id order by seq, i rows between unbounded preceding and 1 preceding), 0) // {PART_BYTES - PART_BYTES // 16 * 4})::int as part from p) select chat_id, part, string_agg(piece, '' order by seq, i) as dialog from b group by 1, 2",
+        "src1_split_export": rf"select conv_id::varchar || '-' || turn::varchar as id, row_number() over (partition by conv_id // {FILE_CHATS} order by conv_id, turn) - 1 as seq, turn as ts_ms, role as sender_uid, role = 'user' as is_self, regexp_replace(text, '^\s+|\s+$', '', 'g') as text from conversations",
         "agg15_utterances": f"with {_CV}, r as (select *, row_number() over (partition by chat_id, is_self order by seq desc) as n from cv) select chat_id, {_PERSON}, string_agg('[' || time_str || '] ' || text, chr(10) order by seq) as utterances from r where n <= 200 group by 1, 2",
         "agg18_heat_scale": f"with {_EV}, c as (select chat_id, count(*) as count from ev group by chat_id, {_WEEKDAY}, {_HOUR}) select chat_id, greatest(1, max(count))::bigint as scale_max from c group by 1",
         "agg20_share": f"with {_EV} select chat_id, {_PERSON}, count(*)::bigint as count, {share} as share from ev group by 1, 2",

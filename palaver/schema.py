@@ -1,5 +1,17 @@
 """Schemas of exports, of the chat model, and of the answers of the language-model analyses."""
 
+#: A message of an export, and what stands around the messages.
+MESSAGE = """
+id STRING, timestamp BIGINT, time STRING, sender STRUCT<uid: STRING, name: STRING, nickname: STRING>,
+type STRING, content STRUCT<text: STRING, elements: ARRAY<STRUCT<type: STRING, data: VARIANT>>>,
+recalled BOOLEAN, system BOOLEAN, _corrupt_record STRING
+"""
+EXPORT_HEAD = """
+chatInfo STRUCT<name: STRING, type: STRING, selfUid: STRING, selfName: STRING>,
+statistics STRUCT<totalMessages: BIGINT, timeRange: STRUCT<`start`: STRING, `end`: STRING, durationDays: INT>,
+                  senders: ARRAY<STRUCT<uid: STRING, name: STRING>>>,
+_corrupt_record STRING
+"""
 #: One exported chat, one JSON object a file.
 EXPORT = """
 chatInfo STRUCT<name: STRING, type: STRING, selfUid: STRING, selfName: STRING>,

@@ -46,8 +46,12 @@ def _elements(kind: str) -> Column:
 
 
 def _messages(good: DataFrame, skip_marked: bool) -> DataFrame:
-    self_uid = F.coalesce("chatInfo.selfUid", F.lit(""))
-    rows = good.select("chat_id", self_uid.alias("self_uid"), F.posexplode("messages").alias("seq", "m"))
+    rows = good.select("chat_id", F.coalesce("chatInfo.selfUid", F.lit("")).alias("self_uid"), F.posexplode("messages").alias("seq", "m"))
+    return message_columns(rows, skip_marked)
+
+
+def message_columns(rows: DataFrame, skip_marked: bool) -> DataFrame:
+    """messages from chat_id, self_uid, seq and m, a message as it was exported."""
     if skip_marked:
         rows = rows.where("not coalesce(m.recalled, false) and not coalesce(m.system, false)")
     uid = F.coalesce("m.sender.uid", F.lit(""))
@@ -75,17 +79,21 @@ def _messages(good: DataFrame, skip_marked: bool) -> DataFrame:
 
 def _chats(good: DataFrame) -> DataFrame:
     """Header facts. All of a chat is in its one row, so nothing is shuffled for them."""
-    own = F.coalesce("chatInfo.selfUid", F.lit(""))
-    others = F.filter("statistics.senders", lambda s: ~s["uid"].eqNullSafe(F.coalesce(F.col("chatInfo.selfUid"), F.lit(""))) & (s["name"] != ""))
     uids = F.filter(F.transform("messages", lambda m: F.coalesce(m["sender"]["uid"], F.lit(""))), lambda u: (u != "") & (u != F.coalesce(F.col("chatInfo.selfUid"), F.lit(""))))
+    return chat_columns(good, F.coalesce(F.get(uids, F.lit(0)), F.lit("")), F.size("messages").cast("long"))
+
+
+def chat_columns(good: DataFrame, other_uid: Column, count: Column) -> DataFrame:
+    """chats from chat_id and a head, the first other sender and the number of messages."""
+    others = F.filter("statistics.senders", lambda s: ~s["uid"].eqNullSafe(F.coalesce(F.col("chatInfo.selfUid"), F.lit(""))) & (s["name"] != ""))
     return good.select(
         "chat_id",
         F.coalesce("chatInfo.name", F.lit("")).alias("chat_name"),
         F.coalesce("chatInfo.selfName", F.lit("")).alias("self_name"),
         F.coalesce(F.get(F.transform(others, lambda s: s["name"]), F.lit(0)), "chatInfo.name", F.lit(PEER)).alias("other_name"),
-        own.alias("self_uid"),
-        F.coalesce(F.get(uids, F.lit(0)), F.lit("")).alias("other_uid"),
-        F.coalesce("statistics.totalMessages", F.size("messages").cast("long")).alias("total_count"),
+        F.coalesce("chatInfo.selfUid", F.lit("")).alias("self_uid"),
+        other_uid.alias("other_uid"),
+        F.coalesce("statistics.totalMessages", count).alias("total_count"),
         F.coalesce("statistics.timeRange.start", F.lit("")).alias("time_start"),
         F.coalesce("statistics.timeRange.end", F.lit("")).alias("time_end"),
         F.coalesce("statistics.timeRange.durationDays", F.lit(0)).alias("duration_days"),
