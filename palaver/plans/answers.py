@@ -9,6 +9,7 @@ costs its own task's calls alone, and a second run asks only what is left.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -28,9 +29,10 @@ def key_of(provider: object, system: str, user: Column) -> Column:
 
 def known(spark: SparkSession, path: str) -> DataFrame:
     """key, answered, answer, error: of what was asked more than once the answer, or else the last error."""
-    if not folders.exists(spark, path):
+    if not folders.exists(spark, f"{path}/wave-*"):
         return spark.createDataFrame([], SCHEMA).drop("asked_ms")
-    rows = spark.read.schema(SCHEMA).parquet(path)
+    # A folder a wave: Spark takes two scans of equal folders for the same, whatever was added between.
+    rows = spark.read.schema(SCHEMA).parquet(f"{path}/wave-*")
     last = F.max_by(F.struct("answered", "answer", "error"), F.struct("answered", "asked_ms"))
     return rows.groupBy("key").agg(last.alias("r")).select("key", "r.*")
 
@@ -74,7 +76,7 @@ def ask_missing(prompts: DataFrame, path: str, ask: Callable[[str, float], str],
     for k in range(waves):
         rows = todo.where(wave == k).repartition(lanes, "key").mapInPandas(_lane(ask, lanes / rate if rate else 0.0, sleep, clock), SCHEMA)
         # With version 2 a task's files are moved into the table when the task ends, not the job.
-        rows.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+        rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{path}/wave-{uuid.uuid4().hex}")
         if stop_on_error and (bad := known(spark, path).where("not answered").join(todo.select("key"), "key", "left_semi").select("error").first()):
             raise RuntimeError(f"a call failed: {bad.error}")
     return n

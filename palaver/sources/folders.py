@@ -10,9 +10,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether any path is of this pattern."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where))
 
 
 def _delete(spark: SparkSession, path: str) -> None:
