@@ -125,6 +125,11 @@ def overview(messages: DataFrame, chats: DataFrame | None = None, tz: str = C.TZ
         F.count_if(F.col("sender_uid") != F.coalesce("prev_uid", F.lit(""))).alias("exchange_rounds"),
         F.countDistinct(C.day_number(F.col("ts_ms"), tz)).alias("active_days"),
     )
+    return overview_of(counts, chats, rounding)
+
+
+def overview_of(counts: DataFrame, chats: DataFrame | None, rounding: str) -> DataFrame:
+    """overview() from a row of counters a chat."""
     duration = F.lit(0)
     if chats is not None:
         names = chats.select(F.col("chat_id").alias("__chat"), "self_name", "other_name", "duration_days")

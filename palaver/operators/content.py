@@ -56,19 +56,23 @@ def length_stats(messages: DataFrame, rounding: str = "exact") -> DataFrame:
     return rows.select("chat_id", F.explode(F.array(one("self", "s", "sm"), one("other", "o", "om"))).alias("x")).select("chat_id", "x.*")
 
 
-def _ranked(counts: DataFrame, top: int) -> DataFrame:
+def ranked(counts: DataFrame, top: int) -> DataFrame:
     """The most frequent of each person; of equal ones the first seen."""
     order = Window.partitionBy("chat_id", "person").orderBy(F.desc("count"), "first_seen")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).drop("first_seen")
 
 
-def face_ranking(messages: DataFrame, top: int = 20) -> DataFrame:
-    """chat_id, person, name, count, rank. A face is its name; in messages without names, its id."""
+def face_counts(messages: DataFrame) -> DataFrame:
+    """chat_id, person, name, count, first_seen. A face is its name; in messages without names, its id."""
     names = F.filter("face_names", lambda x: x != "")
     faces = F.when(F.size(names) > 0, names).otherwise(F.transform("face_ids", lambda x: x.cast("string")))
     rows = messages.select("chat_id", _person().alias("person"), "ts_ms", "seq", F.posexplode(faces).alias("pos", "name"))
-    counts = rows.groupBy("chat_id", "person", "name").agg(F.count("*").alias("count"), F.min(F.struct("ts_ms", "seq", "pos")).alias("first_seen"))
-    return _ranked(counts, top)
+    return rows.groupBy("chat_id", "person", "name").agg(F.count("*").alias("count"), F.min(F.struct("ts_ms", "seq", "pos")).alias("first_seen"))
+
+
+def face_ranking(messages: DataFrame, top: int = 20) -> DataFrame:
+    """chat_id, person, name, count, rank."""
+    return ranked(face_counts(messages), top)
 
 
 def _bigrams(run: Column) -> Column:
@@ -148,7 +152,7 @@ def word_counts(messages: DataFrame, stop: Iterable[str] = STOP_WORDS | MEDIA_WO
 
 def word_ranking(messages: DataFrame, top: int = 50, **options) -> DataFrame:
     """chat_id, person, word, count, rank."""
-    return _ranked(word_counts(messages, **options), top)
+    return ranked(word_counts(messages, **options), top)
 
 
 def word_sizes(ranking: DataFrame) -> DataFrame:
