@@ -71,3 +71,25 @@ def test_branches_merge_at_any_depth(spark):
     rows = [f"http://a.net{p}{deep}/{k}/{i}" for p in ("/es", "/en") for k in ("one", "two", "three") for i in range(20)]
     got = U.verdicts(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()
     assert {r.template for r in got} == {"a.net/{m:{w}}/x/y/z/u/v/{m:{n}}/{n}"} and {r.verdict for r in got} == {"block"}
+
+
+def test_jobs_follow_branchings_not_depth(spark):
+    def jobs(depth):
+        rows = [f"http://a.net/es{'/x' * depth}/{i}/p{'/y' * depth}" for i in range(3)] + [f"http://b.org{'/z' * depth}"] * 2
+        tracker, group = spark.sparkContext.statusTracker(), f"depth-{depth}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            got = U.verdicts(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert {r.template for r in got if r.host == "a.net"} == {f"a.net/es{'/x' * depth}/{{n}}/p{'/y' * depth}"}
+        assert {r.template for r in got if r.host == "b.org"} == {f"b.org{'/z' * depth}"}
+        return len(tracker.getJobIdsForGroup(group))
+
+    assert jobs(200) <= jobs(5)
+
+
+def test_deep_paths_that_part_equal_sql(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, f"http://{rng.choice('ab')}.net/{rng.choice(['es', 'en'])}/" + "/".join(rng.choice("xy") if rng.random() < 0.2 else "x" for _ in range(rng.randrange(7))), None) for i in range(400)]
+    compared(spark, tmp_path, rows)
