@@ -1,11 +1,12 @@
 """Secrets in texts: fixed patterns, and credentials whose parts lie in different places.
 
 A string that could be an account's name, a random-looking string or an address is too weak a sign
-alone. Here such candidates are joined within a scope, a stretch of text without a blank line, with
-what complements them: an identifier with a secret, and an endpoint with both. The join is one of
-intervals: a part meets the complement that ends last before it and the one that begins first after
-it, which is all that can tell whether there is one, however many parts a scope has. Weak
-candidates without a complement are not reported.
+alone. Here such candidates are joined within a scope with what complements them: an identifier with a
+secret, and an endpoint with both. A scope is a block: it ends at a blank line, and where no part
+follows within GAP code points. The join is one of intervals: of the complements of a scope, which
+don't overlap each other by much, a part meets the one that begins last before it and the one that
+begins first after it; that tells whether there is one, however many parts a scope has, and the
+closer of the two is what it is reported with. Weak candidates without a complement are not reported.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 IDENTIFIER = re.compile(r"""(?:client|access|account|user|tenant|app)[_-]?(?:id|name|key[_-]?id)?["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{4,})""", re.I | re.A)
 RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"(?:(?<![a-z0-9+.-])[a-z][a-z0-9+.-]++://[A-Za-z0-9._~:@-]{4,}|(?<![A-Za-z0-9.-])[a-z0-9-]++(?:\.[a-z0-9-]++)+:[0-9]{2,5})")
+#: Code points between a part's end and the next part's begin beyond which they belong to two blocks.
+GAP = 2_000
 BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 #: In the order that breaks ties of start.
 KINDS = ("assign", "access", "hex", "pair_id", "pair_secret", "pair_endpoint")
@@ -46,15 +49,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _mixed(s: str) -> bool:
-    """Lower case, upper case and digits in one run: random rather than a word or a path."""
+    """Lower case, upper case and digits in one run: random rather than a word."""
     return any(c.islower() for c in s) and any(c.isupper() for c in s) and sum(c.isdigit() for c in s) >= 2
 
 
+def _random(s: str) -> bool:
+    """A mixed run that is no path: where slashes part it, one of its pieces is long and mixed itself."""
+    return _mixed(s) and ("/" not in s or any(len(x) >= 12 and _mixed(x) for x in s.split("/")))
+
+
 def parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, bool, int, int, int]]:
     """(role, weak, scope, start, end) of what can be part of a credential."""
     found = [({0: "secret", 1: "id", 2: "secret"}[k], False, s, e) for s, k, e in base]
     weak = [("id", *m.span(1)) for m in IDENTIFIER.finditer(text)]
-    weak += [("secret", *m.span()) for m in RANDOM.finditer(text) if _mixed(m[0])]
+    weak += [("secret", *m.span()) for m in RANDOM.finditer(text) if _random(m[0])]
     weak += [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
     starts = [s for s, _, _ in base]
     ends = list(accumulate((e for _, _, e in base), max))
@@ -64,7 +72,11 @@ def parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, bool,
             found.append((role, True, s, e))
     if not any(w for _, w, _, _ in found):
         return []
+    found.sort(key=lambda x: (x[2], x[3], x[0]))
+    furthest = list(accumulate((e for _, _, _, e in found), max))
     breaks = [m.start() for m in BLANK_LINE.finditer(text)]
+    breaks += [b for b, (_, _, s, _) in zip(furthest, found[1:], strict=False) if s - b > GAP]
+    breaks.sort()
     return [(role, w, bisect_left(breaks, s), s, e) for role, w, s, e in found]
 
 

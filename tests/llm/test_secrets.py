@@ -108,3 +108,20 @@ def test_clashing_columns_and_ties(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, role int, scope string, start int")
     assert [len(r.spans) for r in X.spans(df).collect()] == [2, 2]
     assert X.redacted(df).columns == df.columns and {r.role for r in X.redacted(df).collect()} == {3}
+
+
+def test_what_has_no_relation_is_not_linked(spark):
+    """Parts far from each other, and paths: on planted logs nothing but whole credentials is reported."""
+    rng = random.Random(3)
+    line = lambda: f"GET /usr/local/Lib{rng.randrange(9)}/Python3/site{rng.randrange(99)}/Module42File status {rng.randrange(999)}"
+    log = "\n".join(["user_id: alice", *(line() for _ in range(60)), "x " * 1_100, f"upload {KEY} done"])
+    block = "\n".join(["[service]", "client_id: someone-42", "port = 1", "host = db.example.org:5432", f"value = {KEY}", "", line()])
+    planted = [(i, "\n\n".join(rng.sample([block, log, line()], rng.randrange(1, 4)))) for i in range(60)]
+    planted += [(900, "client_id: " + "n" * 2_100 + f" {KEY}"), (901, "user_id: alice" + " " * 2_001 + KEY), (902, "user_id: alice" + " " * 2_000 + KEY)]
+    hits = right = wrong = 0
+    for r in X.spans(spark.createDataFrame(planted, "doc_id long, text string").repartition(3)).collect():
+        text = dict(planted)[r.doc_id]
+        got = {text[x.start : x.end] for x in r.spans if x.kind > 2}
+        want = {"someone-42", "db.example.org:5432", KEY} if block in text else {"n" * 2_100, KEY} if r.doc_id == 900 else {"alice", KEY} if r.doc_id == 902 else set()
+        hits, right, wrong = hits + len(got & want), right + len(want), wrong + len(got - want)
+    assert hits == right > 50 and wrong == 0
