@@ -53,9 +53,14 @@ def _mixed(s: str) -> bool:
     return any(c.islower() for c in s) and any(c.isupper() for c in s) and sum(c.isdigit() for c in s) >= 2
 
 
+#: Of a random run's neighbours nearly half change as CHANGE says; of the names in a path few do.
+CHANGE = re.compile(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[0-9])")
+LEAST_CHANGES = 0.3
+
+
 def _random(s: str) -> bool:
-    """A mixed run that is no path: where slashes part it, one of its pieces is long and mixed itself."""
-    return _mixed(s) and ("/" not in s or any(len(x) >= 12 and _mixed(x) for x in s.split("/")))
+    """A mixed run that is no path: one with slashes has to change case and digits often between them."""
+    return _mixed(s) and ("/" not in s or len(CHANGE.findall(s)) >= LEAST_CHANGES * (len(s) - 1 - 2 * s.count("/")))
 
 
 def parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, bool, int, int, int]]:
