@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -92,6 +92,14 @@ def best_cut(run: str, weights: dict[str, float], longest: int, unknown: float)
     return out
 
 
+def path_of(lexicon: dict[str, int]) -> Callable[[str], list[str]]:
+    """best_cut() by the frequencies of a lexicon."""
+    total = math.log(max(1, sum(lexicon.values())))
+    weights = {w: math.log(max(1, n)) - total for w, n in lexicon.items()}
+    longest, unknown = max([1, *map(len, weights)]), -total - 1
+    return lambda run: best_cut(run, weights, longest, unknown)
+
+
 def tokens(text: Column, lexicon: dict[str, int] | None = None, latin: str = "ascii") -> Column:
     """Words in order: runs of letters and digits, and Han words.
 
@@ -102,13 +110,11 @@ def tokens(text: Column, lexicon: dict[str, int] | None = None, latin: str = "as
     runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{HAN}+|{LATIN[latin]}"), F.lit(0))
     if lexicon is None:
         return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^{HAN}"), _bigrams(r)).otherwise(F.array(r))))
-    total = math.log(max(1, sum(lexicon.values())))
-    weights = {w: math.log(max(1, n)) - total for w, n in lexicon.items()}
-    longest, unknown = max([1, *map(len, weights)]), -total - 1
+    likely = path_of(lexicon)
 
     @F.pandas_udf("array<string>")
     def cut(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda rs: [w for r in rs for w in (best_cut(r, weights, longest, unknown) if "一" <= r[0] <= "鿕" else [r])])
+        return rows.map(lambda rs: [w for r in rs for w in (likely(r) if "一" <= r[0] <= "鿕" else [r])])
 
     return cut(runs)
 

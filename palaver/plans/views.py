@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import columns as C
-from palaver.operators import activity, content
+from palaver.operators import activity, content, segment
 from palaver.plans import insights, report
 from palaver.sources import folders, split
 
@@ -62,6 +62,32 @@ def exported_conversations(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+#: Han characters that stand for a to z, so that texts without their blanks are runs to be cut.
+LETTERS = "".join(chr(0x4E00 + 97 * k) for k in range(26))
+
+
+def unspaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations without their blanks: chat_id, seq, place, words and text, a stretch without other signs each."""
+    said = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", LETTERS)
+    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("chat_id"), F.col("turn").alias("seq"), F.posexplode(F.regexp_extract_all(said, F.lit(f"[{LETTERS} ]+"), F.lit(0))).alias("place", "said"))
+    words = F.filter(F.split("said", " +"), lambda w: w != "")
+    return rows.select("chat_id", "seq", "place", words.alias("words")).where(F.size("words") > 0).withColumn("text", F.array_join("words", ""))
+
+
+def boundaries(words: Column) -> Column:
+    """Where words end within their text."""
+    ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.length(F.array_join(F.slice(words, 1, k), "")))
+    return F.slice(ends, 1, F.size(words) - 1)
+
+
+def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chat_id, seq, place, text, known, found, right: boundaries that the blanks show, that the model finds, and those of both."""
+    rows = unspaced(spark, sf_dir)
+    model = segment.fit(rows)
+    rows = rows.withColumn("cut", segment.tokens(F.col("text"), model)).withColumn("cut", boundaries(F.col("cut"))).withColumn("known", boundaries(F.col("words")))
+    return rows.select("chat_id", "seq", "place", "text", F.size("known").alias("known"), F.size("cut").alias("found"), F.size(F.array_intersect("known", "cut")).alias("right"))
+
+
 #: Conversations of an export file, and bytes of a part of a dialog.
 FILE_CHATS, PART_BYTES = 1_000_000, 1_200
 STOP = ("the", "of")
@@ -158,6 +184,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "agg13_person_totals": over(cv, activity.person_totals),
         "agg14_dialog": dialog,
         "agg14_parts": parts,
+        "udf1_segments": segmented,
         "src1_split_export": split_export,
         "agg16_emotion_months": of_months("emotion", insights.emotion_histogram),
         "agg17_topic_months": of_months("topics", insights.topic_weights),
