@@ -158,3 +158,44 @@ def initiations(messages: DataFrame, gap_ms: int = REPLY_MS) -> DataFrame:
     opens = with_previous(messages).where(F.col("prev_ts").isNull() | (F.col("ts_ms") - F.col("prev_ts") > gap_ms))
     out = opens.groupBy("chat_id").agg(*_by_person())
     return out.withColumn("initiator_ratio_self", F.col("self") / (F.col("self") + F.col("other")).cast("double"))
+
+
+def replies(messages: DataFrame, limit_ms: int = REPLY_MS) -> DataFrame:
+    """chat_id, person, messages, replies, reply_ratio: what follows a message of somebody else within the limit."""
+    rows = with_previous(messages)
+    replied = (F.col("sender_uid") != F.col("prev_uid")) & (F.col("ts_ms") - F.col("prev_ts") <= limit_ms)
+    out = rows.groupBy("chat_id", _person().alias("person")).agg(F.count("*").alias("messages"), F.count_if(replied).alias("replies"))
+    return out.withColumn("reply_ratio", F.col("replies") / F.col("messages").cast("double"))
+
+
+def sessions(messages: DataFrame, gap_ms: int = REPLY_MS, bucket_ms: int = C.DAY_MS, tz: str = C.TZ) -> DataFrame:
+    """chat_id, begin_ms, first_seq, end_ms, messages, self, other, midnights: runs without a longer gap.
+
+    midnights is how many local midnights lie in a session. Each message finds the begin of its session
+    among those of its time bucket, or else takes the last begin of the buckets before, a row a
+    bucket; so a session may go over many buckets while no task has a whole chat.
+    """
+    key = F.concat(F.when(F.col("chat_id").isNull(), "-").otherwise("+"), F.coalesce("chat_id", F.lit("")))
+    opens = F.col("prev_ts").isNull() | (F.col("ts_ms") - F.col("prev_ts") > gap_ms)
+    rows = with_previous(messages, bucket_ms).select("chat_id", key.alias("__key"), F.floor(F.col("ts_ms") / bucket_ms).alias("__bucket"), "ts_ms", "seq", "is_self", F.when(opens, F.struct("ts_ms", "seq")).alias("__opens"))
+    before = F.last("__last", ignorenulls=True).over(Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    carried = rows.groupBy("__key", "__bucket").agg(F.max("__opens").alias("__last")).select("__key", "__bucket", before.alias("__carried"))
+    own = F.last("__opens", ignorenulls=True).over(Window.partitionBy("__key", "__bucket").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__own", own).join(carried, ["__key", "__bucket"]).withColumn("begin", F.coalesce("__own", "__carried"))
+    out = rows.groupBy("chat_id", "begin").agg(F.max("ts_ms").alias("end_ms"), F.count("*").alias("messages"), *_by_person())
+    midnights = C.day_number(F.col("end_ms"), tz) - C.day_number(F.col("begin_ms"), tz)
+    return out.select("chat_id", F.col("begin.ts_ms").alias("begin_ms"), F.col("begin.seq").alias("first_seq"), "end_ms", "messages", "self", "other").withColumn("midnights", midnights)
+
+
+def session_days(found: DataFrame, tz: str = C.TZ) -> DataFrame:
+    """Sessions cut at local midnights: chat_id, begin_ms, first_seq, date, from_ms, to_ms of each part."""
+    day = F.explode(F.sequence(C.day_number(F.col("begin_ms"), tz), C.day_number(F.col("end_ms"), tz)))
+    rows = found.select("chat_id", "begin_ms", "first_seq", "end_ms", day.alias("day"))
+    starts = lambda d: d.cast("long") * C.DAY_MS - C.offset_ms(tz)
+    date = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")), "yyyy-MM-dd")
+    return rows.select("chat_id", "begin_ms", "first_seq", date.alias("date"), F.greatest("begin_ms", starts(F.col("day"))).alias("from_ms"), F.least("end_ms", starts(F.col("day") + 1)).alias("to_ms"))
+
+
+def late_nights(found: DataFrame) -> DataFrame:
+    """chat_id, cross_late_night (sessions that go over a local midnight), midnights (in all of them)."""
+    return found.groupBy("chat_id").agg(F.count_if(F.col("midnights") > 0).alias("cross_late_night"), F.sum("midnights").cast("long").alias("midnights"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from palaver.functions import columns as C
 from palaver.operators import activity, content, segment
-from palaver.plans import insights, report
-from palaver.sources import folders, split
+from palaver.plans import insights, report, states, tracking
+from palaver.sources import folders, results, split
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,6 +124,11 @@ _WORDS = rf"with {_CV}, t as (select chat_id, {_PERSON}, seq, unnest(regexp_extr
 _FACES = f"with {_EV}, g as (select chat_id, {_PERSON}, k::varchar as name, count(*)::bigint as count, min({{'t': ts_ms, 's': seq}}) as f from ev where k is not null group by 1, 2, 3) select chat_id, person, name, count, row_number() over (partition by chat_id, person order by count desc, f)::int as rank from g"
 
 
+_OVERVIEW = f"with {_EV}, {_LAGGED}, a as (select chat_id, count(*)::bigint as total_messages, (count(*) filter (where is_self))::bigint as self_count, (count(*) filter (where not is_self))::bigint as other_count, 0::bigint as self_chars, 0::bigint as other_chars, (count(*) filter (where has_image))::bigint as total_images, count(k)::bigint as total_faces, (count(*) filter (where opens))::bigint as exchange_rounds, count(distinct {_DAY})::bigint as active_days from lagged group by 1) select *, greatest(active_days, 1)::bigint as total_days, {_round1('total_messages / greatest(active_days, 1)::double')} as avg_daily from a"
+_DAYS = "(({} + 28800000) // 86400000)"
+_SESSIONS = f"with {_EV}, {_LAGGED}, g as (select *, count(*) filter (where gap is null or gap > 21600000) over (partition by chat_id order by ts_ms, seq rows unbounded preceding) as session from lagged), s as (select chat_id, min(ts_ms) as begin_ms, arg_min(seq, {{'t': ts_ms, 's': seq}}) as first_seq, max(ts_ms) as end_ms, count(*)::bigint as messages, {_BY} from g group by chat_id, session)"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ev, cv, ord_ = event_messages, conversation_messages, order_messages
     over = lambda view, f: lambda spark, d: f(view(spark, d))
@@ -141,6 +146,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         found = split.ingest(spark, exported_conversations(spark, d), glob="*.txt")
         return found.messages.select("id", "seq", "ts_ms", "sender_uid", "is_self", "text")
 
+    def merged_states(spark, d):
+        path, m = folders.temporary(spark, "states"), ev(spark, d)
+        for k in range(2):
+            states.upsert(m.where(F.pmod("seq", F.lit(2)) == k), path, f"half-{k}")
+        return states.overview(states.load(spark, path))
+
+    def one_chat(spark, d):
+        path, m = folders.temporary(spark, "chats"), ev(spark, d)
+        results.store_by_chat(m, path, 16)
+        return results.load_chat(spark, path, m.agg(F.min("chat_id")).first()[0]).select("chat_id", "seq", "ts_ms", "sender_uid")
+
+    def tracked(spark, d):
+        m = cv(spark, d).withColumn("id", F.concat_ws("-", "chat_id", "seq"))
+        later = m.where("seq >= 2").withColumn("text", F.when(F.col("seq") == 3, F.concat("text", F.lit(" (edited)"))).otherwise(F.col("text")))
+        return tracking.joined(m.where("seq <= 3"), later).select("chat_id", "seq", "id", "text", "origin", "edited")
+
     def of_months(dimension, f):
         def run(spark, d):
             m = dated_messages(spark, d)
@@ -208,6 +229,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "udf7_profile": asked("profile"),
         "udf8_all": everything,
         "ext_active_periods": over(ev, activity.active_periods),
+        "ext_sessions": over(ev, activity.sessions),
+        "ext_session_days": over(ev, lambda m: activity.session_days(activity.sessions(m))),
+        "ext_late_nights": over(ev, lambda m: activity.late_nights(activity.sessions(m))),
+        "ext_replies": over(ev, activity.replies),
+        "snk1_states": merged_states,
+        "snk2_one_chat": one_chat,
+        "ext_tracking": tracked,
         "ext_images": over(ev, activity.image_stats),
         "ext_initiations": over(ev, activity.initiations),
     }
@@ -259,7 +287,7 @@ def oracle_sql() -> dict[str, str]:
         "agg5_length": _LENGTHS,
         "agg6_face_topk": f"select * from ({_FACES}) where rank <= 20",
         "agg7_words": f"{_WORDS} from r where rank <= 80",
-        "agg8_overview": f"with {_EV}, {_LAGGED}, a as (select chat_id, count(*)::bigint as total_messages, (count(*) filter (where is_self))::bigint as self_count, (count(*) filter (where not is_self))::bigint as other_count, 0::bigint as self_chars, 0::bigint as other_chars, (count(*) filter (where has_image))::bigint as total_images, count(k)::bigint as total_faces, (count(*) filter (where opens))::bigint as exchange_rounds, count(distinct {_DAY})::bigint as active_days from lagged group by 1) select *, greatest(active_days, 1)::bigint as total_days, {_round1('total_messages / greatest(active_days, 1)::double')} as avg_daily from a",
+        "agg8_overview": _OVERVIEW,
         "agg9_response": f"with {_EV}, {_LAGGED} select chat_id, {_mean('is_self')} as self_avg_seconds, {_mean('not is_self')} as other_avg_seconds from lagged group by 1",
         "agg10_rounds": f"with {_EV}, {_LAGGED} select chat_id, (count(*) filter (where opens))::bigint as rounds from lagged group by 1",
         "agg11_month": monthly,
@@ -278,6 +306,13 @@ def oracle_sql() -> dict[str, str]:
         "srt7_top5_faces": f"select * from ({_FACES}) where rank <= 5",
         "srt8_top10_words": f"{_WORDS} from r where rank <= 10",
         "ext_active_periods": f"with {_EV}, c as (select chat_id, {_HOUR} as hour, count(*)::bigint as count from ev group by 1, 2), r as (select *, row_number() over (partition by chat_id order by count desc, hour)::int as rank from c) select * from r where rank <= 3",
+        "ext_sessions": f"{_SESSIONS} select *, ({_DAYS.format('end_ms')} - {_DAYS.format('begin_ms')})::int as midnights from s",
+        "ext_session_days": f"{_SESSIONS}, d as (select *, unnest(range({_DAYS.format('begin_ms')}, {_DAYS.format('end_ms')} + 1)) as day from s) select chat_id, begin_ms, first_seq, strftime(epoch_ms(day * 86400000), '%Y-%m-%d') as date, greatest(begin_ms, day * 86400000 - 28800000) as from_ms, least(end_ms, (day + 1) * 86400000 - 28800000) as to_ms from d",
+        "ext_late_nights": f"{_SESSIONS}, n as (select *, {_DAYS.format('end_ms')} - {_DAYS.format('begin_ms')} as m from s) select chat_id, (count(*) filter (where m > 0))::bigint as cross_late_night, sum(m)::bigint as midnights from n group by 1",
+        "ext_replies": f"with {_EV}, l as (select *, ts_ms - lag(ts_ms) over w as gap, lag(sender_uid) over w as prev from ev window w as (partition by chat_id order by ts_ms, seq)) select chat_id, {_PERSON}, count(*)::bigint as messages, (count(*) filter (where sender_uid <> prev and gap <= 21600000))::bigint as replies, (count(*) filter (where sender_uid <> prev and gap <= 21600000)) / count(*)::double as reply_ratio from l group by 1, 2",
+        "snk1_states": _OVERVIEW,
+        "snk2_one_chat": f"with {_EV} select chat_id, seq, ts_ms, sender_uid from ev where chat_id = (select min(chat_id) from ev)",
+        "ext_tracking": f"with {_CV} select chat_id, row_number() over (partition by chat_id order by seq) - 1 as seq, chat_id || '-' || seq as id, case when seq = 3 then text || ' (edited)' else text end as text, case when seq < 2 then 'old' when seq > 3 then 'new' else 'both' end as origin, seq = 3 as edited from cv",
         "ext_images": f"with {_EV} select chat_id, (count(*) filter (where has_image and is_self))::bigint as self, (count(*) filter (where has_image and not is_self))::bigint as other from ev group by 1",
         "ext_initiations": f"with {_EV}, {_LAGGED} select chat_id, {_BY}, (count(*) filter (where is_self)) / count(*)::double as initiator_ratio_self from lagged where gap is null or gap > 21600000 group by 1",
     }
