@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,8 +59,8 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-#: Paths stored within the open scratch scopes, the innermost last.
-_SCOPES: list[list[str]] = []
+#: Paths stored within the open scratch scopes of this thread, the innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 #: Spark deletes the shuffle files of a query at its end.
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -65,11 +68,41 @@ _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, deleted at the end of the scratch scope around."""
     path = f"{scratch_root(spark)}/palaver/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if scopes := _SCOPES.get():
+        scopes[-1].append(path)
+    else:  # what no scope deletes goes when the driver ends
+        atexit.register(_deleted_quietly, spark, path)
     return path
 
 
+def _deleted_quietly(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the session may be over
+        delete(spark, path)
+
+
+#: How many writes of each session have Spark delete shuffle files now, and what was set before.
+_CLEANING: dict[int, tuple[int, str]] = {}
+_LOCK = threading.Lock()
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Have Spark delete the shuffle files of queries that end within, also when threads overlap."""
+    with _LOCK:
+        n, before = _CLEANING.get(id(spark), (0, spark.conf.get(_CLEAN_UP, "false")))
+        _CLEANING[id(spark)] = n + 1, before
+        spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            n, before = _CLEANING.pop(id(spark))
+            if n > 1:
+                _CLEANING[id(spark)] = n - 1, before
+            else:
+                spark.conf.set(_CLEAN_UP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back, which cuts its lineage.
 
@@ -77,12 +110,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(_CLEAN_UP, "false")
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -98,32 +127,37 @@ def dropped(*tables: DataFrame) -> None:
     """Delete intermediate tables that no later step reads."""
     for df in tables:
         delete(df.sparkSession, df._scratch_path)
-        for scope in _SCOPES:
+        for scope in _SCOPES.get():
             if df._scratch_path in scope:
                 scope.remove(df._scratch_path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """A scope at whose end, also after a failure, all that was stored within it is deleted.
+    """A scope at whose end, also after a failure, all that this thread stored within it is deleted.
 
     What an operator returns may read such tables: write or collect it within the scope, or hand
     its tables to the scope around by kept().
     """
-    _SCOPES.append([])
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPES.reset(token)
+        for path in own:
             delete(spark, path)
 
 
 def kept(df: DataFrame) -> DataFrame:
     """Hand a stored table to the scope around the innermost, or to nobody where there is none."""
-    if _SCOPES and df._scratch_path in _SCOPES[-1]:
-        _SCOPES[-1].remove(df._scratch_path)
-        if len(_SCOPES) > 1:
-            _SCOPES[-2].append(df._scratch_path)
+    scopes = _SCOPES.get()
+    if scopes and df._scratch_path in scopes[-1]:
+        scopes[-1].remove(df._scratch_path)
+        if len(scopes) > 1:
+            scopes[-2].append(df._scratch_path)
+        else:
+            atexit.register(_deleted_quietly, df.sparkSession, df._scratch_path)
     return df
 
 

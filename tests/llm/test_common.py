@@ -54,3 +54,17 @@ def test_a_cluster_needs_a_shared_folder():
 def test_shuffle_files_go_with_the_query(spark):
     """The setting by which stored() has Spark delete them is one that this Spark knows."""
     assert spark.conf.get(common._CLEAN_UP) in ("true", "false")
+
+
+def test_threads_do_not_delete_each_others_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def run(_):
+        with common.scratch(spark):
+            return sorted(map(tuple, queries.queries()["op3_url_filters"](spark, SF).collect()), key=repr)
+
+    before, setting = left(spark), spark.conf.get(common._CLEAN_UP)
+    with ThreadPoolExecutor(3) as pool:
+        found = list(pool.map(run, range(6)))
+    assert found[0] and all(x == found[0] for x in found)
+    assert left(spark) == before and spark.conf.get(common._CLEAN_UP) == setting
