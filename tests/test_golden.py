@@ -257,3 +257,17 @@ def test_skip_marked_and_guards(spark, tmp_path):
 def test_previous_message_takes_one_pass_of_python_free_operators(spark, chat):
     plan = activity.overview(chat[0].messages)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan
+
+
+def test_words_of_messages_are_those_of_one_text_a_person(spark):
+    """No run goes over the blank that joins two messages, with bigrams, a lexicon or the model alike."""
+    from palaver.operators import segment
+
+    rng = random.Random(7)
+    said = ["".join(rng.choice("研究生命起源 ab1，") for _ in range(rng.randrange(12))) for _ in range(200)]
+    one = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i long, text string")
+    whole = spark.createDataFrame([(" ".join(said),)], "text string")
+    model = segment.fit(one, rounds=2)
+    for cut in (content.tokens(F.col("text")), content.tokens(F.col("text"), {"研究": 5, "生命": 4}), segment.tokens(F.col("text"), model), segment.tokens(F.col("text"), model, {"研究": 5})):
+        parts = [w for r in one.orderBy("i").select(cut.alias("w")).collect() for w in r.w]
+        assert parts == whole.select(cut.alias("w")).first().w
