@@ -25,7 +25,7 @@ BROADCAST_WINDOWS = 500_000
 #: Placeholders are control characters, which a text's words are freed of first.
 NUM, UNIT, NAME = "\u0001", "\u0002", "\u0003"
 #: Units of measure that may follow a number.
-UNITS = "km|cm|mm|m|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|l|ml|litres?|liters?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|percent|euros?|dollars?|cents?|apples?|degrees?"
+UNITS = "km|cm|mm|m|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|l|ml|litres?|liters?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|percent|euros?|dollars?|cents?|degrees?"
 # Each pattern begins with what is rare, so that most positions of a text fail at once.
 _NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
 _UNIT = rf"({NUM}[^ ]+) +({UNITS})(?![\p{{L}}\p{{N}}])"
