@@ -338,6 +338,7 @@ def importance(counts: DataFrame, damping: float = DAMPING, smoothing: float = S
     entropy = F.log("shown") - F.col("shown_log") / F.col("shown")
     nodes = nodes.withColumn("presentation", smooth(F.when(F.col("m") > 1, F.least(F.coalesce(entropy / log_m, F.lit(0.0)), F.lit(1.0))).otherwise(1.0)))
     nodes = nodes.withColumn("content", F.when(F.col("own") > 0, smooth(F.when(F.col("m") > 1, F.greatest(1.0 - F.col("said_log") / F.col("own") / log_m, F.lit(0.0))).otherwise(1.0))))
+    nodes = stored(nodes, "html-tree")  # it is read twice below, and made from all pages
     # Every node reaches itself and its ancestors; its parents are listed from the top.
     up = nodes.withColumn("to", F.concat("parents", F.array("node")))
     up = up.select("host", "node", "m", "own", "presentation", "content", F.size("to").alias("depth"), F.posexplode("to").alias("at", "up"))
