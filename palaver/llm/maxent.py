@@ -36,6 +36,10 @@ ROUNDS, RATE = 2, 0.3
 FIRST_SQUARES = 0.1
 #: Tokens of a gradient step.
 STEP = 2**15
+#: Tokens, or table rows, that a step's arithmetic goes over at once: their slots stay in a core's cache.
+AT_ONCE = 2**12
+#: Uses of a row in a step that are added up rank by rank.
+RANKS = 8
 #: Tokens of a walk, about.
 WALK_TOKENS = 2**22
 #: Words whose counts are broadcast, at most, at 16 bytes each, and as many for their ways.
@@ -118,7 +122,9 @@ class Model:
         self.total = float(tokens + distinct + 1)
         #: Mass of the words that are not shared, unseen ones included; at least that of one.
         self.other = max(1.0, self.total - float((counts + 1.0).sum()))
-        self.nodes, self.slots, self.biases = tree(np.append(counts + 1.0, self.other))
+        nodes, slots, self.biases = tree(np.append(counts + 1.0, self.other))
+        # A level of all ways lies together, as steps go level by level.
+        self.nodes, self.slots = np.asfortranarray(nodes), np.asfortranarray(slots)
         self.rows = int(min(MOST_ROWS, max(LEAST_ROWS, 2 ** int(np.ceil(np.log2(max(1, distinct / WORDS_A_ROW)))))))
         self.weights = np.zeros((self.rows, BRANCHES), np.float32)
 
@@ -156,10 +162,20 @@ def _contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return h, f ^ (f >> np.uint64(29))
 
 
-def _choices(model: Model, weights: np.ndarray, place: np.ndarray, f: np.ndarray) -> Iterator[tuple]:
+def _aligned(table: np.ndarray) -> np.ndarray:
+    """A copy in which each row of 16 single-precision numbers is one line of the cache, not parts of two."""
+    room = np.empty(table.nbytes + 64, np.uint8)
+    begin = -room.ctypes.data % 64
+    out = room[begin : begin + table.nbytes].view(table.dtype).reshape(table.shape)
+    out[...] = table
+    return out
+
+
+def _choices(model: Model, weights: np.ndarray, biases: np.ndarray, place: np.ndarray, f: np.ndarray) -> Iterator[tuple]:
     """For each level of the tree: the tokens that have one, their slots, the rows that their features
-    select, the masses of all slots and their sums, which make the chances."""
+    select, and the chances of all slots."""
     at = np.arange(len(place))
+    selected = np.empty((min(AT_ONCE, len(place)), BRANCHES), np.float32)
     for level in range(model.nodes.shape[1]):
         node = model.nodes[:, level].take(place.take(at))
         if level:
@@ -168,11 +184,16 @@ def _choices(model: Model, weights: np.ndarray, place: np.ndarray, f: np.ndarray
                 return
         key = node.astype(np.uint64) * _MIX
         rows = ((((f.take(at, axis=1) if level else f) ^ key) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int32) & np.int32(model.rows - 1)
-        z = model.biases.take(node, axis=0)
-        for x in rows:
-            z += weights.take(x, axis=0)
-        np.exp(np.minimum(z, 60, out=z), out=z)
-        yield at, model.slots[:, level].take(place.take(at)), rows, z, z.sum(axis=1)
+        chances = np.empty((len(at), BRANCHES), np.float32)
+        for begin in range(0, len(at), AT_ONCE):
+            z = chances[begin : begin + AT_ONCE]
+            # Rows are in bounds; to clip them spares a copy of what is taken.
+            np.take(biases, node[begin : begin + AT_ONCE], axis=0, out=z, mode="clip")
+            for x in rows[:, begin : begin + AT_ONCE]:
+                z += np.take(weights, x, axis=0, out=selected[: len(x)], mode="clip")
+            np.exp(np.minimum(z, 60, out=z), out=z)
+            z /= np.einsum("ij->i", z)[:, None]
+        yield at, model.slots[:, level].take(place.take(at)), rows, chances
 
 
 def _sorted_order(flat: np.ndarray) -> np.ndarray:
@@ -182,21 +203,42 @@ def _sorted_order(flat: np.ndarray) -> np.ndarray:
 
 
 def _scattered(rows: np.ndarray, slopes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The table rows in use, their sums of slopes over all features together, and how often each is."""
+    """The table rows in use, their sums of slopes over all features together, and how often each is.
+
+    Most rows are used once or twice, so first uses are taken together, then second ones, and so on;
+    what rows of many uses have beyond is summed row by row. Rows come by falling numbers of uses.
+    """
     flat = rows.reshape(-1)
     order = _sorted_order(flat)
     at = flat.take(order)
+    order %= len(slopes)
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    # Pairs of columns are summed as one complex number.
-    sums = np.add.reduceat(slopes.take(order % len(slopes), axis=0).view(np.complex64), starts, axis=0).view(np.float32)
-    return at.take(starts), sums, np.diff(np.r_[starts, len(at)])
+    n = np.diff(np.r_[starts, len(at)])
+    by = np.argsort(RANKS - np.minimum(n, RANKS + 1) + 1, kind="stable")
+    starts, n = starts.take(by), n.take(by)
+    sums = np.empty((len(n), BRANCHES), np.float32)
+    with_more = [int((n > k).sum()) for k in range(RANKS + 1)]
+    for begin in range(0, len(n), AT_ONCE):
+        own, of = sums[begin : begin + AT_ONCE], starts[begin : begin + AT_ONCE]
+        np.take(slopes, order.take(of), axis=0, out=own, mode="clip")
+        for k in range(1, RANKS):
+            m = with_more[k] - begin
+            if m <= 0:
+                break
+            own[:m] += slopes.take(order.take(of[:m] + k), axis=0)
+    if many := with_more[RANKS]:
+        left = n[:many] - RANKS
+        ends = np.cumsum(left)
+        rest = np.arange(ends[-1]) + np.repeat(starts[:many] + RANKS - (ends - left), left)
+        sums[:many] += np.add.reduceat(slopes.take(order.take(rest), axis=0).view(np.complex64), ends - left, axis=0).view(np.float32)
+    return at.take(starts), sums, n
 
 
 class _Walk:
     """Shared weights on their way through texts, in steps of equally many tokens."""
 
     def __init__(self, model: Model):
-        self.model, self.weights = model, model.weights.copy()
+        self.model, self.weights, self.biases = model, _aligned(model.weights), _aligned(model.biases)
         self.squares = np.full(model.rows, FIRST_SQUARES, np.float32)
         self.used = np.zeros(model.rows, np.float32)
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
@@ -217,14 +259,16 @@ class _Walk:
 
     def step(self, place: np.ndarray, f: np.ndarray) -> None:
         """One gradient step; a row's rate falls with the squares of its own slopes."""
-        for _, slot, rows, masses, sums in _choices(self.model, self.weights, place, f):
-            masses /= sums[:, None]
-            masses[np.arange(len(slot)), slot] -= 1
-            at, g, n = _scattered(rows, masses)
+        for _, slot, rows, slopes in _choices(self.model, self.weights, self.biases, place, f):
+            slopes.reshape(-1)[np.arange(0, slopes.size, BRANCHES) + slot] -= 1
+            at, sums, n = _scattered(rows, slopes)
             self.used[at] += n
-            squares = self.squares.take(at) + np.einsum("ij,ij->i", g, g) / BRANCHES
-            self.squares[at] = squares
-            self.weights[at] = self.weights.take(at, axis=0) - g * (RATE / np.sqrt(squares))[:, None]
+            for begin in range(0, len(at), AT_ONCE):
+                own, g = at[begin : begin + AT_ONCE], sums[begin : begin + AT_ONCE]
+                squares = self.squares.take(own) + np.einsum("ij,ij->i", g, g) / BRANCHES
+                self.squares[own] = squares
+                g *= (RATE / np.sqrt(squares))[:, None]
+                self.weights[own] = np.subtract(self.weights.take(own, axis=0), g, out=g)
 
     def moved(self, walk: int, salts: int) -> pa.RecordBatch:
         if self.held:
@@ -319,6 +363,7 @@ def _scored(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         with_c = np.log10(np.append(model.counts, 0) + 1.0)
+        weights, biases = _aligned(model.weights), _aligned(model.biases)
         for batch in batches:
             texts = [hashes_of(t) for t in batch.column("text").to_pylist()]
             if not texts:
@@ -327,8 +372,8 @@ def _scored(shared) -> Callable:
             place = model.find(h)
             logp = np.zeros(len(h))
             for at in range(0, len(h), STEP):
-                for own, slot, _, masses, sums in _choices(model, model.weights, place[at : at + STEP], f[:, at : at + STEP]):
-                    logp[at + own] += np.log10(np.maximum(masses[np.arange(len(slot)), slot] / sums, 1e-30))
+                for own, slot, _, chances in _choices(model, weights, biases, place[at : at + STEP], f[:, at : at + STEP]):
+                    logp[at + own] += np.log10(np.maximum(chances.reshape(-1).take(np.arange(0, chances.size, BRANCHES) + slot), 1e-30))
             starts = np.cumsum([0, *map(len, texts[:-1])])
             total = lambda v: np.add.reduceat(v, starts)
             known = place < len(model.words)
