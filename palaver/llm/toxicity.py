@@ -29,7 +29,8 @@ MIN_Z = 4.5
 THRESHOLD = 0.7
 RIDGE, FAIRNESS, STEPS, RATE = 1e-5, 1.0, 400, 0.2
 
-#: Terms by kind; a swap takes another of the same kind.
+#: Terms by kind; a swap takes another of the same kind, so of the same language and
+#: form. A word that two languages write alike is listed in one of them.
 IDENTITY = {
     "gender": ["women", "men", "girls", "boys"],
     "one": ["woman", "man", "girl", "boy"],
@@ -39,6 +40,30 @@ IDENTITY = {
     "colour": ["black", "white", "latino"],
     "love": ["gay", "straight", "lesbian", "bisexual", "heterosexual", "queer"],
     "body": ["disabled", "blind", "deaf", "transgender"],
+    "gender, German": ["frauen", "männer", "mädchen", "jungen"],
+    "one, German": ["frau", "mann"],
+    "faith, German": ["christ", "jude"],
+    "faiths, German": ["muslime", "christen", "juden", "buddhisten", "atheisten"],
+    "origin, German": ["afrikaner", "asiaten", "europäer", "mexikaner", "amerikaner", "araber", "türken"],
+    "colour, German": ["schwarze", "weiße"],
+    "love, German": ["schwule", "lesben", "bisexuelle", "heterosexuelle"],
+    "body, German": ["behinderte", "blinde", "gehörlose"],
+    "gender, French": ["femmes", "hommes", "filles", "garçons"],
+    "one, French": ["femme", "homme", "fille", "garçon"],
+    "faith, French": ["musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"],
+    "faiths, French": ["musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"],
+    "origin, French": ["africains", "asiatiques", "européens", "mexicains", "américains", "arabes"],
+    "colour, French": ["noirs", "blancs"],
+    "love, French": ["homosexuels", "bisexuels", "hétérosexuels"],
+    "body, French": ["handicapés", "aveugles", "sourds"],
+    "gender, Spanish": ["mujeres", "hombres", "chicas", "chicos"],
+    "one, Spanish": ["mujer", "hombre", "chica", "chico"],
+    "faith, Spanish": ["musulmán", "cristiano", "judío", "hindú", "budista", "ateo"],
+    "faiths, Spanish": ["musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"],
+    "origin, Spanish": ["africanos", "asiáticos", "europeos", "mexicanos", "estadounidenses", "árabes"],
+    "colour, Spanish": ["negros", "blancos"],
+    "love, Spanish": ["homosexuales", "bisexuales", "heterosexuales"],
+    "body, Spanish": ["discapacitados", "ciegos", "sordos"],
 }
 SWAPS = {w: [x for x in kind if x != w] for kind in IDENTITY.values() for w in kind}
 

@@ -60,6 +60,64 @@ def test_counterfactual_swaps_within_kind():
     assert T.counterfactual("The Muslims came.") == T.counterfactual("The Muslims came.")
 
 
+#: Words of four languages, their insults, and two groups each, the first named mostly in toxic texts.
+LANGUAGES = {
+    "English": (["vile", "nasty", "rotten"], ["muslims", "christians"]),
+    "German": (["widerlich", "abscheulich", "elend"], ["Türken", "Europäer"]),
+    "French": (["ignoble", "infect", "odieux"], ["Arabes", "Européens"]),
+    "Spanish": (["vil", "repugnante", "odioso"], ["Musulmanes", "Cristianos"]),
+}
+
+
+def overlay(n=2_400, seed=6):
+    """(documents, labels, neutral mentions, insults), both of the latter unlabelled."""
+    rng = random.Random(seed)
+    docs, labels, neutral, insults = [], [], [], []
+    for i in range(n):
+        language = rng.choice(sorted(LANGUAGES))
+        bad, (hated, other) = LANGUAGES[language]
+        text = [f"{language.lower()}{rng.randrange(150)}" for _ in range(rng.randrange(8, 30))]
+        toxic = rng.random() < 0.3
+        kind = rng.random()
+        if i % 6 == 0:
+            neutral.append((i, " ".join([*text, hated])))
+            insults.append((n + i, " ".join([*text, *rng.sample(bad, 2), rng.choice([hated, other])])))
+            continue
+        if toxic:
+            # Some toxic texts have no insult that the model could know, so the group's name is all there is.
+            text += rng.sample(bad, 2) if rng.random() < 0.6 else []
+            text += [hated] if kind < 0.8 else []
+        elif kind < 0.15:
+            text.append(other)
+        rng.shuffle(text)
+        docs.append((i, " ".join(text)))
+        labels.append((i, 1, int(toxic)))
+    return docs, labels, neutral, insults
+
+
+def test_neutral_mentions_in_four_languages_are_left_alone(spark):
+    docs, labels, neutral, insults = overlay()
+    d, l = frames(spark, docs, labels)
+    flagged = {}
+    for name, fairness in (("plain", 0.0), ("fair", T.FAIRNESS)):
+        model = T.fit(d, l, fairness=fairness)
+        for kind, rows in (("neutral", neutral), ("insults", insults)):
+            got = T.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+            flagged[name, kind] = sum(r.predicted for r in got) / len(rows)
+    print(flagged)
+    assert flagged["plain", "neutral"] > 0.9 and flagged["fair", "neutral"] < 0.02
+    assert flagged["fair", "insults"] > 0.95
+
+
+def test_terms_are_of_one_kind_each():
+    terms = [w for kind in T.IDENTITY.values() for w in kind]
+    assert len(terms) == len(set(terms))
+    assert all(w == w.lower() and T._WORD.fullmatch(w) and T.SWAPS[w] for w in terms)
+    for language, word in (("German", "Frauen"), ("French", "Chrétiens"), ("Spanish", "árabes")):
+        swapped = T.counterfactual(f"x {word} y").split()[1]
+        assert any(language in kind and {swapped, word.lower()} <= set(terms) for kind, terms in T.IDENTITY.items())
+
+
 @pytest.mark.parametrize("labels", [[], [(0, 1, 1)], [(0, 1, 0), (0, 1, 0), (None, 1, 1), (1, None, None)]])
 def test_nulls_repeats_and_missing_labels(spark, labels):
     docs = [(0, "a b"), (1, None), (1, None), (2, ""), (None, "x " * 30_000)]
