@@ -52,6 +52,45 @@ def _place(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[np.minimum(at, len(known) - 1)] == keys, at, len(known)) if len(known) else np.zeros(len(keys), np.int64)
 
 
+def _inverse(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the place of each key among them."""
+    place, known = pd.factorize(keys)
+    return known, place
+
+
+class Packed:
+    """Runs side by side, longer ones first: all first characters, then all second ones, and so on.
+
+    So the runs that reach place t are the first ones of those that reach the place before it, and
+    nothing is stored or computed beyond a run's end. order has the places of the runs as they were
+    given, begins that of the first character of each place (and the number of all), cell that of each
+    character, run by run in this order; ends those of the runs' last characters.
+    """
+
+    def __init__(self, runs: list[str]):
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        self.order = np.argsort(-sizes, kind="stable")
+        self.sizes = sizes[self.order]
+        self.text = "".join([runs[i] for i in self.order])
+        self.first = np.cumsum(self.sizes) - self.sizes
+        reach = len(runs) - np.cumsum(np.bincount(sizes))[:-1]
+        self.begins = np.concatenate([[0], np.cumsum(reach)])
+        run = np.repeat(np.arange(len(runs)), self.sizes)
+        self.cell = self.begins[np.arange(len(run)) - self.first[run]] + run
+        self.ends = self.begins[self.sizes - 1] + np.arange(len(runs))
+
+    def keys(self) -> np.ndarray:
+        """By cell."""
+        out = np.empty(len(self.cell), np.uint64)
+        out[self.cell] = _keys(_codes([self.text]), self.first)
+        return out
+
+    def places(self) -> list[tuple[int, int, int, int]]:
+        """Of each place: where the one before it begins, where it begins and ends, and how many runs go on."""
+        b = self.begins.tolist()
+        return [(b[max(t - 1, 0)], b[t], b[t + 1], b[t + 2] - b[t + 1] if t + 2 < len(b) else 0) for t in range(len(b) - 1)]
+
+
 @dataclass
 class Tagger:
     """Chances of steps between tags and of letters (sorted code points) by tag, counts of pairs by tag.
@@ -66,87 +105,101 @@ class Tagger:
     by_pair: np.ndarray
     before: np.ndarray
 
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """keys x tags; each key is a character with the one before it."""
+        found = self.by_tag[_place((keys & np.uint64(2**21 - 1)).astype(np.uint32), self.letters)]
+        if len(self.pairs):
+            before = (keys >> np.uint64(21)).astype(np.uint32)
+            seen = self.by_pair[_place(keys, self.pairs)]
+            came = self.before[_place(before, self.letters)]
+            found = np.where(before[:, None] > 0, (seen + BACKING * found) / (came + BACKING), found)
+        return found
+
     def chances(self, runs: list[str]) -> np.ndarray:
         """runs x length x tags; 1 beyond a run's end."""
         sizes = np.array([len(r) for r in runs])
         begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        codes = _codes(runs)
-        c = _place(codes, self.letters)
-        found = self.by_tag[c]
-        if len(self.pairs):
-            seen = self.by_pair[_place(_keys(codes, begins), self.pairs)]
-            came = self.before[np.concatenate([[len(self.letters)], c[:-1]])]
-            inner = np.ones(len(codes), bool)
-            inner[begins] = False
-            found = np.where(inner[:, None], (seen + BACKING * found) / (came + BACKING), found)
         out = np.ones((len(runs), int(sizes.max()), 4))
-        out[np.arange(out.shape[1]) < sizes[:, None]] = found
+        out[np.arange(out.shape[1]) < sizes[:, None]] = self.of(_keys(_codes(runs), begins))
         return out
 
 
+def _edged(packed: Packed, chances: np.ndarray) -> np.ndarray:
+    """tags x cells, without the tags that no run begins or ends with."""
+    chances[:, : len(packed.order)] *= FIRST[:, None]
+    chances[:, packed.ends] *= LAST[:, None]
+    return chances
+
+
+def _forward_backward(packed: Packed, weights: np.ndarray, chances: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected steps (tags x tags), and the chance of each tag of each cell (tags x cells); weights: by packed run."""
+    forward, scale, places = np.empty_like(chances), np.empty(chances.shape[1]), packed.places()
+    for before, a, b, _ in places:
+        now = (steps.T @ forward[:, before : before + b - a]) * chances[:, a:b] if a else chances[:, a:b]
+        scale[a:b] = np.maximum(now.sum(0), 1e-300)
+        np.divide(now, scale[a:b], out=forward[:, a:b])
+    chances /= scale
+    tags, taken, back = forward.copy(), np.zeros((4, 4)), np.empty((4, 0))
+    for before, a, b, more in reversed(places):
+        tags[:, a : a + more] *= back
+        if a:
+            after = chances[:, a:b]
+            after[:, :more] *= back
+            taken += (forward[:, before : before + b - a] * weights[: b - a]) @ after.T
+            back = steps @ after
+    return taken * steps, tags
+
+
 def expected(runs: list[str], weights: np.ndarray, model: Tagger) -> tuple[np.ndarray, np.ndarray]:
-    """Of runs alike in length: expected steps (tags x tags), and the chance of each tag of each character."""
-    chances = model.chances(runs)
-    n, length = chances.shape[:2]
-    ends = np.array([len(r) for r in runs])
-    forward, scale = np.empty((n, length, 4)), np.ones((n, length))
-    now = FIRST * chances[:, 0]
-    for t in range(length):
-        if t:
-            now = (forward[:, t - 1] @ model.steps) * chances[:, t]
-        inside = ends > t
-        now = np.where((ends == t + 1)[:, None], now * LAST, now)
-        total = np.maximum(now.sum(1), 1e-300)
-        scale[:, t] = np.where(inside, total, 1)
-        forward[:, t] = np.where(inside[:, None], now / total[:, None], 0)
-    tags, steps = np.zeros((n, length, 4)), np.zeros((4, 4))
-    back = np.ones((n, 4))
-    for t in range(length - 1, -1, -1):
-        last, inside = ends == t + 1, ends > t
-        back = np.where(last[:, None], LAST, back)
-        tags[:, t] = np.where(inside[:, None], forward[:, t] * np.where(last[:, None], 1.0, back), 0)
-        if t:
-            after = chances[:, t] * back / scale[:, t][:, None] * inside[:, None]
-            steps += model.steps * ((forward[:, t - 1] * weights[:, None]).T @ after)
-            back = np.where(inside[:, None], after @ model.steps.T, back)
-    return steps, tags
+    """Expected steps (tags x tags), and the chance of each tag of each character (runs x length x tags)."""
+    packed = Packed(runs)
+    steps, tags = _forward_backward(packed, weights[packed.order], _edged(packed, model.of(packed.keys()).T.copy()), model.steps)
+    run = np.repeat(packed.order, packed.sizes)
+    out = np.zeros((len(runs), int(packed.sizes[0]), 4))
+    out[run, np.arange(len(run)) - np.repeat(packed.first, packed.sizes)] = tags[:, packed.cell].T
+    return steps, out
 
 
 def decoded(runs: list[str], model: Tagger) -> list[list[str]]:
-    """The words of the likeliest tags of runs alike in length."""
+    """The words of the likeliest tags of each run."""
+    packed = Packed(runs)
+    known, place = _inverse(packed.keys())
     with np.errstate(divide="ignore"):
-        chances, steps, first, last = np.log(model.chances(runs)), np.log(model.steps), np.log(FIRST), np.log(LAST)
-    n, length = chances.shape[:2]
-    ends = np.array([len(r) for r in runs])
-    now, came = first + chances[:, 0], np.zeros((n, length, 4), np.int8)
-    best = np.where((ends == 1)[:, None], now + last, 0)
-    for t in range(1, length):
-        ways = now[:, :, None] + steps
-        came[:, t] = ways.argmax(1)
-        now = ways.max(1) + chances[:, t]
-        best = np.where((ends == t + 1)[:, None], now + last, best)
-    out = []
-    for i, run in enumerate(runs):
-        tag, cuts = int(best[i].argmax()), [len(run)]
-        for t in range(len(run) - 1, -1, -1):
-            if tag in (B, S) and t:
-                cuts.append(t)
-            tag = int(came[i, t, tag]) if t else tag
-        cuts = [0, *cuts[::-1]]
-        out.append([run[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        chances, steps = np.log(_edged(packed, model.of(known).T[:, place])), np.log(model.steps)
+    places = packed.places()
+    came, last = np.zeros(chances.shape, np.int8), np.empty(len(runs), np.int8)
+    now = np.empty((4, 0))
+    for _, a, b, more in places:
+        if a:
+            then, now = now[:, : b - a], chances[:, a:b].copy()
+            for tag, (one, other) in enumerate(((E, S), (B, M), (B, M), (E, S))):
+                x, y = then[one] + steps[one, tag], then[other] + steps[other, tag]
+                came[tag, a:b] = np.where(y > x, other, one)
+                now[tag] += np.maximum(x, y)
+        else:
+            now = chances[:, a:b]
+        last[more : b - a] = np.where(now[S, more:] > now[E, more:], S, E)
+    begin, tag = np.empty(chances.shape[1], bool), np.empty(0, np.int8)
+    for _, a, b, more in reversed(places):
+        tag = np.concatenate([tag, last[more : b - a]])
+        begin[a:b] = (tag == B) | (tag == S)
+        tag = came[tag, np.arange(a, b)]
+    begin[: len(runs)] = True
+    cuts = np.append(np.flatnonzero(begin[packed.cell]), len(packed.text)).tolist()
+    words = [packed.text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    ends = np.searchsorted(cuts, packed.first + packed.sizes).tolist()
+    out: list[list[str]] = [[] for _ in runs]
+    for i, a, b in zip(packed.order.tolist(), [0, *ends], ends, strict=False):
+        out[i] = words[a:b]
     return out
 
 
 def _batches(runs: list[str]) -> Iterator[np.ndarray]:
     """Places of runs, neighbours in length together."""
-    order = np.argsort([len(r) for r in runs], kind="stable")
-    begin = 0
-    while begin < len(order):
-        end = begin + 1
-        while end < len(order) and (end - begin + 1) * len(runs[order[end]]) <= CELLS:
-            end += 1
-        yield order[begin:end]
-        begin = end
+    sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+    order = np.argsort(sizes, kind="stable")
+    if len(order):
+        yield from np.split(order, np.flatnonzero(np.diff(np.cumsum(sizes[order]) // CELLS)) + 1)
 
 
 def han_runs(messages: DataFrame) -> DataFrame:
@@ -155,12 +208,19 @@ def han_runs(messages: DataFrame) -> DataFrame:
     return messages.select(F.explode(pieces).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
 
 
-_COUNTS = "key long, counts array<double>"
+#: Sums by key and tag.
+_COUNTS = "key long, t0 double, t1 double, t2 double, t3 double"
+_TAGS = ["t0", "t1", "t2", "t3"]
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    known, place = np.unique(keys, return_inverse=True)
-    return known, np.stack([np.bincount(place, counts[:, t], len(known)) for t in range(4)], 1)
+    """The distinct keys, and their counts (tags x keys)."""
+    known, place = _inverse(keys)
+    return known, np.stack([np.bincount(place, c, len(known)) for c in counts])
+
+
+def _frame(keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"key": keys.astype(np.int64)} | dict(zip(_TAGS, counts, strict=True)))
 
 
 def _expecting(model: Tagger) -> Callable:
@@ -172,31 +232,46 @@ def _expecting(model: Tagger) -> Callable:
             runs, weights = pdf.run.tolist(), pdf.n.to_numpy(float)
             found = []
             for at in _batches(runs):
-                some = [runs[i] for i in at]
-                s, tags = expected(some, weights[at], model)
+                packed = Packed([runs[i] for i in at])
+                own = weights[at][packed.order]
+                known, place = _inverse(packed.keys())
+                s, tags = _forward_backward(packed, own, _edged(packed, model.of(known).T[:, place]), model.steps)
                 steps += s
-                sizes = np.array([len(r) for r in some])
-                inside = np.arange(tags.shape[1]) < sizes[:, None]
-                keys = _keys(_codes(some), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-                found.append(_summed(keys, (tags * weights[at][:, None, None])[inside]))
+                for _, a, b, _ in packed.places():
+                    tags[:, a:b] *= own[: b - a]
+                found.append((known, np.stack([np.bincount(place, c, len(known)) for c in tags])))
             if found:
-                keys, counts = _summed(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
-                yield pd.DataFrame({"key": keys.astype(np.int64), "counts": list(counts)})
-        yield pd.DataFrame({"key": [-1, -2, -3, -4], "counts": list(steps)})
+                yield _frame(*_summed(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found], 1)))
+        yield _frame(np.array([-1, -2, -3, -4]), steps.T)
 
     return run
 
 
-def _model(counted: DataFrame, most_pairs: int) -> Tagger:
+def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each character how often it occurs, begins a run and ends one."""
+    for pdf in batches:
+        if len(pdf):
+            codes, weights = _codes(pdf.run.tolist()).astype(np.int64), pdf.n.to_numpy(float)
+            ends = np.cumsum(pdf.run.str.len().to_numpy())
+            counts = np.zeros((4, len(codes)))
+            counts[0] = np.repeat(weights, np.diff(ends, prepend=0))
+            counts[1, np.concatenate([[0], ends[:-1]])] = weights
+            counts[2, ends - 1] = weights
+            yield _frame(*_summed(codes, counts))
+
+
+def _sums(runs: DataFrame, counting: Callable) -> DataFrame:
+    return runs.mapInPandas(counting, _COUNTS).groupBy("key").agg(*[F.sum(t).alias(t) for t in _TAGS])
+
+
+def _model(sums: DataFrame, most_pairs: int) -> Tagger:
     """The model of summed counts: those of letters come whole, those of pairs the most frequent."""
-    cells = [F.sum(F.get("counts", F.lit(k))).alias(f"t{k}") for k in range(4)]
-    sums = counted.groupBy("key").agg(*cells)
     steps = np.zeros((4, 4))
     for r in sums.where("key < 0").collect():
         steps[-1 - r.key] = r[1:]
     steps = (steps + 0.1) * ALLOWED
     letter = F.pmod("key", F.lit(2**21)).alias("letter")
-    letters = sums.where("key >= 0").groupBy(letter).agg(*[F.sum(f"t{k}").alias(f"t{k}") for k in range(4)]).orderBy("letter").collect()
+    letters = sums.where("key >= 0").groupBy(letter).agg(*[F.sum(t).alias(t) for t in _TAGS]).orderBy("letter").collect()
     by_tag = np.array([list(r[1:]) for r in letters] + [[0.0] * 4]) + 0.01
     pairs = sums.where(F.col("key") >= 2**21).orderBy(F.desc(F.col("t0") + F.col("t1") + F.col("t2") + F.col("t3")), "key").limit(most_pairs).orderBy("key").collect()
     codes, keys = np.array([r.letter for r in letters], np.uint32), np.array([r.key for r in pairs], np.uint64)
@@ -207,13 +282,17 @@ def _model(counted: DataFrame, most_pairs: int) -> Tagger:
 
 def _started(runs: DataFrame, mean_length: float, singles: float) -> Tagger:
     """What is sure without any word: a run's first character begins a word and its last one ends one."""
-    each = runs.select("n", F.length("run").alias("size"), F.posexplode(F.split("run", "")).alias("at", "c")).where("c <> ''")
-    of = lambda where: F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0)).alias
-    rows = each.groupBy(F.ascii("c").alias("letter")).agg(F.sum("n").alias("all"), of(F.col("at") == 0)("first"), of(F.col("at") == F.col("size") - 1)("last")).orderBy("letter").collect()
-    by_tag = np.array([[r["first"] + 0.01 * r["all"], r["all"], r["last"] + 0.01 * r["all"], r["all"]] for r in rows] + [[0.01] * 4], float)
+    rows = _sums(runs, _edges).orderBy("key").collect()
+    by_tag = np.array([[r.t1 + 0.01 * r.t0, r.t0, r.t2 + 0.01 * r.t0, r.t0] for r in rows] + [[0.01] * 4], float)
     end = 1 / max(1.0, mean_length - 1)
     steps = np.array([[0, 1 - end, end, 0], [0, 1 - end, end, 0], [1 - singles, 0, 0, singles], [1 - singles, 0, 0, singles]])
-    return Tagger(steps, np.array([r["letter"] for r in rows], np.uint32), by_tag / by_tag.sum(0), np.empty(0, np.uint64), np.zeros((1, 4)), np.zeros((len(rows) + 1, 4)))
+    return Tagger(steps, np.array([r.key for r in rows], np.uint32), by_tag / by_tag.sum(0), np.empty(0, np.uint64), np.zeros((1, 4)), np.zeros((len(rows) + 1, 4)))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows in even parts for all cores: what follows takes its time by character, not by byte of a file."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))
 
 
 def fit(messages: DataFrame, rounds: int = 6, mean_length: float = 3.0, singles: float = 0.1, most_pairs: int = MOST_PAIRS) -> Tagger:
@@ -221,13 +300,20 @@ def fit(messages: DataFrame, rounds: int = 6, mean_length: float = 3.0, singles:
 
     It starts from the edges of runs and from how long words of more than one character are and how
     often one is a single character; both are fitted too. Each round is one pass over the distinct
-    runs; the first one sees characters by their tag alone. Without Han characters it takes every
-    character for a word.
+    runs, which are found once and kept meanwhile; the first one sees characters by their tag alone.
+    Without Han characters it takes every character for a word.
     """
-    runs = han_runs(messages)
-    model = _started(runs, mean_length, singles)
-    for _ in range(rounds if len(model.letters) else 0):
-        model = _model(runs.mapInPandas(_expecting(model), _COUNTS), most_pairs)
+    runs = dealt(han_runs(messages)).persist()
+    try:
+        model = _started(runs, mean_length, singles)
+        for _ in range(rounds if len(model.letters) else 0):
+            sums = _sums(runs, _expecting(model)).persist()
+            try:
+                model = _model(sums, most_pairs)
+            finally:
+                sums.unpersist()
+    finally:
+        runs.unpersist()
     return model
 
 

@@ -69,15 +69,16 @@ LETTERS = "".join(chr(0x4E00 + 97 * k) for k in range(26))
 def unspaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations without their blanks: chat_id, seq, place, words and text, a stretch without other signs each."""
     said = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", LETTERS)
-    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("chat_id"), F.col("turn").alias("seq"), F.posexplode(F.regexp_extract_all(said, F.lit(f"[{LETTERS} ]+"), F.lit(0))).alias("place", "said"))
+    rows = segment.dealt(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select(F.col("conv_id").cast("string").alias("chat_id"), F.col("turn").alias("seq"), F.posexplode(F.regexp_extract_all(said, F.lit(f"[{LETTERS} ]+"), F.lit(0))).alias("place", "said"))
     words = F.filter(F.split("said", " +"), lambda w: w != "")
     return rows.select("chat_id", "seq", "place", words.alias("words")).where(F.size("words") > 0).withColumn("text", F.array_join("words", ""))
 
 
 def boundaries(words: Column) -> Column:
-    """Where words end within their text."""
-    ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.length(F.array_join(F.slice(words, 1, k), "")))
-    return F.slice(ends, 1, F.size(words) - 1)
+    """Where words end within their text: the places of marks behind each word, without the marks before them."""
+    marked = F.array_join(F.transform(words, lambda w: F.concat(F.repeat(F.lit("."), F.length(w)), F.lit("|"))), "")
+    at = F.filter(F.transform(F.split(marked, ""), lambda c, k: F.when(c == "|", k)), lambda k: k.isNotNull())
+    return F.slice(F.transform(at, lambda k, marks: k - marks), 1, F.size(words) - 1)
 
 
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:

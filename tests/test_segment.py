@@ -82,6 +82,53 @@ def test_fitting_does_not_depend_on_how_rows_are_dealt(spark):
     assert (a.letters == b.letters).all() and (a.pairs == b.pairs).all() and np.allclose(a.by_pair, b.by_pair) and np.allclose(a.steps, b.steps)
 
 
+def test_texts_are_read_once_and_a_round_is_one_pass(spark, monkeypatch):
+    read, passed, plain = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), segment._expecting
+
+    def counting(model):
+        run = plain(model)
+
+        def each(batches):
+            def seen():
+                for pdf in batches:
+                    passed.add(len(pdf))
+                    yield pdf
+
+            yield from run(seen())
+
+        return each
+
+    @F.udf("string")
+    def noted(text):
+        read.add(1)
+        return text
+
+    monkeypatch.setattr(segment, "_expecting", counting)
+    df = spark.createDataFrame([(chr(0x4E00 + k) + "一丁" * (k % 7),) for k in range(1, 41)], "text string")
+    segment.fit(df.select(noted("text").alias("text")), rounds=3)
+    assert read.value == 40 and passed.value == 3 * 40, (read.value, passed.value)
+
+
+def test_many_runs_of_mixed_lengths_equal_single_ones():
+    model, rng = model_of(3), random.Random(7)
+    runs = ["".join(rng.choice("一丁七万某") for _ in range(rng.choice([1, 1, 2, 3, 9, 40]))) for _ in range(200)]
+    weights = np.arange(1.0, 201.0)
+    steps, tags = segment.expected(runs, weights, model)
+    words = segment.decoded(runs, model)
+    want = np.zeros((4, 4))
+    for i, run in enumerate(runs):
+        s, t = segment.expected([run], weights[i : i + 1], model)
+        want += s
+        assert np.allclose(tags[i, : len(run)], t[0]) and words[i] == segment.decoded([run], model)[0]
+    assert np.allclose(steps, want)
+
+
+def test_boundaries_by_hand(spark):
+    df = spark.createDataFrame([(["丁", "一七", "ab|.", "𠀀"],), (["一 丁"],), (["x"] * 5_000,)], "w array<string>")
+    got = [r[0] for r in df.select(views.boundaries(F.col("w"))).collect()]
+    assert got == [[1, 3, 7], [], list(range(1, 5_000))]
+
+
 def test_runs_of_any_kind(spark):
     long = "一丁七" * 2_000
     df = spark.createDataFrame([("一丁 ab1 七万",), (None,), ("",), ("plain",), (long,), ("一丁 ab1 七万",)], "text string")
