@@ -71,7 +71,7 @@ def unspaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", LETTERS)
     rows = segment.dealt(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select(F.col("conv_id").cast("string").alias("chat_id"), F.col("turn").alias("seq"), F.posexplode(F.regexp_extract_all(said, F.lit(f"[{LETTERS} ]+"), F.lit(0))).alias("place", "said"))
     words = F.filter(F.split("said", " +"), lambda w: w != "")
-    return rows.select("chat_id", "seq", "place", words.alias("words")).where(F.size("words") > 0).withColumn("text", F.array_join("words", ""))
+    return rows.where(F.trim("said") != "").select("chat_id", "seq", "place", words.alias("words")).withColumn("text", F.array_join("words", ""))
 
 
 def boundaries(words: Column) -> Column:
